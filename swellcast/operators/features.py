@@ -189,63 +189,53 @@ def _rollup(g: DataFrame) -> DataFrame:
     sv_set = F.array_distinct("_sv_countries")
     sv_home = F.when(F.array_contains(sv_set, dims.HOME_COUNTRY), 1).otherwise(0)
     domains = F.array(*[F.lit(d) for d in dims.DOMAINS])
-    df = (
-        g.withColumn("source_families", present)
-        .withColumn("family_count", F.size("source_families"))
-        .withColumn("support_families", n_support)
-        .withColumn("discovery_rise", c("role_discovery"))
-        .withColumn("broad_confirmation", c("role_confirmation"))
-        .withColumn("editorial_support", c("role_editorial"))
-        .withColumn("commerce_support", c("role_commerce"))
-        .withColumn("music_confirmation", c("fam_music_chart"))
-        .withColumn("show_confirmation", c("fam_show_chart"))
-        .withColumn("cross_family_confirm", F.log1p(c("support_families").cast("double")))
-        .withColumn("has_discovery", F.when(c("n_discovery") > 0, 1.0).otherwise(0.0))
-        .withColumn("has_confirmation", F.when(c("support_families") > 0, 1.0).otherwise(0.0))
-        .withColumn(
-            "lead_lag_bonus",
-            F.when((c("n_discovery") > 0) & (c("support_families") > 0), 0.25).otherwise(0.0),
-        )
-        .withColumn("redundancy_penalty", redundancy)
-        .withColumn(
-            "regional_overlap",
-            F.least(
-                F.lit(1.0),
-                (F.size(F.array_distinct("_countries")) + F.size(F.array_distinct("_regions"))) / 4.0,
-            ),
-        )
-        .withColumn("regional_priority", F.when(c("asia_priority"), 1.0).otherwise(0.0))
-        .withColumn("short_video_priority", F.when(c("short_video_flag"), 1.0).otherwise(0.0))
-        .withColumn("same_work_relation_count", same_work)
-        .withColumn("distinct_work_clusters", F.size(clusters))
-        .withColumn(
-            "dominant_work_ratio",
-            F.when(
-                c("derived_rows") > 0, F.round(c("same_work_relation_count") / c("derived_rows"), 4)
-            ).otherwise(0.0),
-        )
-        .withColumn("work_cluster_id", F.coalesce("work_cluster_id", F.lit("")))
-        .withColumn("sv_primary_home", F.coalesce("sv_home", F.lit(False)))
-        .withColumn("sv_country_count", F.size(sv_set))
-        .withColumn("sv_other_country_count", F.size(sv_set) - sv_home)
-        .withColumn("sv_region_score", F.round(F.coalesce("region_score", F.lit(0.0)), 4))
-        .withColumn("sv_surface_count", F.size("_sv_surfaces"))
-        .withColumn("sv_priority_score", F.round("priority_score", 4))
-        .withColumn("best_surface", F.coalesce("best_surface", F.lit("")))
-        .withColumn("direct_support_total", F.round("direct_raw", 4))
-        .withColumn("direct_confirmation_support", F.round("direct_confirm_raw", 4))
-        .withColumn(
-            "feature_domain",
-            F.element_at(domains, (c("domain_pack") % _RADIX + 1).cast("int")),
-        )
-        .withColumn(
-            "locality",
-            F.when((c("family_count") <= 1) & (c("source_count") <= 1), 1.0)
-            .when(c("family_count") <= 1, 0.6)
-            .when(c("source_count") <= 2, 0.35)
-            .otherwise(0.1),
-        )
-    )
+    df = g.withColumns({
+        "source_families": present,
+        "support_families": n_support,
+        "discovery_rise": c("role_discovery"),
+        "broad_confirmation": c("role_confirmation"),
+        "editorial_support": c("role_editorial"),
+        "commerce_support": c("role_commerce"),
+        "music_confirmation": c("fam_music_chart"),
+        "show_confirmation": c("fam_show_chart"),
+        "has_discovery": F.when(c("n_discovery") > 0, 1.0).otherwise(0.0),
+        "redundancy_penalty": redundancy,
+        "regional_overlap": F.least(
+            F.lit(1.0),
+            (F.size(F.array_distinct("_countries")) + F.size(F.array_distinct("_regions"))) / 4.0,
+        ),
+        "regional_priority": F.when(c("asia_priority"), 1.0).otherwise(0.0),
+        "short_video_priority": F.when(c("short_video_flag"), 1.0).otherwise(0.0),
+        "same_work_relation_count": same_work,
+        "distinct_work_clusters": F.size(clusters),
+        "work_cluster_id": F.coalesce("work_cluster_id", F.lit("")),
+        "sv_primary_home": F.coalesce("sv_home", F.lit(False)),
+        "sv_country_count": F.size(sv_set),
+        "sv_other_country_count": F.size(sv_set) - sv_home,
+        "sv_region_score": F.round(F.coalesce("region_score", F.lit(0.0)), 4),
+        "sv_surface_count": F.size("_sv_surfaces"),
+        "sv_priority_score": F.round("priority_score", 4),
+        "best_surface": F.coalesce("best_surface", F.lit("")),
+        "direct_support_total": F.round("direct_raw", 4),
+        "direct_confirmation_support": F.round("direct_confirm_raw", 4),
+        "feature_domain": F.element_at(domains, (c("domain_pack") % _RADIX + 1).cast("int")),
+    })
+    few = c("source_count") <= 1
+    df = df.withColumns({
+        "family_count": F.size("source_families"),
+        "cross_family_confirm": F.log1p(c("support_families").cast("double")),
+        "has_confirmation": F.when(c("support_families") > 0, 1.0).otherwise(0.0),
+        "lead_lag_bonus": F.when(
+            (c("n_discovery") > 0) & (c("support_families") > 0), 0.25
+        ).otherwise(0.0),
+        "dominant_work_ratio": F.when(
+            c("derived_rows") > 0, F.round(c("same_work_relation_count") / c("derived_rows"), 4)
+        ).otherwise(0.0),
+        "locality": F.when((F.size("source_families") <= 1) & few, 1.0)
+        .when(F.size("source_families") <= 1, 0.6)
+        .when(c("source_count") <= 2, 0.35)
+        .otherwise(0.1),
+    })
     dropped = [x for x in df.columns if x.startswith("_")]
     return df.drop(*dropped, "region_score", "priority_score", "sv_home", "domain_pack")
 
@@ -304,10 +294,11 @@ def with_candidate_state(
 def with_relation_support(df: DataFrame, support: DataFrame | None) -> DataFrame:
     if support is not None:
         df = df.join(support, list(KEYS), "left")
-    for name in SUPPORT_COLUMNS:
-        value = F.col(name) if support is not None else F.lit(0.0)
-        df = df.withColumn(name, F.round(F.coalesce(value, F.lit(0.0)), 4))
-    return df
+    known = support is not None
+    return df.withColumns({
+        n: F.round(F.coalesce(F.col(n) if known else F.lit(0.0), F.lit(0.0)), 4)
+        for n in SUPPORT_COLUMNS
+    })
 
 
 def derive(df: DataFrame, availability: DataFrame | None = None) -> DataFrame:
@@ -337,74 +328,55 @@ def derive(df: DataFrame, availability: DataFrame | None = None) -> DataFrame:
     home = F.least(
         F.lit(1.0), c("home_sources") * 0.24 + F.least(c("asia_hits"), F.lit(4)) * 0.08
     ) + F.when(c("domain_class").isin("ENTERTAINMENT", "FASHION_BEAUTY"), 0.08).otherwise(0.0)
-    return (
-        df.withColumn("positive_days", F.size(positives))
-        .withColumn("positive_sum", F.aggregate(positives, F.lit(0.0), lambda a, x: a + x))
-        .withColumn(
-            "novelty",
-            N.clamp(1.0 / (1.0 + F.log1p(c("positive_days") + c("maturity") * 5.0)), 0.0, 1.0),
-        )
-        .withColumn(
-            "sustained_presence",
-            F.when(
-                c("positive_days") > 0,
-                F.least(F.lit(1.0), c("positive_sum") / F.greatest(F.lit(1.0), c("positive_days") * 4.0)),
-            ).otherwise(0.0),
-        )
-        .withColumn(
-            "maturity_penalty",
-            c("maturity") * 0.6 + F.when(c("has_discovery") > 0, 0.0).otherwise(0.25),
-        )
-        .withColumn("home_relevance", F.round(N.clamp(home, 0.0, 1.0), 4))
-        .withColumn("constrained_ent", capped("ent_raw", c("domain_class") == "ENTERTAINMENT"))
-        .withColumn("constrained_beauty", capped("beauty_raw", c("domain_class") == "FASHION_BEAUTY"))
-        .withColumn("realtime_support", F.round(F.least(F.lit(1.0), c("realtime_raw")), 4))
-        .withColumn("constrained_support", F.greatest("constrained_ent", "constrained_beauty"))
-        .withColumn("home_credibility", F.greatest("constrained_support", "realtime_support"))
-        .withColumn(
-            "adjusted_credibility",
-            F.round(c("home_credibility") / F.greatest(F.lit(0.5), c("search_availability")), 4),
-        )
-        .withColumn(
-            "public_noise_penalty",
-            F.when(c("candidate_kind") != "TOPIC", 0.05).otherwise(
-                F.round(N.clamp(noise, 0.0, 1.0), 4)
-            ),
-        )
-        .withColumn(
-            "mature_mass_only_penalty",
-            F.when(
-                (c("maturity") < 0.8) | (c("has_discovery") > 0) | (mass <= 0), 0.0
-            ).otherwise(F.round(F.least(F.lit(1.0), 0.28 + c("maturity") * 0.35 + mass * 0.18), 4)),
-        )
-        .withColumn(
-            "relation_only_flag",
-            person & (c("direct_raw") < 0.08) & (c("direct_rows") == 0)
-            & ((c("relation_support_total") > 0) | (c("derived_rows") > 0)),
-        )
-        .withColumn("relation_only_penalty", F.when(c("relation_only_flag"), 1.0).otherwise(0.0))
-        .withColumn(
-            "omnipresence_penalty",
-            F.when(
-                person,
-                F.round(
-                    F.least(
-                        F.lit(0.35),
-                        F.greatest(F.lit(0), c("distinct_work_clusters") - 1) * 0.12
-                        + F.greatest(F.lit(0.0), c("maturity") - 0.70) * 0.25,
-                    ),
-                    4,
+    df = df.withColumns({
+        "positive_days": F.size(positives),
+        "positive_sum": F.aggregate(positives, F.lit(0.0), lambda a, x: a + x),
+        "maturity_penalty": c("maturity") * 0.6
+        + F.when(c("has_discovery") > 0, 0.0).otherwise(0.25),
+        "home_relevance": F.round(N.clamp(home, 0.0, 1.0), 4),
+        "constrained_ent": capped("ent_raw", c("domain_class") == "ENTERTAINMENT"),
+        "constrained_beauty": capped("beauty_raw", c("domain_class") == "FASHION_BEAUTY"),
+        "realtime_support": F.round(F.least(F.lit(1.0), c("realtime_raw")), 4),
+        "public_noise_penalty": F.when(c("candidate_kind") != "TOPIC", 0.05).otherwise(
+            F.round(N.clamp(noise, 0.0, 1.0), 4)
+        ),
+        "mature_mass_only_penalty": F.when(
+            (c("maturity") < 0.8) | (c("has_discovery") > 0) | (mass <= 0), 0.0
+        ).otherwise(F.round(F.least(F.lit(1.0), 0.28 + c("maturity") * 0.35 + mass * 0.18), 4)),
+        "relation_only_flag": person & (c("direct_raw") < 0.08) & (c("direct_rows") == 0)
+        & ((c("relation_support_total") > 0) | (c("derived_rows") > 0)),
+        "omnipresence_penalty": F.when(
+            person,
+            F.round(
+                F.least(
+                    F.lit(0.35),
+                    F.greatest(F.lit(0), c("distinct_work_clusters") - 1) * 0.12
+                    + F.greatest(F.lit(0.0), c("maturity") - 0.70) * 0.25,
                 ),
-            ).otherwise(0.0),
-        )
-        .withColumn(
-            "same_work_cluster_penalty",
-            F.least(
-                F.lit(1.0),
-                F.greatest(F.lit(0), c("same_work_relation_count") - 1) * 0.5
-                + c("dominant_work_ratio") * 0.35,
+                4,
             ),
-        )
+        ).otherwise(0.0),
+        "same_work_cluster_penalty": F.least(
+            F.lit(1.0),
+            F.greatest(F.lit(0), c("same_work_relation_count") - 1) * 0.5
+            + c("dominant_work_ratio") * 0.35,
+        ),
+    })
+    df = df.withColumns({
+        "novelty": N.clamp(
+            1.0 / (1.0 + F.log1p(c("positive_days") + c("maturity") * 5.0)), 0.0, 1.0
+        ),
+        "sustained_presence": F.when(
+            c("positive_days") > 0,
+            F.least(F.lit(1.0), c("positive_sum") / F.greatest(F.lit(1.0), c("positive_days") * 4.0)),
+        ).otherwise(0.0),
+        "constrained_support": F.greatest("constrained_ent", "constrained_beauty"),
+        "home_credibility": F.greatest("constrained_ent", "constrained_beauty", "realtime_support"),
+        "relation_only_penalty": F.when(c("relation_only_flag"), 1.0).otherwise(0.0),
+    })
+    return df.withColumn(
+        "adjusted_credibility",
+        F.round(c("home_credibility") / F.greatest(F.lit(0.5), c("search_availability")), 4),
     )
 
 

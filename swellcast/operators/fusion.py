@@ -94,43 +94,38 @@ def breakout_probability(horizon_days: int) -> Column:
 def with_probabilities(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
     c = F.col
     # One linear form serves every horizon; only the bias differs.
-    df = df.withColumn("breakout_logit", N.linear(BREAKOUT, BREAKOUT_INTERCEPT)).withColumn(
-        "mass_p", N.logistic(N.linear(MASS, MASS_INTERCEPT))
-    )
-    for h in horizons:
-        df = df.withColumn(f"breakout_p{h}", N.logistic(c("breakout_logit") + HORIZON_BIAS[h]))
-    for h in horizons:
-        df = df.withColumn(f"breakout_prob_{h}d", N.calibrate(c(f"breakout_p{h}"), N.BREAKOUT_KNOTS))
-    return df.withColumn("mass_prob", N.calibrate(c("mass_p"), N.MASS_KNOTS)).drop(
-        "mass_p", *[f"breakout_p{h}" for h in horizons]
+    df = df.withColumns({
+        "breakout_logit": N.linear(BREAKOUT, BREAKOUT_INTERCEPT),
+        "mass_p": N.logistic(N.linear(MASS, MASS_INTERCEPT)),
+    })
+    df = df.withColumns(
+        {f"breakout_p{h}": N.logistic(c("breakout_logit") + HORIZON_BIAS[h]) for h in horizons}
     )
+    calibrated = {
+        f"breakout_prob_{h}d": N.calibrate(c(f"breakout_p{h}"), N.BREAKOUT_KNOTS) for h in horizons
+    }
+    calibrated["mass_prob"] = N.calibrate(c("mass_p"), N.MASS_KNOTS)
+    return df.withColumns(calibrated).drop("mass_p", *[f"breakout_p{h}" for h in horizons])
 
 
 def with_public_probability(df: DataFrame) -> DataFrame:
     c = F.col
-    df = (
-        df.withColumn(
-            "source_credibility",
-            F.least(
-                F.lit(1.0),
-                c("posterior_reliability") * 0.6 + c("extraction_confidence") * 0.2
-                + F.least(F.lit(1.0), c("family_count") / 3.0) * 0.2,
-            ),
-        )
-        .withColumn(
-            "evidence_diversity",
-            F.least(F.lit(1.0), c("family_count") * 0.35 + c("source_count") * 0.08),
-        )
-        .withColumn(
-            "category_fit",
-            F.greatest(c("constrained_support"), c("realtime_support") * 0.8, c("home_relevance") * 0.75),
-        )
-        .withColumn(
-            "single_source_domination",
-            F.when((c("family_count") <= 1) & (c("source_count") <= 1), 1.0).otherwise(0.0),
-        )
-        .withColumn("public_p", N.logistic(N.linear(PUBLIC, PUBLIC_INTERCEPT)))
-    )
+    df = df.withColumns({
+        "source_credibility": F.least(
+            F.lit(1.0),
+            c("posterior_reliability") * 0.6 + c("extraction_confidence") * 0.2
+            + F.least(F.lit(1.0), c("family_count") / 3.0) * 0.2,
+        ),
+        "evidence_diversity": F.least(
+            F.lit(1.0), c("family_count") * 0.35 + c("source_count") * 0.08
+        ),
+        "category_fit": F.greatest(
+            c("constrained_support"), c("realtime_support") * 0.8, c("home_relevance") * 0.75
+        ),
+        "single_source_domination": F.when(
+            (c("family_count") <= 1) & (c("source_count") <= 1), 1.0
+        ).otherwise(0.0),
+    }).withColumn("public_p", N.logistic(N.linear(PUBLIC, PUBLIC_INTERCEPT)))
     return df.withColumn(
         "public_rankability_prob", N.calibrate(c("public_p"), N.BREAKOUT_KNOTS)
     ).drop("public_p")
@@ -150,39 +145,32 @@ def mass_gamma() -> Column:
 
 def with_scores(df: DataFrame) -> DataFrame:
     c = F.col
-    return (
-        df.withColumn("coming_score", c("breakout_prob_7d") * 4.0)
-        .withColumn("mass_heat", c("mass_prob") * 4.0)
-        .withColumn(
-            "public_score",
-            F.round(
-                0.62 * c("coming_score") + 0.18 * c("mass_heat")
-                + 0.20 * (4.0 * c("public_rankability_prob"))
-                - 0.35 * c("same_work_cluster_penalty") - 0.28 * c("omnipresence_penalty"),
-                4,
-            ),
-        )
-        .withColumn(
-            "model_primary_score",
-            F.round(4.0 * c("breakout_prob_7d") + 4.0 * mass_gamma() * c("mass_prob"), 4),
-        )
-        .withColumn(
-            "heuristic_coming",
-            F.greatest(
-                F.lit(0.0),
-                c("discovery_rise") + c("cross_family_confirm") + c("lead_lag_bonus") + c("novelty")
-                + c("domain_fit") + c("extraction_confidence") - c("maturity_penalty")
-                - c("redundancy_penalty"),
-            ),
-        )
-        .withColumn(
-            "heuristic_mass",
-            F.greatest(
-                F.lit(0.0),
-                c("broad_confirmation") + c("editorial_support") * 0.5 + c("commerce_support") * 0.35
-                + c("sustained_presence") + F.when(c("maturity") > 0.8, 0.35).otherwise(0.0),
-            ),
-        )
+    df = df.withColumns({
+        "coming_score": c("breakout_prob_7d") * 4.0,
+        "mass_heat": c("mass_prob") * 4.0,
+        "model_primary_score": F.round(
+            4.0 * c("breakout_prob_7d") + 4.0 * mass_gamma() * c("mass_prob"), 4
+        ),
+        "heuristic_coming": F.greatest(
+            F.lit(0.0),
+            c("discovery_rise") + c("cross_family_confirm") + c("lead_lag_bonus") + c("novelty")
+            + c("domain_fit") + c("extraction_confidence") - c("maturity_penalty")
+            - c("redundancy_penalty"),
+        ),
+        "heuristic_mass": F.greatest(
+            F.lit(0.0),
+            c("broad_confirmation") + c("editorial_support") * 0.5 + c("commerce_support") * 0.35
+            + c("sustained_presence") + F.when(c("maturity") > 0.8, 0.35).otherwise(0.0),
+        ),
+    })
+    return df.withColumn(
+        "public_score",
+        F.round(
+            0.62 * c("coming_score") + 0.18 * c("mass_heat")
+            + 0.20 * (4.0 * c("public_rankability_prob"))
+            - 0.35 * c("same_work_cluster_penalty") - 0.28 * c("omnipresence_penalty"),
+            4,
+        ),
     )
 
 

@@ -1,4 +1,4 @@
-"""The scoring plan over the ``events`` binding, stage by stage."""
+"""The scoring plan over the ``events`` binding, cut at the stored tables."""
 
 from __future__ import annotations
 
@@ -7,12 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from swellcast import dims
 from swellcast.operators import features as C
 from swellcast.operators import fusion as X
+from swellcast.operators import labels as L
 from swellcast.operators import relations as E
 from swellcast.operators import source_features as A
+from swellcast.plans.stages import stage
 from swellcast.sources import bindings as B
 
 
 def source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (date, candidate, source): the stored source features."""
+    return stage(spark, sf_dir, "source_features", lambda: build_source_features(spark, sf_dir))
+
+
+def build_source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.build_source_features(B.event_mentions(spark, sf_dir), dims.catalog_df(spark))
 
 
@@ -33,5 +40,15 @@ def derived(spark: SparkSession, sf_dir: str, with_relations: bool = True) -> Da
 
 
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per (date, candidate) with probabilities, scores and gates."""
-    return X.fuse(derived(spark, sf_dir))
+    """One wide row per (date, candidate): the stored candidate features."""
+    return stage(spark, sf_dir, "candidate_features", lambda: X.fuse(derived(spark, sf_dir)))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hindsight labels of every day: the stored labels."""
+
+    def build() -> DataFrame:
+        cf = candidate_features(spark, sf_dir)
+        return L.build_labels(cf, L.backfill_plan(cf))
+
+    return stage(spark, sf_dir, "labels", build)

@@ -26,6 +26,11 @@ def clamp(e: str, lo: float, hi: float) -> str:
     return f"greatest({d(lo)}, least({d(hi)}, {e}))"
 
 
+def round4(e: str) -> str:
+    """Half-up on the shortest decimal form, where exact ties are common."""
+    return f"CAST(CAST(CAST(({e}) AS VARCHAR) AS DECIMAL(30, 4)) AS DOUBLE)"
+
+
 MENTIONS = f"""
 raw AS (
   SELECT CAST(ts AS DATE) AS date, event_id, user_id, event_type, value,
@@ -285,7 +290,7 @@ der1 AS (
     CASE WHEN maturity < 0.8 OR has_discovery > 0 OR music_confirmation + show_confirmation <= 0 THEN 0.0
       ELSE round(least(1.0, {d(0.28)} + maturity * {d(0.35)} + (music_confirmation + show_confirmation) * {d(0.18)}), 4) END AS mature_mass_only_penalty,
     {_PERSON} AND direct_raw < 0.08 AND direct_rows = 0 AND (relation_support_total > 0 OR derived_rows > 0) AS relation_only_flag,
-    CASE WHEN {_PERSON} THEN round(least({d(0.35)}, greatest(0, distinct_works - 1) * {d(0.12)} + greatest(0.0, maturity - {d(0.7)}) * 0.25), 4) ELSE 0.0 END AS omnipresence_penalty,
+    CASE WHEN {_PERSON} THEN {round4(f"least({d(0.35)}, greatest(0, distinct_works - 1) * {d(0.12)} + greatest(0.0, maturity - {d(0.7)}) * 0.25)")} ELSE 0.0 END AS omnipresence_penalty,
     least(1.0, greatest(0, same_work - 1) * 0.5 + dominant_work_ratio * {d(0.35)}) AS same_work_cluster_penalty
   FROM joined
 ),

@@ -160,7 +160,7 @@ SELECT date, candidate_id, {_r('direct_support_total', 'direct_confirmation_supp
   'omnipresence_penalty', 'same_work_cluster_penalty')}, same_work AS same_work_relation_count,
   distinct_works AS distinct_work_clusters, work_cluster_id, relation_only_flag FROM derived"""))
 def support_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.derived(spark, sf_dir).select(
+    return P.candidate_features(spark, sf_dir).select(
         "date", "candidate_id",
         *r6("direct_support_total", "direct_confirmation_support", "dominant_work_ratio",
             "omnipresence_penalty", "same_work_cluster_penalty"),
@@ -206,7 +206,7 @@ def relation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fusion_probabilities", O.chain(*O.TO_CF, tail=f"""
 SELECT date, candidate_id, {_r('breakout_prob_1d', 'breakout_prob_3d', 'breakout_prob_7d', 'breakout_prob_14d', 'mass_prob')} FROM cf"""))
 def fusion_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.with_probabilities(P.derived(spark, sf_dir)).select(
+    return P.candidate_features(spark, sf_dir).select(
         "date", "candidate_id",
         *r6("breakout_prob_1d", "breakout_prob_3d", "breakout_prob_7d", "breakout_prob_14d", "mass_prob"),
     )
@@ -219,7 +219,7 @@ SELECT date, candidate_id, 60 AS vector_size, round(CAST(CASE WHEN candidate_kin
   round(regional_overlap, 4) AS regional_overlap FROM derived"""))
 def fusion_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named 60-value feature vector, with a few of its entries shown."""
-    df = P.derived(spark, sf_dir).withColumn("vector", fusion.fusion_vector())
+    df = P.candidate_features(spark, sf_dir).withColumn("vector", fusion.fusion_vector())
     shown = ("candidate_kind_topic", "search_family_score", "discovery_role_score", "show_family_count",
              "novelty", "regional_overlap")
     return df.select(
@@ -228,10 +228,10 @@ def fusion_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("calibration", f"""
-WITH p AS (SELECT event_id, (value % 1000) / 1000 AS p FROM events)
+WITH p AS (SELECT event_id, (event_id % 4999) / 4999 AS p FROM events)
 SELECT event_id, round({O.calibrate('p', N.BREAKOUT_KNOTS)}, 6) AS breakout, round({O.calibrate('p', N.MASS_KNOTS)}, 6) AS mass FROM p""")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = (F.col("value") % 1000) / 1000
+    p = F.col("event_id") % 4999 / 4999
     return B.table(spark, sf_dir, "events").select(
         "event_id",
         F.round(N.calibrate(p, N.BREAKOUT_KNOTS), 6).alias("breakout"),
