@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -53,3 +54,13 @@ def nfkc_each(values: Column) -> Column:
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-block similarity in 0..1; call it after every cheaper test."""
     return _sequence_ratio(a, b)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else html.unescape(v))
+
+
+def html_unescape(text: Column) -> Column:
+    """Entities resolved; text without an ampersand never leaves the JVM."""
+    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)

@@ -46,7 +46,7 @@ def backfill_plan(features: DataFrame) -> DataFrame:
     reach = F.datediff(newest, F.col("date"))
 
     def complete(horizons: tuple[int, ...]) -> Column:
-        return F.filter(F.array(*[F.lit(h) for h in horizons]), lambda h: h <= reach)
+        return F.array_compact(F.array(*[F.when(reach >= h, F.lit(h)) for h in horizons]))
 
     return days.select(
         "date", complete((1, 3, 7, 14)).alias("breakout_horizons"), complete((3, 7)).alias("mass_horizons")

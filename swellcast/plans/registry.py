@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from swellcast.session import apply_defaults
 
-GROUPS = ("queries_events", "queries_learning")
+GROUPS = ("queries_events", "queries_learning", "queries_text")
 
 
 def _modules():
