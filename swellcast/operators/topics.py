@@ -36,17 +36,25 @@ def topic_array(text: Column, limit: int = 10) -> Column:
             F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.PHRASE), F.lit(1)),
         )
     )
-    phrases = F.transform(free, lambda v: surface(None, v, T.normalize_topic_nf(v)))
-    kept = F.filter(F.concat(tags, behaviors, phrases), lambda t: T.keep_topic_nf(t["normalized"]))
-    named = F.transform(
-        kept,
-        lambda t: F.struct(
-            t["candidate_type"].alias("candidate_type"),
-            F.when(t["candidate_type"] == "HASHTAG", t["surface"]).otherwise(t["normalized"]).alias("name"),
-            t["normalized"].alias("normalized"),
-        ),
-    )
-    return F.slice(F.array_distinct(named), 1, limit)
+    leading = F.concat(tags, behaviors)
+
+    def first_topics(candidates: Column) -> Column:
+        phrases = F.transform(candidates, lambda v: surface(None, v, T.normalize_topic_nf(v)))
+        kept = F.filter(F.concat(leading, phrases), lambda t: T.keep_topic_nf(t["normalized"]))
+        named = F.transform(
+            kept,
+            lambda t: F.struct(
+                t["candidate_type"].alias("candidate_type"),
+                F.when(t["candidate_type"] == "HASHTAG", t["surface"]).otherwise(t["normalized"]).alias("name"),
+                t["normalized"].alias("normalized"),
+            ),
+        )
+        return F.slice(F.array_distinct(named), 1, limit)
+
+    # Order is fixed, so a head that already fills the limit settles the answer; only
+    # texts whose head does not are scored to the end.
+    head = T.let(first_topics(F.slice(free, 1, 8 * limit)), lambda t: F.when(F.size(t) >= limit, t))
+    return F.coalesce(head, first_topics(free))
 
 
 def extract_topics(

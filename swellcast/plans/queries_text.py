@@ -94,7 +94,7 @@ def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """
 names AS (
   SELECT 'p' || p_partkey AS id, p_name AS n FROM part UNION ALL SELECT 'b' || p_partkey, upper(left(p_type, 2 + p_partkey % 3)) FROM part
-  UNION ALL SELECT 'd' || p_partkey, CAST(p_retailprice AS BIGINT)::VARCHAR FROM part
+  UNION ALL SELECT 'd' || p_partkey, CAST(floor(p_retailprice) AS BIGINT)::VARCHAR FROM part
   UNION ALL SELECT 'n' || p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'IU' WHEN 1 THEN 'News' WHEN 2 THEN '--__' ELSE 'ラブ' || p_partkey END FROM part)
 """
 
@@ -114,7 +114,7 @@ def proper_noun_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         F.struct(F.concat(F.lit("p"), key).alias("id"), F.col("p_name").alias("n")),
         F.struct(F.concat(F.lit("b"), key).alias("id"), F.upper(F.left("p_type", (2 + key % 3).cast("int"))).alias("n")),
-        F.struct(F.concat(F.lit("d"), key).alias("id"), F.round("p_retailprice").cast("long").cast("string").alias("n")),
+        F.struct(F.concat(F.lit("d"), key).alias("id"), F.floor("p_retailprice").cast("long").cast("string").alias("n")),
         F.struct(F.concat(F.lit("n"), key).alias("id"), made.alias("n")),
     )
     df = p.select(F.explode(rows).alias("r")).select("r.*")
@@ -314,12 +314,12 @@ def product_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.product_items(pages, "p_partkey")
 
 
-@query("show_items", """SELECT p_partkey, p_size AS rank, p_name AS title, p_brand || ',' || p_type AS cast_names, CAST(p_retailprice AS BIGINT) AS points FROM part""")
+@query("show_items", """SELECT p_partkey, p_size AS rank, p_name AS title, p_brand || ',' || p_type AS cast_names, CAST(floor(p_retailprice) AS BIGINT) AS points FROM part""")
 def show_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programme tables rendered from parts, parsed back to rank, title, cast and points."""
     row = F.format_string(
         "<table><tr><td>%d位</td><td><h4 class='t'>%s</h4><div>最新回出演者 <a href='#'>%s</a> <a href='#'>%s</a></div><div>7</div><div>%d</div></td></tr><tr><td>x</td></tr></table>",
-        F.col("p_size"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.round("p_retailprice").cast("long"),
+        F.col("p_size"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.floor("p_retailprice").cast("long"),
     )
     items = X.show_items(B.table(spark, sf_dir, "part").select("p_partkey", row.alias("body")), "p_partkey")
     return items.select("p_partkey", "rank", "title", F.array_join("cast", ",").alias("cast_names"), F.col("points").cast("long").alias("points"))
