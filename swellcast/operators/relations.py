@@ -2,10 +2,150 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swellcast import dims
+from swellcast.functions import text as T
+from swellcast.operators.resolve import default_kind, key_by_kind
+
 RELATION_KEYS = ("src_id", "relation_type", "dst_id")
+# Items of one source carry at most about ten topics; a group past this size is kept as
+# a star around a group node instead of as pairs.
+PAIR_GROUP_MAX = 64
+
+# ``mentions``: candidate_id, candidate_type, name, source_id, source_item_id, rank, url,
+# title, artist, show, from_title.
+
+
+def group_key() -> Column:
+    """The item two mentions share: item id, else rank + url + title, else the surface."""
+    rank = F.coalesce("rank", F.lit(0)).cast("string")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    surface = key_by_kind(F.col("name"), default_kind(F.col("candidate_type")))
+    return (
+        F.when(~blank("source_item_id"), F.concat_ws(":", "source_id", "source_item_id"))
+        .when(
+            ~(blank("url") & blank("title")),
+            F.concat_ws(":", "source_id", rank, F.coalesce("url", F.lit("")), T.match_key(F.coalesce("title", F.lit("")))),
+        )
+        .otherwise(F.concat_ws(":", "source_id", rank, surface))
+    )
+
+
+def group_items(mentions: DataFrame) -> DataFrame:
+    """Distinct members of every item; repeats in a hot group vanish before any join."""
+    key = lambda c: T.match_key(F.coalesce(F.col(c), F.lit("")))
+    return mentions.where(F.coalesce("candidate_id", F.lit("")) != "").select(
+        group_key().alias("group_key"), "candidate_id", "candidate_type", "source_id", key("name").alias("name_key"),
+        key("artist").alias("artist_key"), key("show").alias("show_key"), key("from_title").alias("title_key"),
+    ).distinct()
+
+
+def _both_ways(df: DataFrame, forward: Column, backward: Column, confidence: Column) -> DataFrame:
+    source = F.concat(F.col("source_id"), F.lit(":shared_item"))
+    edge = lambda s, t, d: F.struct(
+        F.col(s).alias("src_id"), t.alias("relation_type"), F.col(d).alias("dst_id"), confidence.alias("confidence"),
+        source.alias("source"),
+    )
+    edges = F.array(edge("a_id", forward, "b_id"), edge("b_id", backward, "a_id"))
+    return df.select(F.explode(edges).alias("e")).select("e.*")
+
+
+def music_relations(items: DataFrame) -> DataFrame:
+    """Track and artist of one item when the track names the artist (equi-join)."""
+    tracks = items.where((F.col("candidate_type") == "MUSIC_TRACK") & (F.col("artist_key") != "")).select(
+        "group_key", F.col("artist_key").alias("name_key"), F.col("candidate_id").alias("a_id"), "source_id"
+    )
+    artists = items.where(F.col("candidate_type") == "MUSIC_ARTIST").select(
+        "group_key", "name_key", F.col("candidate_id").alias("b_id")
+    )
+    joined = tracks.join(artists, ["group_key", "name_key"])
+    return _both_ways(joined, F.lit("performed_by"), F.lit("performs"), F.lit(0.96))
+
+
+def work_relations(items: DataFrame) -> DataFrame:
+    """People of one item tied to the work they name, by show hint or title hint."""
+    works = items.where(F.col("candidate_type").isin(*dims.WORK_TYPES)).select(
+        "group_key", F.col("candidate_id").alias("b_id"), F.col("candidate_type").alias("work_type"), "name_key"
+    )
+    people = items.where(F.col("candidate_type").isin(*dims.PERSON_TYPES)).select(
+        "group_key", F.col("candidate_id").alias("a_id"), "show_key", "title_key", "source_id"
+    )
+    by_show = people.where(F.col("show_key") != "").withColumnRenamed("show_key", "name_key").join(
+        works, ["group_key", "name_key"]
+    )
+    by_title = people.where((F.col("title_key") != "") & (F.col("title_key") != F.col("show_key"))).withColumnRenamed(
+        "title_key", "name_key"
+    ).join(works, ["group_key", "name_key"])
+    kind = F.when(F.col("work_type") == "REALITY_SHOW", "appears_in_reality_show").otherwise("features_in")
+    return _both_ways(by_show, kind, F.lit("has_cast"), F.lit(0.87)).unionByName(
+        _both_ways(by_title, F.lit("associated_with_work"), F.lit("references"), F.lit(0.42))
+    )
+
+
+def _members(items: DataFrame) -> DataFrame:
+    topic = default_kind(F.col("candidate_type")) == "TOPIC"
+    members = items.select(
+        "group_key", "candidate_id", "source_id", topic.alias("is_topic"),
+        F.col("candidate_type").isin(*dims.CONTEXT_TYPES).alias("is_context"),
+        (F.col("candidate_type") == "HASHTAG").alias("is_tag"),
+    ).groupBy("group_key", "candidate_id").agg(
+        F.max("is_topic").alias("is_topic"), F.max("is_context").alias("is_context"),
+        F.max("is_tag").alias("is_tag"), F.min("source_id").alias("source_id"),
+    )
+    sizes = members.groupBy("group_key").agg(F.count("*").alias("group_size"))
+    return members.join(sizes, "group_key")
+
+
+def context_relations(items: DataFrame, group_max: int = PAIR_GROUP_MAX) -> DataFrame:
+    """``about`` and ``co_occurs`` edges between the members of an item.
+
+    Groups up to ``group_max`` members become pairs. A larger group becomes a star:
+    one edge per member to the node ``group:<key>``. Nothing is lost - two candidates
+    co-occur exactly when they share a group node - and the edges stay linear in the
+    members however hot the group is.
+    """
+    m = _members(items)
+    small = m.where(F.col("group_size") <= group_max)
+    topics = small.where("is_topic").select("group_key", F.col("candidate_id").alias("src_id"), "is_tag", "source_id")
+    context = small.where("is_context").select("group_key", F.col("candidate_id").alias("dst_id"))
+    others = small.where("is_topic").select("group_key", F.col("candidate_id").alias("dst_id"))
+    differ = F.col("src_id") != F.col("dst_id")
+    about = topics.join(context, "group_key").where(differ).select(
+        "src_id", F.lit("about").alias("relation_type"), "dst_id",
+        F.when(F.col("is_tag"), 0.84).otherwise(0.74).alias("confidence"),
+        F.concat(F.col("source_id"), F.lit(":shared_item")).alias("source"),
+    )
+    pairs = topics.join(others, "group_key").where(differ).select(
+        "src_id", F.lit("co_occurs").alias("relation_type"), "dst_id", F.lit(0.55).alias("confidence"),
+        F.lit("deterministic:shared_item").alias("source"),
+    )
+    node = F.concat(F.lit("group:"), F.col("group_key"))
+    kinds = F.filter(
+        F.array(
+            F.when(F.col("is_topic"), F.struct(F.lit("co_occurs_via").alias("t"), F.lit(0.55).alias("c"))),
+            F.when(F.col("is_topic"), F.struct(
+                F.lit("about_via").alias("t"), F.when(F.col("is_tag"), 0.84).otherwise(0.74).alias("c"))),
+            F.when(F.col("is_context"), F.struct(F.lit("context_of").alias("t"), F.lit(1.0).alias("c"))),
+        ),
+        lambda k: k.isNotNull(),
+    )
+    stars = m.where(F.col("group_size") > group_max).select(
+        F.col("candidate_id").alias("src_id"), node.alias("dst_id"), F.explode(kinds).alias("k")
+    ).select(
+        "src_id", F.col("k.t").alias("relation_type"), "dst_id", F.col("k.c").alias("confidence"),
+        F.lit("deterministic:shared_item").alias("source"),
+    )
+    return about.unionByName(pairs).unionByName(stars)
+
+
+def build_relations(mentions: DataFrame, group_max: int = PAIR_GROUP_MAX) -> DataFrame:
+    items = group_items(mentions)
+    edges = music_relations(items).unionByName(work_relations(items)).unionByName(
+        context_relations(items, group_max)
+    )
+    return dedupe_relations(edges)
 
 
 def dedupe_relations(relations: DataFrame) -> DataFrame:
@@ -13,5 +153,18 @@ def dedupe_relations(relations: DataFrame) -> DataFrame:
     extra = [c for c in relations.columns if c not in (*RELATION_KEYS, "confidence")]
     return relations.groupBy(*RELATION_KEYS).agg(
         F.max("confidence").alias("confidence"),
-        *[F.max_by(c, "confidence").alias(c) for c in extra],
+        *[F.max_by(c, F.struct("confidence", c)).alias(c) for c in extra],
+    )
+
+
+def related_ids(relations: DataFrame) -> DataFrame:
+    """One-hop neighbours as distinct (candidate, related) rows.
+
+    Rows instead of one array per candidate: a candidate related to most others would
+    otherwise have to fit one row of one task.
+    """
+    both = F.array(
+        F.struct(F.col("src_id").alias("candidate_id"), F.col("dst_id").alias("related_id")),
+        F.struct(F.col("dst_id").alias("candidate_id"), F.col("src_id").alias("related_id")),
     )
+    return relations.where(F.col("src_id") != F.col("dst_id")).select(F.explode(both).alias("r")).select("r.*").distinct()

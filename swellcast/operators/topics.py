@@ -79,7 +79,6 @@ def raise_confidence(mentions: DataFrame, floor: str = "MEDIUM") -> DataFrame:
 
 def mine_topics(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = (), limit: int = 8) -> DataFrame:
     """Topics of a text, else the mined phrases with a coarse type."""
-    topics = topic_array(F.col(text), limit)
     has_any = "|".join(dims.FALLBACK_BEHAVIOR_TOKENS)
     fallback = F.transform(
         T.mined_phrases(F.col(text), limit),
@@ -88,9 +87,9 @@ def mine_topics(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()
             p.alias("name"), p.alias("normalized"),
         ),
     )
-    df = texts.select(*keep, topics.alias("topics"), fallback.alias("mined"))
-    chosen = F.when(F.size("topics") > 0, F.col("topics")).otherwise(F.col("mined"))
+    df = texts.select(*keep, text, topic_array(F.col(text), limit).alias("topics"))
     mined = F.size("topics") == 0
+    chosen = F.when(mined, fallback).otherwise(F.col("topics"))
     return df.select(*keep, mined.alias("from_mining"), F.posexplode(chosen).alias("pos", "t")).select(
         *keep, "from_mining", (F.col("pos") + 1).alias("position"), "t.candidate_type", "t.name"
     )
