@@ -11,6 +11,7 @@ from swellcast.operators import labels as L
 from swellcast.operators import relations as E
 from swellcast.operators import source_features as A
 from swellcast.plans.stages import stage
+from swellcast.session import spread
 from swellcast.sources import bindings as B
 
 
@@ -20,7 +21,7 @@ def source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.build_source_features(B.event_mentions(spark, sf_dir), dims.catalog_df(spark))
+    return A.build_source_features(spread(B.event_mentions(spark, sf_dir)), dims.catalog_df(spark))
 
 
 def aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from swellcast.functions import urls
 from swellcast.operators import topics
 from swellcast.plans import sqltext as S
 from swellcast.plans.shared import joined, r6
+from swellcast.session import spread
 from swellcast.sources import bindings as B
 from swellcast.sources import payloads as X
 
@@ -50,7 +51,7 @@ def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = B.table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("turn"), "conv_id", F.lit("-"), "turn"), "text"
     )
-    return docs.union(parts).union(turns)
+    return spread(docs).union(parts).union(spread(turns))
 
 
 @query("surface_keys", f"""WITH {_NORMED}
@@ -145,7 +146,7 @@ def _tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(
         F.col("text"), F.lit(" #"), src, F.lit("活 を "), F.lit("「"), src, F.lit(" 限定バッグ」 推し"), src, F.lit("する")
     )
-    return B.table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return spread(B.table(spark, sf_dir, "documents").select("doc_id", made.alias("text")))
 
 
 _TAG = r"(#[\p{L}\p{N}_ぁ-んァ-ン一-龥ー]+)"
@@ -196,7 +197,7 @@ def topic_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("phrase_mining")
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mined phrases of whole conversation turns (checked by brute force in tests)."""
-    turns = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = spread(B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return topics.mine_topics(turns, keep=("conv_id", "turn"))
 
 
@@ -275,7 +276,7 @@ _ANCHOR = r'<a[^>]*href="/([^"]*)"[^>]*>'
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "pages").withColumnRenamed("html", "body")
+    return spread(B.table(spark, sf_dir, "pages").withColumnRenamed("html", "body"))
 
 
 @query("page_items", f"""WITH h AS (

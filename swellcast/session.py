@@ -38,15 +38,10 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting at most ``max_rows + 1`` of its rows.
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work every core when a scan has fewer tasks than cores.
 
-    The count stops at the limit, so the check costs a bounded scan. A larger side
-    keeps its ordinary (shuffled) join. The ``limit`` is only in the check; the
-    returned frame is whole.
+    Large inputs already have more splits than cores and pass through without a shuffle.
     """
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
