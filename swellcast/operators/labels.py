@@ -53,11 +53,14 @@ def backfill_plan(features: DataFrame) -> DataFrame:
     )
 
 
-def future_offsets(features: DataFrame, max_horizon: int = MAX_HORIZON) -> DataFrame:
+def future_offsets(
+    features: DataFrame, anchors: DataFrame | None = None, max_horizon: int = MAX_HORIZON
+) -> DataFrame:
     """First day offset at which each outcome shows, per (candidate, anchor day).
 
     Each row offers itself to the anchors before it, so the range lookup becomes an
-    equi-grouping on (candidate, anchor day) with plain minimum aggregates.
+    equi-grouping on (candidate, anchor day) with plain minimum aggregates. ``anchors``
+    (one row per wanted day) drops the other offers before the shuffle.
     """
     offered = features.select(
         "candidate_id",
@@ -71,11 +74,13 @@ def future_offsets(features: DataFrame, max_horizon: int = MAX_HORIZON) -> DataF
         ).alias("home"),
         (F.col("public_gate_passed") | (F.col("public_rankability_prob") >= 0.5)).alias("public"),
     )
-    offered = offered.withColumn("off", F.explode(F.sequence(F.lit(1), F.lit(max_horizon))))
+    offered = offered.withColumn("off", F.explode(F.sequence(F.lit(1), F.lit(max_horizon)))).withColumn(
+        "date", F.date_sub("future_date", F.col("off"))
+    )
+    if anchors is not None:
+        offered = offered.join(anchors.select("date"), "date", "left_semi")
     first = lambda flag: F.min(F.when(F.col(flag), F.col("off")))
-    return offered.groupBy(
-        "candidate_id", F.date_sub("future_date", F.col("off")).alias("date")
-    ).agg(
+    return offered.groupBy("candidate_id", "date").agg(
         first("is_mass").alias("off_mass"),
         *[first(f"has_{f}").alias(f"off_{f}") for f in CONFIRM_FAMILIES],
         first("multi").alias("off_multi"),
@@ -92,7 +97,7 @@ def build_labels(features: DataFrame, plan: DataFrame) -> DataFrame:
         "mass_horizons", "public_noise_penalty", "public_rankability_prob",
         mass_flag().alias("mass_now"),
     )
-    df = anchors.join(future_offsets(features), ["date", "candidate_id"], "left")
+    df = anchors.join(future_offsets(features, plan), ["date", "candidate_id"], "left")
     new_off = {
         f: F.when(~F.array_contains("source_families", f), c(f"off_{f}")) for f in CONFIRM_FAMILIES
     }

@@ -61,45 +61,65 @@ def _strict(name: Column) -> Column:
     return F.lower(T.trim_space(F.regexp_replace(name, T.SPACE, " ")))
 
 
-def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
+def _lock_surfaces(candidates: DataFrame) -> DataFrame:
+    """Exact surfaces of the locked candidates."""
+    names = F.array_union(
+        F.array("canonical_name", "display_name"), F.coalesce("aliases", F.array().cast("array<string>"))
+    )
+    return candidates.where("manual_lock").select("candidate_id", F.transform(names, lambda a: _strict(a)).alias("surfaces"))
+
+
+def _by_external(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Mentions with the candidate their first matching external id points at."""
+    without = mentions.where(F.col("external_ids").isNull()).withColumn("by_external", F.lit(None).cast("string"))
+    carrying = mentions.where(F.col("external_ids").isNotNull())
+    hits = (
+        carrying.select("ordinal", F.posexplode("external_ids").alias("pos", "provider", "external_id"))
+        .join(external_index(candidates), ["provider", "external_id"])
+        .groupBy("ordinal").agg(F.min_by("candidate_id", "pos").alias("by_external"))
+    )
+    # Only mentions that carry ids are shuffled for this lookup.
+    return without.unionByName(carrying.join(hits, "ordinal", "left").select(*without.columns))
+
+
+def resolve(mentions: DataFrame, candidates: DataFrame, stored_aliases: DataFrame | None = None) -> DataFrame:
     """External id, then alias, then typed key; locked candidates need an exact surface.
 
-    The three lookups are left joins against unique keys, so a mention never fans out;
-    a name holding a third of the mentions is split by the runtime's skew join.
+    All lookups are left joins against unique keys, so a mention never fans out; a name
+    holding a third of the mentions is split by the runtime's skew join. An alias index
+    built here covers every key of the typed index, so that third lookup only runs
+    against a stored alias table (match_key, candidate_id), which may lag behind. Lock
+    surfaces travel with the index rows: unresolved mentions never meet a join on NULL.
     """
     records = alias_records(candidates)
+    locks = _lock_surfaces(candidates)
     kind = default_kind(F.col("candidate_type"))
-    df = mentions.withColumn("match_key", key_by_kind(F.col("name"), kind)).withColumn(
-        "typed_key",
-        F.when(kind == "TOPIC", F.col("match_key")).otherwise(F.concat_ws(":", "candidate_type", "match_key")),
-    )
-    ext = (
-        mentions.select("ordinal", F.posexplode("external_ids").alias("pos", "provider", "external_id"))
-        .join(external_index(candidates), ["provider", "external_id"])
-        .groupBy("ordinal").agg(F.min_by("candidate_id", "pos").alias("by_external"))
-    )
-    by_alias = alias_index(records).withColumnRenamed("candidate_id", "by_alias")
-    by_type = typed_index(records).withColumnRenamed("candidate_id", "by_type")
-    df = df.join(ext, "ordinal", "left").join(by_alias, "match_key", "left").join(by_type, "typed_key", "left")
-    df = df.withColumn("target", F.coalesce("by_external", "by_alias", "by_type"))
-    surfaces = F.array_union(
-        F.array("canonical_name", "display_name"), F.coalesce("aliases", F.array().cast("array<string>"))
-    )
-    locks = candidates.where("manual_lock").select(
-        F.col("candidate_id").alias("target"), F.transform(surfaces, lambda a: _strict(a)).alias("surfaces")
-    )
-    df = df.join(locks, "target", "left")
-    allowed = (
-        F.col("by_external").isNotNull() | F.col("surfaces").isNull()
-        | F.array_contains("surfaces", _strict(F.col("name")))
+    active = candidates.where(F.col("status") == "ACTIVE").select("candidate_id")
+    index = alias_index(records) if stored_aliases is None else stored_aliases.select(
+        "match_key", "candidate_id").join(active, "candidate_id", "left_semi")
+
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(locks, "candidate_id", "left").select(
+            key, F.struct("candidate_id", "surfaces").alias(name)
+        )
+
+    df = _by_external(mentions, candidates).withColumn("match_key", key_by_kind(F.col("name"), kind))
+    df = df.join(side(index, "match_key", "by_alias"), "match_key", "left")
+    hit = F.col("by_alias")
+    if stored_aliases is not None:
+        typed = F.when(kind == "TOPIC", F.col("match_key")).otherwise(F.concat_ws(":", "candidate_type", "match_key"))
+        df = df.withColumn("typed_key", typed).join(side(typed_index(records), "typed_key", "by_type"), "typed_key", "left")
+        hit = F.coalesce("by_alias", "by_type")
+    by_name = F.when(
+        hit["surfaces"].isNull() | F.array_contains(hit["surfaces"], _strict(F.col("name"))), hit["candidate_id"]
     )
     how = (
-        F.when(F.col("by_external").isNotNull(), "external").when(F.col("by_alias").isNotNull(), "alias")
-        .when(F.col("by_type").isNotNull(), "typed")
+        F.when(F.col("by_external").isNotNull(), "external").when(F.col("by_alias").isNotNull(), "alias").otherwise("typed")
     )
-    return df.withColumn("candidate_id", F.when(allowed, F.col("target"))).withColumn(
+    df = df.withColumn("candidate_id", F.coalesce("by_external", by_name)).withColumn(
         "resolved_by", F.when(F.col("candidate_id").isNotNull(), how)
-    ).drop("target", "surfaces", "by_external", "by_alias", "by_type", "typed_key")
+    )
+    return df.drop("by_external", "by_alias", "by_type", "typed_key")
 
 
 def mint(resolved: DataFrame) -> DataFrame:

@@ -49,6 +49,17 @@ def test_resolution_cascade(spark):
     assert ids[9] == ids[10] == minted["newname"].candidate_id
 
 
+def test_stored_aliases_fall_through_to_the_typed_key(spark):
+    cands = spark.createDataFrame([cand("a", "Snow Man", "GROUP"), cand("b", "Gone", status="MERGED"), cand("l", "Locked", lock=True)], CAND)
+    m = spark.createDataFrame(
+        [(1, "Snow Man", "GROUP", None), (2, "Snow Man", "PERSON", None), (3, "Nick", "PERSON", None), (4, "old", "PERSON", None), (5, "lo-cked", "PERSON", None)],
+        "ordinal long, name string, candidate_type string, external_ids map<string,string>",
+    )
+    stored = spark.createDataFrame([("nick", "a"), ("old", "b"), ("locked", "l")], "match_key string, candidate_id string")
+    got = {r.ordinal: (r.candidate_id, r.resolved_by) for r in resolve.resolve(m, cands, stored).collect()}
+    assert got == {1: ("a", "typed"), 2: (None, None), 3: ("a", "alias"), 4: (None, None), 5: (None, None)}
+
+
 def test_pairs_equal_all_combinations(spark):
     rnd = random.Random(11)
     base = ["Snow Man", "SnowMan", "abcd", "abxcd", "ab cd ef", "ef cd ab", "longer name here", "longer name", "ぬい活", "IU", "iu", "xyz"]
