@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from swellcast import dims
 from swellcast.functions import text as T
-from swellcast.operators.resolve import default_kind, key_by_kind
+from swellcast.functions.unicode import nfkc_each
+from swellcast.operators.resolve import default_kind, key_by_kind_nf
 
 RELATION_KEYS = ("src_id", "relation_type", "dst_id")
 # Items of one source carry at most about ten topics; a group past this size is kept as
@@ -18,16 +19,29 @@ PAIR_GROUP_MAX = 64
 # title, artist, show, from_title.
 
 
+_TEXTS = ("name", "title", "artist", "show", "from_title")
+
+
+def with_plain_texts(mentions: DataFrame) -> DataFrame:
+    """The text columns NFKC-normalised in one pass (``p_name``, ``p_title``, ...)."""
+    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in _TEXTS])
+    df = mentions.withColumn("_plain", nfkc_each(texts))
+    return df.withColumns({f"p_{c}": F.get("_plain", F.lit(i)) for i, c in enumerate(_TEXTS)}).drop("_plain")
+
+
 def group_key() -> Column:
-    """The item two mentions share: item id, else rank + url + title, else the surface."""
+    """The item two mentions share: item id, else rank + url + title, else the surface.
+
+    Expects the columns of :func:`with_plain_texts`.
+    """
     rank = F.coalesce("rank", F.lit(0)).cast("string")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    surface = key_by_kind(F.col("name"), default_kind(F.col("candidate_type")))
+    surface = key_by_kind_nf(F.col("p_name"), default_kind(F.col("candidate_type")))
     return (
         F.when(~blank("source_item_id"), F.concat_ws(":", "source_id", "source_item_id"))
         .when(
             ~(blank("url") & blank("title")),
-            F.concat_ws(":", "source_id", rank, F.coalesce("url", F.lit("")), T.match_key(F.coalesce("title", F.lit("")))),
+            F.concat_ws(":", "source_id", rank, F.coalesce("url", F.lit("")), T.match_key_nf(F.col("p_title"))),
         )
         .otherwise(F.concat_ws(":", "source_id", rank, surface))
     )
@@ -35,8 +49,9 @@ def group_key() -> Column:
 
 def group_items(mentions: DataFrame) -> DataFrame:
     """Distinct members of every item; repeats in a hot group vanish before any join."""
-    key = lambda c: T.match_key(F.coalesce(F.col(c), F.lit("")))
-    return mentions.where(F.coalesce("candidate_id", F.lit("")) != "").select(
+    key = lambda c: T.match_key_nf(F.col(f"p_{c}"))
+    known = with_plain_texts(mentions.where(F.coalesce("candidate_id", F.lit("")) != ""))
+    return known.select(
         group_key().alias("group_key"), "candidate_id", "candidate_type", "source_id", key("name").alias("name_key"),
         key("artist").alias("artist_key"), key("show").alias("show_key"), key("from_title").alias("title_key"),
     ).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swellcast import dims
 from swellcast.functions import text as T
+from swellcast.functions.unicode import nfkc
 
 # ``candidates``: candidate_id, candidate_type, candidate_kind, canonical_name,
 # display_name, aliases, status, external_ids (map), manual_lock, created_seq.
@@ -18,7 +19,14 @@ def default_kind(candidate_type: Column) -> Column:
 
 
 def key_by_kind(name: Column, kind: Column) -> Column:
-    return F.when(kind == "TOPIC", T.topic_key(name)).otherwise(T.match_key(name))
+    """Match key of a name under its kind's rule; the text is normalised once for both."""
+    return key_by_kind_nf(nfkc(name), kind)
+
+
+def key_by_kind_nf(name: Column, kind: Column) -> Column:
+    return T.let(
+        name, lambda n: F.when(kind == "TOPIC", T.topic_key_nf(n)).otherwise(T.match_key_nf(n))
+    )
 
 
 def alias_records(candidates: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from swellcast.plans import events as P
 from swellcast.plans import oracle_events as O
 from swellcast.plans import sqltext as S
 from swellcast.plans.shared import joined, r6
+from swellcast.plans.stages import stage
 from swellcast.sources import bindings as B
 
 QUERIES = {}
@@ -262,9 +263,12 @@ def _records(sf: DataFrame) -> DataFrame:
 
 
 def _weight_inputs(spark: SparkSession, sf_dir: str):
+    """Run records, stored daily top rows and source settings."""
     sf = P.source_features(spark, sf_dir)
-    settings = _settings(spark, sf_dir)
-    return _records(sf), weights.top_per_source(sf, settings), settings
+    settings = stage(spark, sf_dir, "source_settings", lambda: _settings(spark, sf_dir))
+    top = stage(spark, sf_dir, "source_top", lambda: weights.top_per_source(sf, settings))
+    records = stage(spark, sf_dir, "source_records", lambda: _records(sf))
+    return records, top, settings
 
 
 @query("source_top_m", O.chain(*O.TO_SF, _SETTINGS, tail="SELECT date, source_id, candidate_id, position, round(momentum, 6) AS momentum FROM top_"))
