@@ -15,6 +15,7 @@ from swellcast.plans import sqltext as S
 from swellcast.plans.queries_learning import labels_cte
 from swellcast.plans.shared import joined, r6
 from swellcast.plans.stages import new_path
+from swellcast.session import spread
 from swellcast.sources import bindings as B
 from swellcast.sources import catalog as K
 from swellcast.sources import tables as TB
@@ -142,7 +143,7 @@ rel AS (SELECT src_id, relation_type, dst_id, CAST(max(c) AS DOUBLE) AS confiden
 def _comentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, hint = F.col("l_partkey"), F.concat(F.lit("n"), F.col("l_suppkey") % 40)
     t = B._pick(_COM_TYPES, k % 8)
-    return B.table(spark, sf_dir, "lineitem").select(
+    return spread(B.table(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("part"), "l_partkey").alias("candidate_id"), t.alias("candidate_type"),
         F.concat(F.lit("n"), k % 40).alias("name"), F.lit("LI").alias("source_id"),
         F.col("l_orderkey").cast("string").alias("source_item_id"), F.lit(1).alias("rank"), F.lit("").alias("url"),
