@@ -72,9 +72,12 @@ def write_days(df: DataFrame, path: str, partitions: Sequence[str] = ("date",))
     """Replace exactly the partitions present in ``df`` (idempotent re-run of a day).
 
     Rows go to their partition's writers first, so a day does not leave one small file
-    per task; the random suffix keeps a heavy day on several writers.
+    per task; a row hash keeps a heavy day on several writers. The hash is a function of
+    the row, so a retried task sends every row where it went before.
     """
-    spread = df.repartition(*[F.col(p) for p in partitions], (F.rand() * 8).cast("int"))
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    slot = F.pmod(F.xxhash64(*hashed), F.lit(8))
+    spread = df.repartition(*[F.col(p) for p in partitions], slot)
     (
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions).parquet(path)
