@@ -286,6 +286,27 @@ def apply_edits(edits: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Dat
     return updated, relations
 
 
+def apply_all_edits(edits: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply every edit in order, one conflict-free round at a time.
+
+    Rounds are as many as one candidate has edits. Each round ends in ``checkpoint()``,
+    so the plan does not grow and a lost executor does not replay earlier rounds; the
+    checkpoint folder must be set on the context.
+    """
+    relations = None
+    edits = edits.checkpoint()
+    while not edits.isEmpty():
+        ready, later = ready_edits(edits)
+        updated, links = apply_edits(ready, candidates)
+        candidates = overlay(candidates, updated).checkpoint()
+        links = links.checkpoint()
+        relations = links if relations is None else relations.unionByName(links)
+        edits = later.checkpoint()
+    if relations is None:
+        relations = apply_edits(edits, candidates)[1]
+    return candidates, relations
+
+
 def overlay(candidates: DataFrame, updated: DataFrame) -> DataFrame:
     """Candidates with the updated rows in place of the old ones."""
     cols = candidates.columns

@@ -252,6 +252,22 @@ def test_manual_merge_order(spark):
     assert {r.candidate_id for r in log} == {"a", "b"}
 
 
+def test_all_edits_apply_in_order(spark):
+    from swellcast.plans.stages import shared_folder
+
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    cands = spark.createDataFrame([cand("a", "Alpha"), cand("b", "Beta", aliases=["B2"]), cand("c", "Gamma"), cand("d", "Delta")], CAND)
+    edits = spark.createDataFrame(
+        [("e2", "a", "c", "merge", "c", "2024-01-02", "me"), ("e1", "a", "b", "merge", "a", "2024-01-01", "me"), ("e3", "c", "d", "link", None, "2024-01-03", "me")],
+        "edit_id string, left_id string, right_id string, action string, winner_id string, decided_at string, decided_by string",
+    )
+    after, rel = pairs.apply_all_edits(edits, cands)
+    got = {r.candidate_id: r for r in after.collect()}
+    assert got["c"].aliases == ["Alpha", "Beta", "B2"] and got["c"].merged_from == ["a"] and got["c"].related_ids == ["d"]
+    assert got["a"].status == got["b"].status == "MERGED" and got["a"].merged_into == "c" and got["d"].related_ids == ["c"]
+    assert {(r.src_id, r.dst_id) for r in rel.collect()} == {("c", "d"), ("d", "c")}
+
+
 def test_upsert_keeps_missing_columns(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, s string, v double")
     new = spark.createDataFrame([(2, "x"), (3, "y")], "k int, s string")
