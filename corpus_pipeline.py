@@ -1,12 +1,58 @@
-"""The corpus pipeline: five filtering and encoding stages over ``documents``."""
+"""The corpus pipeline: from ``documents`` to token ids in five stages.
+
+Each stage is (name, function of (spark, docs, sf_dir)); its rows are written as Parquet and read
+again as the next stage's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from swellcast.llm import common, decontaminate, exact_dedup, jaccard, quality, sentencepiece_codec
+
+#: Classifiers, near copies and the tokenizer's vocabulary have no SQL form; tests hold a brute-force run against this one.
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity (5 words, 0.8) the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out benchmark passages; drop documents that are mostly such passages."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left, with the digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    encoded = sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=True)
+    return encoded.drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("SentencePiece encoding and decoding", token_ids),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
