@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from swellcast.llm import decontaminate, exact_dedup, jaccard, quality, sentencepiece_codec
+from swellcast.llm import decontaminate, exact_dedup, jaccard, quality, sentencepiece_codec, wavelet
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_wavelet": wavelet.op8_wavelet,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
