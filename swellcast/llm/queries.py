@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from swellcast.llm import decontaminate, exact_dedup, jaccard, quality, sentencepiece_codec, wavelet
+from swellcast.llm import decontaminate, exact_dedup, jaccard, quality, secret_scan, sentencepiece_codec, wavelet
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_secrets": secret_scan.op3_secrets,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_wavelet": wavelet.op8_wavelet,
