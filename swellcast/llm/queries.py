@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swellcast.llm import decontaminate, exact_dedup, jaccard, pii, quality, secret_scan, sentencepiece_codec, wavelet
+from swellcast.llm import decontaminate, exact_dedup, jaccard, page_text, pii, quality, secret_scan, sentencepiece_codec, wavelet
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_pii": pii.op6_pii,
+    "op7_page_text": page_text.op7_page_text,
     "op8_wavelet": wavelet.op8_wavelet,
     "op10_jaccard": jaccard.op10_jaccard,
 }
