@@ -219,25 +219,30 @@ def _marked(candidates: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, own binary) of every node in ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    shared = rows.sparkSession.sparkContext.broadcast(_marked(nodes.join(wanted, "node").select("doc_id")))
+    """(node, own binary, in_a, in_b) of the nodes in ``pairs``, and by chance of a few others.
+
+    Only documents that the filters may hold are cut into shingles; nothing is shuffled here.
+    """
+    context = rows.sparkSession.sparkContext
+    shared = [context.broadcast(_marked(nodes.join(pairs.select(F.col(side).alias("node")).distinct(), "node").select("doc_id")))
+              for side in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        filters, seen = [s.value for s in shared], set()
         for batch in batches:
             at = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
-            for _, texts in common.slices([batch]):
+            held = [((bits[at >> 3] >> (at & 7)) & 1 == 1) for bits in filters]
+            batch = batch.append_column("in_a", pa.array(held[0])).append_column("in_b", pa.array(held[1]))
+            for part, texts in common.slices([batch.filter(pa.array(held[0] | held[1]))]):
                 sets = shingles(texts, words)
+                named = [node_of(s) for s in sets]
+                fresh = [not (n in seen or seen.add(n)) for n in named]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["node", "own"])
+                    [pa.array(named, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     part.column("in_a"), part.column("in_b")], ["node", "own", "in_a", "in_b"]).filter(pa.array(fresh, pa.bool_()))
 
     bit = F.pmod(F.xxhash64(_id()), F.lit(1 << FILTER_BITS))
-    found = rows.select(bit.alias("bit"), "text").mapInArrow(run, "node long, own binary")
-    # Copies of one set hold the same bytes; the first stands for all.
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return rows.select(bit.alias("bit"), "text").mapInArrow(run, "node long, own binary, in_a boolean, in_b boolean")
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
@@ -250,10 +255,11 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, p
     heavy = pairs.groupBy("a").count().where(F.col("count") > PIVOT_PAIRS).select("a", F.lit(PIVOT_SALTS).alias("_salts"))
     salted = pairs.join(heavy, "a", "left").withColumn(
         "_salt", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1)).cast("long"))).drop("_salts")
-    left = (sets.withColumnRenamed("node", "a").join(heavy, "a", "left")
+    left = (sets.where("in_a").withColumnRenamed("node", "a").join(heavy, "a", "left")
             .select("a", F.col("own").alias("own_a"),
                     F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1)).alias("_salt")))
-    full = salted.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(left, ["a", "_salt"])
+    right = sets.where("in_b").select(F.col("node").alias("b"), F.col("own").alias("own_b"))
+    full = salted.join(right, "b").join(left, ["a", "_salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,8 +309,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pivot_size").alias("size_a"),
         F.col("size").alias("size_b")).agg(F.count("*").alias("n"))
     prefix = F.col("size_b") - F.ceil(F.col("size_b") * percent / 100) + 1
-    first = to_pivot(single).where(_sizes_fit(percent) & (4 * F.col("n") >= prefix)).select("a", "b").union(
-        to_pivot(multi).where(_sizes_fit(percent)).select("a", "b")).distinct()
+    tried = to_pivot(single).where(_sizes_fit(percent) & (4 * F.col("n") >= prefix)).union(
+        to_pivot(multi).where(_sizes_fit(percent)))
+    # The pivot that a member meets most often; its other pivots are round 2's where still open.
+    first = tried.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = _verified(rows, nodes, first, words, percent, "first")
     labels = components(links)
 
