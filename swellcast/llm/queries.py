@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swellcast.llm import decontaminate, exact_dedup, jaccard, page_text, pii, quality, secret_scan, sentencepiece_codec, wavelet
+from swellcast.llm import decontaminate, exact_dedup, jaccard, mixing_lm, page_text, pii, quality, secret_scan, sentencepiece_codec, wavelet
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_page_text": page_text.op7_page_text,
     "op8_wavelet": wavelet.op8_wavelet,
+    "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
