@@ -34,7 +34,7 @@ from swellcast.llm import common
 
 END_ID = 1
 FILE_TOKENS = 2_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
@@ -197,9 +197,9 @@ class Chunks:
         if len(self.index) > CACHE_CHUNKS:
             self.forget()
         # str.split() would also split at other separators; those stay inside a chunk for the library.
-        per_text = [t.translate(_BLANKS).split(" ") for t in texts]
+        per_text = [_chunked(t) for t in texts]
         chunks = [c for cs in per_text for c in cs]
-        new = list(dict.fromkeys(c for c in chunks if c not in self.index))
+        new = list(set(chunks).difference(self.index))
         if new:
             matched = list(map(_PLAIN.fullmatch, new))
             plain = [c for c, m in zip(new, matched, strict=True) if m]
@@ -213,7 +213,13 @@ class Chunks:
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(np.r_[0, ends]) + 1
 
 
-_BLANKS = dict.fromkeys(range(9, 14), " ")
+def _chunked(text: str) -> list[str]:
+    if text.isascii() and "<|" not in text:
+        # The tokenizer lower-cases anyway; only its special tokens are matched before that.
+        text = text.lower()
+    for blank in "\n\t\r\x0b\x0c":
+        text = text.replace(blank, " ")
+    return text.split(" ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -251,20 +257,22 @@ def write_files(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bytes]] = []
-        shard, file, size, width = None, 0, 0, 4
+        shard, file, size, width, offset = None, 0, 0, 4, 0
 
         def flush() -> pa.RecordBatch:
             tokens = np.frombuffer(b"".join(t for _, t in held), f"<u{width}")
             payload = build([i for i, _ in held], np.array([len(t) // width for _, t in held]), tokens)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([file], pa.int32()), pa.array([len(tokens)], pa.int64()),
-                 pa.array([payload], pa.binary())], ["shard", "file", "tokens", "payload"])
+                [pa.array([shard], pa.int32()), pa.array([file], pa.int32()), pa.array([offset], pa.int64()),
+                 pa.array([len(tokens)], pa.int64()), pa.array([payload], pa.binary())],
+                ["shard", "file", "offset", "tokens", "payload"])
 
         for batch in batches:
             for s, i, t, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "tokens", "width")), strict=True):  # noqa: B007
                 if held and (s != shard or size >= FILE_TOKENS):
                     yield flush()
-                    file, size, held = (file + 1 if s == shard else 0), 0, []
+                    file, offset = (file + 1, offset + size) if s == shard else (0, 0)
+                    size, held = 0, []
                 shard = s
                 held.append((i, t))
                 size += len(t) // width
@@ -273,18 +281,15 @@ def write_files(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     dealt = (tokenised(docs, tokenizer_file).withColumn("shard", shard.cast("int")).repartition(shards, "shard")
              .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens"))
-    return common.stored(dealt.mapInArrow(run, "shard int, file int, tokens long, payload binary"), "wavelets")
+    return common.stored(dealt.mapInArrow(run, "shard int, file int, offset long, tokens long, payload binary"), "wavelets")
 
 
 def read_back(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    # One small row per file; the running total needs them in order, level by level.
-    sizes = files.select("shard", "file", "tokens")
-    in_shard = sizes.withColumn("_in", F.sum("tokens").over(
-        Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = sizes.groupBy("shard").agg(F.sum("tokens").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(
-        Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offset = in_shard.join(totals, "shard").select("shard", "file", (F.coalesce("_in", F.lit(0)) + F.col("_before")).alias("offset"))
+    # One row per shard, so as many as shuffle partitions: small enough to order in one task and to broadcast.
+    totals = files.groupBy("shard").agg(F.sum("tokens").alias("_all"))
+    before = totals.select("shard", F.coalesce(F.sum("_all").over(
+        Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +303,7 @@ def read_back(files: DataFrame) -> DataFrame:
                     [pa.array(own.ids, mask=own.null), pa.array(starts + base), pa.array(own.lengths), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(offset, ["shard", "file"]).select("payload", "offset").mapInArrow(
+    return files.join(F.broadcast(before), "shard").select("payload", (F.col("offset") + F.col("before")).alias("offset")).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
