@@ -16,8 +16,8 @@ shingles into rare and frequent ones; the shared order is rare before frequent,
 A bucket never becomes all its pairs. First every member is verified against the bucket's smallest
 node only; the links found are contracted to components. Then only buckets that still hold several
 components are joined across them (in combination buckets the members outside the largest component
-against all), filtered by size and by the positions of the shared prefix shingles, and verified by
-exact intersection. Both rounds together find a link between every two components that have one.
+against all), filtered by size and by the positions of the shared prefix shingles. Candidate pairs of both rounds
+pass a bound from small hash-bucket counts of the two sets and are then verified by exact intersection. Both rounds together find a link between every two components that have one.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; fewer words than the shingle
 length make one shingle of the whole sequence; null or wordless texts have an empty set and no
@@ -48,6 +48,8 @@ CHUNK = 1 << 14
 #: Bits of the filter that keeps documents outside all candidate pairs out of a verification.
 FILTER_BITS = 26
 PIVOT_PAIRS = 1_000
+#: Hash buckets of a set's shape: the overlap of two sets is at most the sum of their buckets' smaller counts.
+SHAPE = 256
 PIVOT_SALTS = 16
 _NO_ID = -(2**63)
 
@@ -94,6 +96,10 @@ def node_of(own: np.ndarray) -> int:
         return int(common.mix64(total + np.uint64(len(own))).view(np.int64)[0])
 
 
+def shape_of(own: np.ndarray) -> bytes:
+    return np.bincount((own & np.uint64(SHAPE - 1)).astype(np.int64), minlength=SHAPE).astype("<u4").tobytes()
+
+
 def at_least(percent: int, size: int) -> int:
     """The overlap that a set of ``size`` needs with any linked set."""
     return -(-percent * size // 100)
@@ -180,27 +186,28 @@ def _sketch(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _indexed(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, node, size; the index keys only at a set's first row in each task."""
+    """Per row: doc_id, node, size; the index keys and the shape only at a set's first row in each task."""
     shared = rows.sparkSession.sparkContext.broadcast(_sketch(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = Keys(shared.value, percent), set()
         for batch, texts in common.slices(batches):
             sets = shingles(texts, words)
-            nodes, singles, combined = [node_of(s) for s in sets], [], []
+            nodes, singles, combined, shapes = [node_of(s) for s in sets], [], [], []
             for node, own in zip(nodes, sets, strict=True):
                 single, multi = (None, None) if node in seen else keys.of(own)
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 singles.append(single)
                 combined.append(multi)
+                shapes.append(None if single is None or not len(own) else shape_of(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64()))],
-                ["doc_id", "node", "size", "singles", "combined"])
+                 pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64())), pa.array(shapes, pa.binary())],
+                ["doc_id", "node", "size", "singles", "combined", "shape"])
 
     return common.stored(rows.mapInArrow(
-        run, "doc_id long, node long, size long, singles array<long>, combined array<long>"), "keys")
+        run, "doc_id long, node long, size long, singles array<long>, combined array<long>, shape binary"), "keys")
 
 
 def _id(col: str = "doc_id") -> Column:
@@ -245,9 +252,27 @@ def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> Da
     return rows.select(bit.alias("bit"), "text").mapInArrow(run, "node long, own binary, in_a boolean, in_b boolean")
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def _possible(index: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shapes allow a link."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shapes = (index.where(F.col("shape").isNotNull()).select("node", "shape").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(shapes.select(F.col("node").alias("b"), F.col("shape").alias("shape_b")), "b").join(
+        shapes.select(F.col("node").alias("a"), F.col("shape").alias("shape_a")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SHAPE).astype(np.int64) for c in ("shape_a", "shape_b"))
+            bound = np.minimum(x, y).sum(1)
+            keep = 100 * bound >= percent * (x.sum(1) + y.sum(1) - bound)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "shape_a", "shape_b").mapInArrow(run, "a long, b long")
+
+
+def _verified(rows: DataFrame, index: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact intersection."""
-    pairs = common.stored(pairs.select("a", "b"), f"{name}-pairs")
+    tried = common.stored(pairs.select("a", "b"), f"{name}-tried")
+    pairs = common.stored(_possible(index, tried, percent), f"{name}-pairs")
     if pairs.isEmpty():
         return pairs
     sets = common.stored(_sets(rows, nodes, pairs, words), f"{name}-sets")
@@ -313,7 +338,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         to_pivot(multi).where(_sizes_fit(percent)))
     # The pivot that a member meets most often; its other pivots are round 2's where still open.
     first = tried.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    links = _verified(rows, nodes, first, words, percent, "first")
+    links = _verified(rows, index, nodes, first, words, percent, "first")
     labels = components(links)
 
     # Round 2: buckets that still hold several components, across them.
@@ -341,7 +366,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             .where((F.col("label_a") != F.col("label_b")) & _sizes_fit(percent))
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
     second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(over).distinct()
-    more = _verified(rows, nodes, second.join(links, ["a", "b"], "left_anti"), words, percent, "second")
+    more = _verified(rows, index, nodes, second.join(links, ["a", "b"], "left_anti"), words, percent, "second")
     labels = components(links.union(more))
 
     best = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
