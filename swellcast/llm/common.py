@@ -8,16 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the documents table, as every filtering stage hands them on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Characters of text that one slice of a batch holds (a single longer text is a slice of its own).
-SLICE_CHARS = 2_000_000
+#: Bytes of text after which a slice of a batch ends.
+SLICE_BYTES = 2_000_000
+#: Rows of a batch sent to Python; texts may be long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of a table of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +56,7 @@ def whole_text(name: str = "text") -> Column:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), whatever else the table carries."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
 
@@ -62,16 +72,14 @@ def fold(name: str, rest: int, modulus: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into slices of bounded text size, so a task's memory does not follow the batch size."""
     for batch in batches:
-        texts = batch.column(text_col).to_pylist()
-        texts = ["" if t is None else t for t in texts]
-        start, held = 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= SLICE_CHARS:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(sizes):
+            base = sizes[start - 1] if start else 0
+            stop = min(int(np.searchsorted(sizes, base + SLICE_BYTES)) + 1, len(sizes))
+            part = batch.slice(start, stop - start)
+            yield part, ["" if t is None else t for t in part.column(text_col).to_pylist()]
+            start = stop
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from swellcast.llm import common
 
 END_ID = 1
-FILE_TOKENS = 2_000_000
-CACHE_CHUNKS = 300_000
+FILE_TOKENS = 1_000_000
+CACHE_CHUNKS = 200_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
-#: Chunks of Latin letters with punctuation behind them: one or two pre-tokens, whatever their ids.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:%&*#$|]*)")
+#: Chunks of Latin letters with punctuation behind them: one or two pre-tokens.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
 
 
 class WaveletFile:
@@ -86,12 +86,12 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the stable partitions undone from the last plane to the first."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[plane].view(np.uint8), count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(out)
             back[~one] = out[: self.zeros[plane]]
-            back[one] = out[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
+            back[one] = out[self.zeros[plane] :] | out.dtype.type(1 << (self.bits - 1 - plane))
             out = back
         return out
 
@@ -140,9 +140,9 @@ def build(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> byt
     blocks = n // (64 * BLOCK) + 1
     words = blocks * BLOCK
     planes, before = np.zeros((bits, words), np.uint64), np.zeros((bits, blocks), np.uint32)
-    order = tokens.astype(np.uint32)
+    order = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     for plane in range(bits):
-        one = (order >> np.uint32(bits - 1 - plane)) & np.uint32(1) == 1
+        one = (order & order.dtype.type(1 << (bits - 1 - plane))) > 0
         padded = np.zeros(words * 64, bool)
         padded[:n] = one
         planes[plane] = np.packbits(padded, bitorder="little").view(np.uint64)
@@ -180,17 +180,29 @@ class Chunks:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         return (np.fromiter((i for c in coded for i in c), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
 
-    def _together(self, chunks: list[str], two: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One call for all: every pre-token ends with an id that carries the word end, so the ids fall apart again."""
-        if not chunks:
+        if not stems:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        coded = self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids
-        ids = np.array(coded, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids])
-        last = np.cumsum(np.array(two, np.int64) + 1) - 1
-        if last[-1] + 1 != len(ends):
-            return self._apart(chunks)
-        return ids, np.diff(np.r_[-1, ends[last]])
+        return (ids, np.diff(np.r_[-1, ends])) if len(ends) == len(stems) else self._apart(stems)
+
+    def _learn(self, new: list[str]) -> None:
+        """Plain chunks are their lower-case stem and the punctuation behind it, two pre-tokens; the rest goes whole."""
+        matched = list(map(_PLAIN.fullmatch, new))
+        rest = [c for c, m in zip(new, matched, strict=True) if not m]
+        plain = [m for m in matched if m]
+        stems, tails = [m[1].lower() for m in plain], [m[2] for m in plain]
+        rest += set(tails).difference(self.index, rest)
+        self._add(rest, *self._apart(rest))
+        fresh = list(set(stems).difference(self.index))
+        self._add(fresh, *self._together(fresh))
+        made = [i for i, m in enumerate(plain) if m[0] not in self.index]
+        parts = np.fromiter((self.index[x] for i in made for x in (stems[i], tails[i])), np.int64, 2 * len(made))
+        starts = np.cumsum(self.lengths) - self.lengths
+        ids = self.flat[common.ranges(starts[parts], self.lengths[parts])]
+        self._add([plain[i][0] for i in made], ids, self.lengths[parts].reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id per text, and the number of ids of each."""
@@ -201,10 +213,7 @@ class Chunks:
         chunks = [c for cs in per_text for c in cs]
         new = list(set(chunks).difference(self.index))
         if new:
-            matched = list(map(_PLAIN.fullmatch, new))
-            plain = [c for c, m in zip(new, matched, strict=True) if m]
-            self._add(plain, *self._together(plain, [m.end(1) > m.start(1) for m in matched if m]))
-            self._add(rest := [c for c, m in zip(new, matched, strict=True) if not m], *self._apart(rest))
+            self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         starts = np.cumsum(self.lengths) - self.lengths
         ids = self.flat[common.ranges(starts[at], self.lengths[at])]
