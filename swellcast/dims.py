@@ -194,11 +194,11 @@ SOFT_QUOTA = {
 
 # --- Fixed values: source groups the rules refer to by id --------------------------------
 
-TRENDS_ENT = "TRENDS_JP_24H_ENT"
-TRENDS_BEAUTY = "TRENDS_JP_24H_BEAUTY_FASHION"
+SEARCH_ENT = "SEARCH_JP_24H_ENT"
+SEARCH_BEAUTY = "SEARCH_JP_24H_BEAUTY_FASHION"
 REALTIME = "YAHOO_REALTIME"
 HOME_SOURCES = (
-    TRENDS_ENT, TRENDS_BEAUTY, REALTIME, "APPLE_MUSIC_JP", "NETFLIX_TV_JP",
+    SEARCH_ENT, SEARCH_BEAUTY, REALTIME, "APPLE_MUSIC_JP", "NETFLIX_TV_JP",
     "NETFLIX_FILMS_JP", "TVER_RANKING_JP", "YOUTUBE_TREND_JP",
 )
 STREAM_SOURCES = ("NETFLIX_TV_JP", "NETFLIX_FILMS_JP")
@@ -207,15 +207,15 @@ SHORT_VIDEO_PREFIX = "TIKTOK_CREATIVE_CENTER"
 SHORT_VIDEO_SOURCES = tuple(
     f"{SHORT_VIDEO_PREFIX}_{s}" for s in ("HASHTAGS", "SONGS", "CREATORS", "VIDEOS")
 )
-CREDIBILITY_SOURCES = (TRENDS_ENT, TRENDS_BEAUTY, REALTIME)
+CREDIBILITY_SOURCES = (SEARCH_ENT, SEARCH_BEAUTY, REALTIME)
 DIRECT_CHART_SOURCES = ("APPLE_MUSIC_JP", "YOUTUBE_TREND_JP")
 UNWEIGHTED_SOURCES = ("WIKI_PAGEVIEWS", "X_SEARCH", "IG_BOOST")
 SURFACE_WEIGHT = {"song": 1.15, "hashtag": 1.0, "video": 0.85, "creator": 0.65}
 BUCKET_BY_SOURCE = {
     "YOUTUBE_TREND_JP": "YOUTUBE",
     "APPLE_MUSIC_JP": "MUSIC", "APPLE_MUSIC_KR": "MUSIC", "APPLE_MUSIC_GLOBAL": "MUSIC",
-    "TRENDS": "TRENDS", "TRENDS_JP_24H_ENT": "TRENDS",
-    "TRENDS_JP_24H_BEAUTY_FASHION": "TRENDS",
+    "SEARCH": "SEARCH", "SEARCH_JP_24H_ENT": "SEARCH",
+    "SEARCH_JP_24H_BEAUTY_FASHION": "SEARCH",
     "NEWS_RSS": "NEWS_RSS", "RAKUTEN_MAG": "MAGAZINES",
     "X_SEARCH": "X", "X_TRENDING": "X",
     "NETFLIX_TV_JP": "RANKINGS_STREAM", "NETFLIX_FILMS_JP": "RANKINGS_STREAM",
@@ -227,42 +227,42 @@ MUSIC_REGION_BY_SOURCE = {
 }
 UNIT_COST = {"X_SEARCH": 5.0, "LLM_SUMMARY": 3.0, "LLM_RESOLUTION": 2.0}
 
-# --- Fixed values: source catalog (id, name, role, primary family, secondary family,
+# --- Fixed values: source catalog (id, role, primary family, secondary family,
 #     status, access mode, credentials, phrases, entities, weight cap) --------------------
 
-_CATALOG = """
-TRENDS|Google Trends Trending Now|DISCOVERY|SEARCH|SOCIAL_DISCOVERY|DISABLED|RSS|0|1|1|1.4
-TRENDS_JP_24H_ENT|Google Trends JP 24h Entertainment|DISCOVERY|SEARCH|SOCIAL_DISCOVERY|CORE|HTML|0|1|1|1.45
-TRENDS_JP_24H_BEAUTY_FASHION|Google Trends JP 24h Beauty and Fashion|DISCOVERY|SEARCH|SOCIAL_DISCOVERY|CORE|HTML|0|1|1|1.45
-YAHOO_REALTIME|Yahoo! Real-time Search|DISCOVERY|SOCIAL_DISCOVERY|SEARCH|CORE|HTML|0|1|1|1.35
-WEAR_WORDS|WEAR Trending Words|DISCOVERY|FASHION_STYLE|COMMERCE|CORE|HTML|0|1|1|1.25
-ZOZO_RANKING|ZOZOTOWN Ranking|COMMERCE|FASHION_STYLE|COMMERCE|CORE|HTML|0|1|1|1.1
-RAKUTEN_FASHION|Rakuten Fashion Ranking|COMMERCE|COMMERCE|FASHION_STYLE|CORE|HTML|0|1|1|1.0
-RAKUTEN_ICHIBA_RANKING|Rakuten Ichiba Ranking API|COMMERCE|COMMERCE|FASHION_STYLE|EXPERIMENTAL|API|1|1|1|0.9
-BILLBOARD_JAPAN|Billboard Japan Rise Charts|CONFIRMATION|MUSIC_CHART|SEARCH|CORE|HTML|0|0|1|1.05
-APPLE_MUSIC_JP|Apple Music Japan|CONFIRMATION|MUSIC_CHART|SEARCH|CORE|API|0|0|1|1.0
-APPLE_MUSIC_KR|Apple Music Korea|CONFIRMATION|MUSIC_CHART|SEARCH|CORE|API|0|0|1|0.9
-APPLE_MUSIC_GLOBAL|Apple Music Global|CONFIRMATION|MUSIC_CHART|SEARCH|DISABLED|API|0|0|1|0.15
-SPOTIFY_EMBED|Spotify Public Embed|CONFIRMATION|MUSIC_CHART|SEARCH|DISABLED|HTML|0|0|1|0.0
-SPOTIFY_CHARTS_JP|Spotify Charts Japan|CONFIRMATION|MUSIC_CHART|SEARCH|EXPERIMENTAL|HTML|0|0|1|0.8
-NETFLIX_TV_JP|Netflix Top 10 TV Japan|CONFIRMATION|SHOW_CHART|EDITORIAL|CORE|HTML|0|0|1|1.0
-NETFLIX_FILMS_JP|Netflix Top 10 Films Japan|CONFIRMATION|SHOW_CHART|EDITORIAL|CORE|HTML|0|0|1|0.95
-TVER_RANKING_JP|TVer Ranking|CONFIRMATION|SHOW_CHART|SOCIAL_DISCOVERY|CORE|HTML|0|0|1|0.95
-TIKTOK_CREATIVE_CENTER|TikTok Creative Center Legacy Aggregate|DISCOVERY|SOCIAL_DISCOVERY|SEARCH|DISABLED|HTML|0|1|1|0.0
-TIKTOK_CREATIVE_CENTER_HASHTAGS|TikTok Creative Center Hashtags|DISCOVERY|SOCIAL_DISCOVERY|SEARCH|CORE|HTML|0|1|0|1.15
-TIKTOK_CREATIVE_CENTER_SONGS|TikTok Creative Center Songs|DISCOVERY|SOCIAL_DISCOVERY|MUSIC_CHART|CORE|HTML|0|0|1|1.0
-TIKTOK_CREATIVE_CENTER_CREATORS|TikTok Creative Center Creators|DISCOVERY|SOCIAL_DISCOVERY|EDITORIAL|EXPERIMENTAL|HTML|0|0|1|0.95
-TIKTOK_CREATIVE_CENTER_VIDEOS|TikTok Creative Center Videos|DISCOVERY|SOCIAL_DISCOVERY|SEARCH|EXPERIMENTAL|HTML|0|1|0|1.0
-EDITORIAL_MODELPRESS|Modelpress|EDITORIAL|EDITORIAL|SOCIAL_DISCOVERY|CORE|HTML|0|1|1|0.95
-EDITORIAL_FASHIONSNAP|FASHIONSNAP|EDITORIAL|EDITORIAL|FASHION_STYLE|CORE|HTML|0|1|1|0.95
-EDITORIAL_MAGAZINE|Curated Editorial Magazine|EDITORIAL|EDITORIAL|REFERENCE|EXPERIMENTAL|HTML|0|1|1|0.8
-YOUTUBE_TREND_JP|YouTube mostPopular JP|CONFIRMATION|VIDEO_CONFIRM|SOCIAL_DISCOVERY|EXPERIMENTAL|API|1|0|1|0.7
-RAKUTEN_MAG|Rakuten Books Magazine|EDITORIAL|EDITORIAL|REFERENCE|DISABLED|API|0|1|1|0.4
-X_SEARCH|X Search Evidence|EVIDENCE_ONLY|SOCIAL_DISCOVERY|REFERENCE|EXPERIMENTAL|LLM_SEARCH|1|1|1|0.0
-WIKI_PAGEVIEWS|Wikipedia Pageviews|REFERENCE|REFERENCE|EDITORIAL|CORE|API|0|0|1|0.0
-"""
+CATALOG = (
+    ("TRENDS", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "DISABLED", "RSS", False, True, True, 1.4),
+    ("SEARCH_JP_24H_ENT", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "CORE", "HTML", False, True, True, 1.45),
+    ("SEARCH_JP_24H_BEAUTY_FASHION", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "CORE", "HTML", False, True, True, 1.45),
+    ("YAHOO_REALTIME", "DISCOVERY", "SOCIAL_DISCOVERY", "SEARCH", "CORE", "HTML", False, True, True, 1.35),
+    ("WEAR_WORDS", "DISCOVERY", "FASHION_STYLE", "COMMERCE", "CORE", "HTML", False, True, True, 1.25),
+    ("ZOZO_RANKING", "COMMERCE", "FASHION_STYLE", "COMMERCE", "CORE", "HTML", False, True, True, 1.1),
+    ("RAKUTEN_FASHION", "COMMERCE", "COMMERCE", "FASHION_STYLE", "CORE", "HTML", False, True, True, 1.0),
+    ("RAKUTEN_ICHIBA_RANKING", "COMMERCE", "COMMERCE", "FASHION_STYLE", "EXPERIMENTAL", "API", True, True, True, 0.9),
+    ("BILLBOARD_JAPAN", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "CORE", "HTML", False, False, True, 1.05),
+    ("APPLE_MUSIC_JP", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "CORE", "API", False, False, True, 1.0),
+    ("APPLE_MUSIC_KR", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "CORE", "API", False, False, True, 0.9),
+    ("APPLE_MUSIC_GLOBAL", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "DISABLED", "API", False, False, True, 0.15),
+    ("SPOTIFY_EMBED", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "DISABLED", "HTML", False, False, True, 0.0),
+    ("SPOTIFY_CHARTS_JP", "CONFIRMATION", "MUSIC_CHART", "SEARCH", "EXPERIMENTAL", "HTML", False, False, True, 0.8),
+    ("NETFLIX_TV_JP", "CONFIRMATION", "SHOW_CHART", "EDITORIAL", "CORE", "HTML", False, False, True, 1.0),
+    ("NETFLIX_FILMS_JP", "CONFIRMATION", "SHOW_CHART", "EDITORIAL", "CORE", "HTML", False, False, True, 0.95),
+    ("TVER_RANKING_JP", "CONFIRMATION", "SHOW_CHART", "SOCIAL_DISCOVERY", "CORE", "HTML", False, False, True, 0.95),
+    ("TIKTOK_CREATIVE_CENTER", "DISCOVERY", "SOCIAL_DISCOVERY", "SEARCH", "DISABLED", "HTML", False, True, True, 0.0),
+    ("TIKTOK_CREATIVE_CENTER_HASHTAGS", "DISCOVERY", "SOCIAL_DISCOVERY", "SEARCH", "CORE", "HTML", False, True, False, 1.15),
+    ("TIKTOK_CREATIVE_CENTER_SONGS", "DISCOVERY", "SOCIAL_DISCOVERY", "MUSIC_CHART", "CORE", "HTML", False, False, True, 1.0),
+    ("TIKTOK_CREATIVE_CENTER_CREATORS", "DISCOVERY", "SOCIAL_DISCOVERY", "EDITORIAL", "EXPERIMENTAL", "HTML", False, False, True, 0.95),
+    ("TIKTOK_CREATIVE_CENTER_VIDEOS", "DISCOVERY", "SOCIAL_DISCOVERY", "SEARCH", "EXPERIMENTAL", "HTML", False, True, False, 1.0),
+    ("EDITORIAL_MODELPRESS", "EDITORIAL", "EDITORIAL", "SOCIAL_DISCOVERY", "CORE", "HTML", False, True, True, 0.95),
+    ("EDITORIAL_FASHIONSNAP", "EDITORIAL", "EDITORIAL", "FASHION_STYLE", "CORE", "HTML", False, True, True, 0.95),
+    ("EDITORIAL_MAGAZINE", "EDITORIAL", "EDITORIAL", "REFERENCE", "EXPERIMENTAL", "HTML", False, True, True, 0.8),
+    ("YOUTUBE_TREND_JP", "CONFIRMATION", "VIDEO_CONFIRM", "SOCIAL_DISCOVERY", "EXPERIMENTAL", "API", True, False, True, 0.7),
+    ("RAKUTEN_MAG", "EDITORIAL", "EDITORIAL", "REFERENCE", "DISABLED", "API", False, True, True, 0.4),
+    ("X_SEARCH", "EVIDENCE_ONLY", "SOCIAL_DISCOVERY", "REFERENCE", "EXPERIMENTAL", "LLM_SEARCH", True, True, True, 0.0),
+    ("WIKI_PAGEVIEWS", "REFERENCE", "REFERENCE", "EDITORIAL", "CORE", "API", False, False, True, 0.0),
+)
 CATALOG_SCHEMA = (
-    "source_id string, display_name string, role string, family_primary string, "
+    "source_id string, role string, family_primary string, "
     "family_secondary string, status string, access_mode string, requires_credentials boolean, "
     "supports_phrase boolean, supports_entity boolean, max_weight_cap double, "
     "availability_tier string"
@@ -271,12 +271,7 @@ CATALOG_SCHEMA = (
 
 def catalog_rows() -> list[tuple]:
     """Catalog rows; the availability tier follows from the status."""
-    rows = []
-    for line in _CATALOG.strip().splitlines():
-        p = line.split("|")
-        tier = "core" if p[5] == "CORE" else "experimental"
-        rows.append((*p[:7], p[7] == "1", p[8] == "1", p[9] == "1", float(p[10]), tier))
-    return rows
+    return [(*row, "core" if row[4] == "CORE" else "experimental") for row in CATALOG]
 
 
 # Sources the batch can fetch; the drift check compares against it.

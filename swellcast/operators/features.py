@@ -122,8 +122,8 @@ def aggregate_candidates(source_features: DataFrame, fit: DataFrame) -> DataFram
         ).alias("short_video_flag"),
         F.max("sv_priority_signal").alias("sv_priority_signal"),
         F.max(sid.isin(*dims.DIRECT_CHART_SOURCES) & direct).alias("direct_chart_row"),
-        total(sid == dims.TRENDS_ENT).alias("ent_raw"),
-        total(sid == dims.TRENDS_BEAUTY).alias("beauty_raw"),
+        total(sid == dims.SEARCH_ENT).alias("ent_raw"),
+        total(sid == dims.SEARCH_BEAUTY).alias("beauty_raw"),
         total(sid == dims.REALTIME).alias("realtime_raw"),
         total(direct).alias("direct_raw"),
         total(direct & (role == "CONFIRMATION")).alias("direct_confirm_raw"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values ---------------------------------------------------------------------
@@ -58,35 +58,25 @@ def future_offsets(
 ) -> DataFrame:
     """First day offset at which each outcome shows, per (candidate, anchor day).
 
-    Each row offers itself to the anchors before it, so the range lookup becomes an
-    equi-grouping on (candidate, anchor day) with plain minimum aggregates. ``anchors``
-    (one row per wanted day) drops the other offers before the shuffle.
+    One window over a candidate's days answers all horizons: the first later day with the
+    outcome inside the range. A candidate has at most one row per day, so no partition
+    outgrows the calendar. ``anchors`` (one row per wanted day) keeps those days only.
     """
-    offered = features.select(
-        "candidate_id",
-        F.col("date").alias("future_date"),
-        mass_flag().alias("is_mass"),
-        *[F.array_contains("source_families", f).alias(f"has_{f}") for f in CONFIRM_FAMILIES],
-        (F.size("source_families") >= 2).alias("multi"),
-        (
-            (F.col("constrained_ent") > 0) | (F.col("constrained_beauty") > 0)
-            | (F.col("realtime_support") > 0)
-        ).alias("home"),
-        (F.col("public_gate_passed") | (F.col("public_rankability_prob") >= 0.5)).alias("public"),
-    )
-    offered = offered.withColumn("off", F.explode(F.sequence(F.lit(1), F.lit(max_horizon)))).withColumn(
-        "date", F.date_sub("future_date", F.col("off"))
-    )
-    if anchors is not None:
-        offered = offered.join(anchors.select("date"), "date", "left_semi")
-    first = lambda flag: F.min(F.when(F.col(flag), F.col("off")))
-    return offered.groupBy("candidate_id", "date").agg(
-        first("is_mass").alias("off_mass"),
-        *[first(f"has_{f}").alias(f"off_{f}") for f in CONFIRM_FAMILIES],
-        first("multi").alias("off_multi"),
-        first("home").alias("off_home"),
-        first("public").alias("off_public"),
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    flags = {
+        "mass": mass_flag(),
+        **{f: F.array_contains("source_families", f) for f in CONFIRM_FAMILIES},
+        "multi": F.size("source_families") >= 2,
+        "home": (F.col("constrained_ent") > 0) | (F.col("constrained_beauty") > 0) | (F.col("realtime_support") > 0),
+        "public": F.col("public_gate_passed") | (F.col("public_rankability_prob") >= 0.5),
+    }
+    # The flags become days before the shuffle, so only numbers travel.
+    days = features.select("candidate_id", "date", day.alias("day"), *[F.when(f, day).alias(f"at_{n}") for n, f in flags.items()])
+    ahead = Window.partitionBy("candidate_id").orderBy("day").rangeBetween(1, max_horizon)
+    out = days.select(
+        "candidate_id", "date", *[(F.min(f"at_{n}").over(ahead) - F.col("day")).alias(f"off_{n}") for n in flags]
     )
+    return out if anchors is None else out.join(anchors.select("date"), "date", "left_semi")
 
 
 def build_labels(features: DataFrame, plan: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,11 @@ def _blocks() -> Column:
     return F.array_distinct(F.filter(keys, lambda v: F.length(v) > 2))
 
 
-def shortlist(features: DataFrame, candidates: DataFrame, top_window: int = TOP_WINDOW) -> DataFrame:
-    """The ``top_window`` best candidates of the day with everything pairing needs."""
-    top = features.select("candidate_id", "primary_score", "source_families", "lane").orderBy(
-        F.desc("primary_score"), "candidate_id"
-    ).limit(top_window)
+def shortlist(features: DataFrame, candidates: DataFrame, top_window: int | None = None) -> DataFrame:
+    """The day's candidates (all, or the ``top_window`` best) with everything pairing needs."""
+    top = features.select("candidate_id", "primary_score", "source_families", "lane")
+    if top_window is not None:
+        top = top.orderBy(F.desc("primary_score"), "candidate_id").limit(top_window)
     df = top.join(candidates, "candidate_id")
     name = F.when(F.coalesce("display_name", F.lit("")) != "", F.col("display_name")).otherwise(F.col("canonical_name"))
     aliases = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -97,9 +99,9 @@ def _guardrails() -> Column:
 
 
 def unresolved_pairs(
-    features: DataFrame, candidates: DataFrame, top_window: int = TOP_WINDOW, max_pairs: int = MAX_PAIRS
+    features: DataFrame, candidates: DataFrame, top_window: int | None = None, max_pairs: int | None = None
 ) -> DataFrame:
-    """The best look-alike pairs among the day's top candidates.
+    """The look-alike pairs among the day's candidates: all, or the ``max_pairs`` best of the ``top_window`` best.
 
     Pairs come from an equi-join on blocking keys, never from all combinations.
     """
@@ -155,9 +157,9 @@ def unresolved_pairs(
         pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "left_name", "right_name",
         priority.alias("raw_priority"), reasons.alias("reasons"), support.alias("support_count"),
     ).where(F.col("raw_priority") >= PRIORITY_MIN)
-    return out.withColumn("priority", F.round("raw_priority", 4)).withColumn(
-        "merge_recommended", F.col("support_count") > 0
-    ).orderBy(F.desc("priority"), "left_id", "right_id").limit(max_pairs).drop("raw_priority")
+    out = out.withColumn("priority", F.round("raw_priority", 4)).withColumn(
+        "merge_recommended", F.col("support_count") > 0).drop("raw_priority")
+    return out if max_pairs is None else out.orderBy(F.desc("priority"), "left_id", "right_id").limit(max_pairs)
 
 
 def surface_signature(prefix: str) -> Column:
@@ -286,22 +288,28 @@ def apply_edits(edits: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Dat
     return updated, relations
 
 
-def apply_all_edits(edits: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_all_edits(edits: DataFrame, candidates: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Apply every edit in order, one conflict-free round at a time.
 
-    Rounds are as many as one candidate has edits. Each round ends in ``checkpoint()``,
-    so the plan does not grow and a lost executor does not replay earlier rounds; the
-    checkpoint folder must be set on the context.
+    Rounds are as many as one candidate has edits. Each round's tables are written below
+    ``folder`` (shared by all executors), so the plan does not grow and a lost executor
+    does not replay earlier rounds.
     """
-    relations = None
-    edits = edits.checkpoint()
+    spark = edits.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    edits, relations = kept(edits, "edits"), None
     while not edits.isEmpty():
         ready, later = ready_edits(edits)
         updated, links = apply_edits(ready, candidates)
-        candidates = overlay(candidates, updated).checkpoint()
-        links = links.checkpoint()
+        candidates = kept(overlay(candidates, updated), "candidates")
+        links = kept(links, "links")
         relations = links if relations is None else relations.unionByName(links)
-        edits = later.checkpoint()
+        edits = kept(later, "edits")
     if relations is None:
         relations = apply_edits(edits, candidates)[1]
     return candidates, relations

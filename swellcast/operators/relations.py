@@ -11,9 +11,8 @@ from swellcast.functions.unicode import nfkc_each
 from swellcast.operators.resolve import default_kind, key_by_kind_nf
 
 RELATION_KEYS = ("src_id", "relation_type", "dst_id")
-# Items of one source carry at most about ten topics; a group past this size is kept as
-# a star around a group node instead of as pairs.
-PAIR_GROUP_MAX = 64
+# Edges from a member to the node of its group.
+VIA_TYPES = ("co_occurs_via", "about_via", "context_of")
 
 # ``mentions``: candidate_id, candidate_type, name, source_id, source_item_id, rank, url,
 # title, artist, show, from_title.
@@ -99,67 +98,29 @@ def work_relations(items: DataFrame) -> DataFrame:
     )
 
 
-def _members(items: DataFrame) -> DataFrame:
-    topic = default_kind(F.col("candidate_type")) == "TOPIC"
-    members = items.select(
-        "group_key", "candidate_id", "source_id", topic.alias("is_topic"),
-        F.col("candidate_type").isin(*dims.CONTEXT_TYPES).alias("is_context"),
-        (F.col("candidate_type") == "HASHTAG").alias("is_tag"),
-    ).groupBy("group_key", "candidate_id").agg(
-        F.max("is_topic").alias("is_topic"), F.max("is_context").alias("is_context"),
-        F.max("is_tag").alias("is_tag"), F.min("source_id").alias("source_id"),
-    )
-    sizes = members.groupBy("group_key").agg(F.count("*").alias("group_size"))
-    return members.join(sizes, "group_key")
-
-
-def context_relations(items: DataFrame, group_max: int = PAIR_GROUP_MAX) -> DataFrame:
-    """``about`` and ``co_occurs`` edges between the members of an item.
+def group_relations(items: DataFrame) -> DataFrame:
+    """One edge per role of a member to its group's node, at every group size.
 
-    Groups up to ``group_max`` members become pairs. A larger group becomes a star:
-    one edge per member to the node ``group:<key>``. Nothing is lost - two candidates
-    co-occur exactly when they share a group node - and the edges stay linear in the
-    members however hot the group is.
+    Two topics co-occur, and a topic is about a context member, exactly when they share a
+    node; :func:`related_ids` and :func:`already_related` read it so, by equi-join. The edges
+    are linear in the members however hot a group is.
     """
-    m = _members(items)
-    small = m.where(F.col("group_size") <= group_max)
-    topics = small.where("is_topic").select("group_key", F.col("candidate_id").alias("src_id"), "is_tag", "source_id")
-    context = small.where("is_context").select("group_key", F.col("candidate_id").alias("dst_id"))
-    others = small.where("is_topic").select("group_key", F.col("candidate_id").alias("dst_id"))
-    differ = F.col("src_id") != F.col("dst_id")
-    about = topics.join(context, "group_key").where(differ).select(
-        "src_id", F.lit("about").alias("relation_type"), "dst_id",
-        F.when(F.col("is_tag"), 0.84).otherwise(0.74).alias("confidence"),
-        F.concat(F.col("source_id"), F.lit(":shared_item")).alias("source"),
-    )
-    pairs = topics.join(others, "group_key").where(differ).select(
-        "src_id", F.lit("co_occurs").alias("relation_type"), "dst_id", F.lit(0.55).alias("confidence"),
-        F.lit("deterministic:shared_item").alias("source"),
-    )
-    node = F.concat(F.lit("group:"), F.col("group_key"))
-    kinds = F.filter(
-        F.array(
-            F.when(F.col("is_topic"), F.struct(F.lit("co_occurs_via").alias("t"), F.lit(0.55).alias("c"))),
-            F.when(F.col("is_topic"), F.struct(
-                F.lit("about_via").alias("t"), F.when(F.col("is_tag"), 0.84).otherwise(0.74).alias("c"))),
-            F.when(F.col("is_context"), F.struct(F.lit("context_of").alias("t"), F.lit(1.0).alias("c"))),
-        ),
-        lambda k: k.isNotNull(),
-    )
-    stars = m.where(F.col("group_size") > group_max).select(
-        F.col("candidate_id").alias("src_id"), node.alias("dst_id"), F.explode(kinds).alias("k")
-    ).select(
-        "src_id", F.col("k.t").alias("relation_type"), "dst_id", F.col("k.c").alias("confidence"),
-        F.lit("deterministic:shared_item").alias("source"),
-    )
-    return about.unionByName(pairs).unionByName(stars)
-
-
-def build_relations(mentions: DataFrame, group_max: int = PAIR_GROUP_MAX) -> DataFrame:
-    items = group_items(mentions)
-    edges = music_relations(items).unionByName(work_relations(items)).unionByName(
-        context_relations(items, group_max)
-    )
+    topic = default_kind(F.col("candidate_type")) == "TOPIC"
+    about = F.when(F.col("candidate_type") == "HASHTAG", 0.84).otherwise(0.74)
+    role = lambda when, name, confidence: F.when(when, F.struct(F.lit(name).alias("t"), confidence.alias("c")))
+    roles = F.array_compact(F.array(
+        role(topic, "co_occurs_via", F.lit(0.55)), role(topic, "about_via", about),
+        role(F.col("candidate_type").isin(*dims.CONTEXT_TYPES), "context_of", F.lit(1.0)),
+    ))
+    return items.select(
+        F.col("candidate_id").alias("src_id"), F.concat(F.lit("group:"), "group_key").alias("dst_id"),
+        F.explode(roles).alias("r"), F.concat("source_id", F.lit(":shared_item")).alias("source"),
+    ).select("src_id", F.col("r.t").alias("relation_type"), "dst_id", F.col("r.c").alias("confidence"), "source")
+
+
+def build_relations(items: DataFrame) -> DataFrame:
+    """Relations of the items of :func:`group_items`; store the items first, three branches read them."""
+    edges = music_relations(items).unionByName(work_relations(items)).unionByName(group_relations(items))
     return dedupe_relations(edges)
 
 
@@ -172,14 +133,45 @@ def dedupe_relations(relations: DataFrame) -> DataFrame:
     )
 
 
-def related_ids(relations: DataFrame) -> DataFrame:
-    """One-hop neighbours as distinct (candidate, related) rows.
+def _memberships(relations: DataFrame) -> DataFrame:
+    """Per (node, candidate): whether it is a topic and whether it is a context member."""
+    via = relations.where(F.col("relation_type").isin(*VIA_TYPES))
+    return via.groupBy(F.col("dst_id").alias("node"), F.col("src_id").alias("candidate_id")).agg(
+        F.max(F.col("relation_type") != "context_of").alias("topic"), F.max(F.col("relation_type") == "context_of").alias("context"))
+
+
+def related_ids(relations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One-hop neighbours as distinct (candidate, related) rows, candidates only.
 
-    Rows instead of one array per candidate: a candidate related to most others would
-    otherwise have to fit one row of one task.
+    ``asked`` (candidate_id) limits the left side, so the output is bounded by the asked
+    candidates times their groups; without it the output is every related pair, which in a
+    group of n members is of the order of n squared.
     """
+    direct = relations.where(~F.col("relation_type").isin(*VIA_TYPES) & (F.col("src_id") != F.col("dst_id")))
     both = F.array(
         F.struct(F.col("src_id").alias("candidate_id"), F.col("dst_id").alias("related_id")),
         F.struct(F.col("dst_id").alias("candidate_id"), F.col("src_id").alias("related_id")),
     )
-    return relations.where(F.col("src_id") != F.col("dst_id")).select(F.explode(both).alias("r")).select("r.*").distinct()
+    near = direct.select(F.explode(both).alias("r")).select("r.*")
+    members = _memberships(relations)
+    mine = members
+    if asked is not None:
+        asked = asked.select("candidate_id").distinct()
+        near, mine = (df.join(asked, "candidate_id", "left_semi") for df in (near, members))
+    other = members.select("node", F.col("candidate_id").alias("related_id"), F.col("topic").alias("o_topic"), F.col("context").alias("o_context"))
+    shared = mine.join(other, "node").where(
+        (F.col("candidate_id") != F.col("related_id")) & ((F.col("topic") & (F.col("o_topic") | F.col("o_context"))) | (F.col("context") & F.col("o_topic"))))
+    return near.unionByName(shared.select("candidate_id", "related_id")).distinct()
+
+
+def already_related(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """The pairs (left_id, right_id) that are related directly or share a group as topics or topic and context."""
+    ends = pairs.select("left_id", "right_id").distinct()
+    direct = relations.select(F.col("src_id").alias("left_id"), F.col("dst_id").alias("right_id"))
+    flipped = direct.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
+    members = _memberships(relations)
+    side = lambda s: members.select("node", F.col("candidate_id").alias(f"{s}_id"), F.col("topic").alias(f"{s}_topic"), F.col("context").alias(f"{s}_context"))
+    grouped = ends.join(side("left"), "left_id").join(side("right"), ["right_id", "node"]).where(
+        (F.col("left_topic") & (F.col("right_topic") | F.col("right_context"))) | (F.col("left_context") & F.col("right_topic")))
+    return ends.join(direct.unionByName(flipped), ["left_id", "right_id"], "left_semi").unionByName(
+        grouped.select("left_id", "right_id")).distinct()

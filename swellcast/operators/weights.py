@@ -46,8 +46,17 @@ def source_settings(config: DataFrame, cfg: WeightingConfig | None = None) -> Da
     return df.withColumn("top_m", F.coalesce("top_m", default_m))
 
 
+def largest_top_m(settings: DataFrame) -> int:
+    """The largest M of the settings table, which has one row per catalogued source."""
+    return int(settings.agg(F.max("top_m")).first()[0] or 0)
+
+
 def top_per_source(source_features: DataFrame, settings: DataFrame) -> DataFrame:
-    """Daily top-M of each source by positive momentum; the window prunes map-side."""
+    """Daily top-M of each source by positive momentum.
+
+    The largest M of all sources stands in the rank filter as a literal, so every task cuts its
+    part of a hot (day, source) before the shuffle; each source's own M applies after it.
+    """
     ranked = source_features.where(F.col("momentum") > 0).select(
         "date", "source_id", "candidate_id", "momentum"
     )
@@ -55,7 +64,8 @@ def top_per_source(source_features: DataFrame, settings: DataFrame) -> DataFrame
     w = Window.partitionBy("date", "source_id").orderBy(F.desc("momentum"), "candidate_id")
     return (
         ranked.withColumn("position", F.row_number().over(w))
-        .join(F.broadcast(limits), "source_id")  # one row per catalogued source
+        .where(F.col("position") <= largest_top_m(settings))
+        .join(limits, "source_id")
         .where(F.col("position") <= F.col("top_m"))
         .drop("top_m")
     )
@@ -122,18 +132,16 @@ def predictive_f1(
         "date", "source_id", "candidate_id",
         (F.coalesce("prior", F.lit(1.0)) * c("momentum")).alias("share"),
     )
-    most = contributions.groupBy("date", "source_id").agg(F.count("*").alias("m")).groupBy("date").agg(
-        F.max("m").alias("most")
-    )
+    # No source has more picks on a day than the largest M, so a literal cuts each day's totals before the shuffle.
+    most = int(contributions.groupBy("date", "source_id").count().agg(F.max("count")).first()[0] or 0)
     totals = contributions.groupBy("date", "candidate_id").agg(
         F.sum("share").alias("total"), F.count("*").alias("contributors")
     )
     w = Window.partitionBy("date").orderBy(F.desc("total"), "candidate_id")
     head = (
         totals.withColumn("_rn", F.row_number().over(w))
-        .join(most, "date")
-        .where(c("_rn") <= c("most") + cfg.top_k_for_future)
-        .drop("_rn", "most")
+        .where(c("_rn") <= most + cfg.top_k_for_future)
+        .drop("_rn")
     )
     sources = anchors.select("date", "source_id").distinct()
     loo = (

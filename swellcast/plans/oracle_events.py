@@ -52,9 +52,9 @@ mentions AS (
 ),
 catalogued AS (
   SELECT *, CASE WHEN {S.one_of('candidate_type', dims.TOPIC_TYPES)} THEN 'TOPIC' ELSE 'ENTITY' END AS candidate_kind,
-    {S.case('source_id', {s: _ROWS[s][2] for s in _USED}, None)} AS role,
-    {S.case('source_id', {s: _ROWS[s][3] for s in _USED}, None)} AS family,
-    {S.case('source_id', {s: _ROWS[s][10] for s in _USED}, None)} AS cap
+    {S.case('source_id', {s: _ROWS[s][1] for s in _USED}, None)} AS role,
+    {S.case('source_id', {s: _ROWS[s][2] for s in _USED}, None)} AS family,
+    {S.case('source_id', {s: _ROWS[s][9] for s in _USED}, None)} AS cap
   FROM mentions
 ),
 daily AS (
@@ -169,8 +169,8 @@ agg0 AS (
     max(CAST(role = 'DISCOVERY' AND short AND asia_priority AND conf = 2 AS INT)) = 1 AS sv_flag,
     max(CAST(role = 'DISCOVERY' AND short AND conf = 2 AND (list_contains(countries, 'JP') OR len(countries) >= 2) AS INT)) = 1 AS sv_signal,
     max(CAST({S.one_of('source_id', dims.DIRECT_CHART_SOURCES)} AND NOT derived AS INT)) = 1 AS direct_chart,
-    {_total("source_id = 'TRENDS_JP_24H_ENT'")} AS ent_raw,
-    {_total("source_id = 'TRENDS_JP_24H_BEAUTY_FASHION'")} AS beauty_raw,
+    {_total("source_id = 'SEARCH_JP_24H_ENT'")} AS ent_raw,
+    {_total("source_id = 'SEARCH_JP_24H_BEAUTY_FASHION'")} AS beauty_raw,
     {_total("source_id = 'YAHOO_REALTIME'")} AS realtime_raw,
     {_total("NOT derived")} AS direct_raw, {_total("NOT derived AND role = 'CONFIRMATION'")} AS direct_confirm_raw,
     count(*) FILTER (WHERE NOT derived) AS direct_rows, count(*) FILTER (WHERE derived) AS derived_rows,

@@ -84,7 +84,7 @@ def significance_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT date, candidate_id, source_id, role AS source_role, family AS family_primary, domain AS domain_class,
   round(signal, 6) AS signal, obs AS observation_count, ['LOW', 'MEDIUM', 'HIGH'][conf + 1] AS confidence,
   array_to_string(list_concat(list_filter(countries, lambda c: c = 'JP'), list_filter(countries, lambda c: c <> 'JP')), ',') AS countries,
-  array_to_string(regions, ',') AS regions, coalesce(work, '') AS work_cluster_id, derived AS derived_from_work,
+  coalesce(array_to_string(regions, ','), '') AS regions, coalesce(work, '') AS work_cluster_id, derived AS derived_from_work,
   best_rank, round(surprise01, 6) AS surprise01 FROM sf"""))
 def source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.source_features(spark, sf_dir).select(
@@ -326,7 +326,7 @@ def interleave_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT date, candidate_id, round(sum(score) + bonus, 6) AS trend_score, bonus AS multi_bonus,
   coalesce(string_agg(bucket, ',' ORDER BY round(score, 9) DESC, bucket) FILTER (WHERE score > 0), '') AS buckets
 FROM (SELECT *, CAST(greatest(0, least(sum(active) OVER (PARTITION BY date, candidate_id) - 1, 3)) AS DOUBLE) AS bonus FROM (
-  SELECT date, candidate_id, {S.case('source_id', {k: v for k, v in dims.BUCKET_BY_SOURCE.items()}, 'TRENDS')} AS bucket,
+  SELECT date, candidate_id, {S.case('source_id', {k: v for k, v in dims.BUCKET_BY_SOURCE.items()}, 'SEARCH')} AS bucket,
     sum(greatest(0, s1) + 0.7 * greatest(0, s2) + 0.7 * 0.7 * greatest(0, s3)) AS score,
     count(*) FILTER (WHERE s1 >= 2) AS active FROM sf GROUP BY ALL))
 GROUP BY date, candidate_id, bonus"""))
@@ -383,7 +383,7 @@ def _document_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("ordinal"),
         F.concat(F.lit("c"), doc % 97).alias("candidate_id"),
         F.col("source").alias("source_id"),
-        F.left("text", F.lit(12)).alias("title"),
+        F.col("text").alias("title"),
         F.when(doc % 3 == 0, "").otherwise(F.concat(F.lit("https://e.example/"), doc % 11)).alias("url"),
         F.when(doc % 2 == 0, F.concat(F.lit("chars:"), F.col("n_chars") % 7)).otherwise("").alias("metric"),
     )

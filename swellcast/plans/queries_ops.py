@@ -12,6 +12,7 @@ from swellcast.operators import health, labels, pairs, ranking, relations, resol
 from swellcast.plans import events as P
 from swellcast.plans import oracle_events as O
 from swellcast.plans import sqltext as S
+from swellcast.plans import stages
 from swellcast.plans.queries_learning import labels_cte
 from swellcast.plans.shared import joined, r6
 from swellcast.plans.stages import new_path
@@ -130,36 +131,62 @@ mus AS (SELECT a.id AS a, b.id AS b FROM m0 a JOIN m0 b ON a.g = b.g AND a.hint
 wrk AS (SELECT p.id AS a, w.id AS b, w.t FROM m0 p JOIN m0 w ON p.g = w.g AND p.hint = w.name WHERE p.t IN ('PERSON', 'MUSIC_ARTIST') AND w.t IN ('SHOW', 'REALITY_SHOW')),
 tp AS (SELECT DISTINCT g, id, t FROM m0 WHERE {S.one_of('t', dims.TOPIC_TYPES)}),
 cx AS (SELECT DISTINCT g, id FROM m0 WHERE {S.one_of('t', dims.CONTEXT_TYPES)}),
-e AS (
+direct AS (
   SELECT a AS src_id, 'performed_by' AS relation_type, b AS dst_id, 0.96 AS c FROM mus UNION ALL SELECT b, 'performs', a, 0.96 FROM mus
   UNION ALL SELECT a, CASE WHEN t = 'REALITY_SHOW' THEN 'appears_in_reality_show' ELSE 'features_in' END, b, 0.87 FROM wrk
-  UNION ALL SELECT b, 'has_cast', a, 0.87 FROM wrk
-  UNION ALL SELECT tp.id, 'about', cx.id, CASE WHEN tp.t = 'HASHTAG' THEN 0.84 ELSE 0.74 END FROM tp JOIN cx ON tp.g = cx.g AND tp.id <> cx.id
-  UNION ALL SELECT x.id, 'co_occurs', y.id, 0.55 FROM tp x JOIN tp y ON x.g = y.g AND x.id <> y.id),
-rel AS (SELECT src_id, relation_type, dst_id, CAST(max(c) AS DOUBLE) AS confidence FROM e GROUP BY ALL)
+  UNION ALL SELECT b, 'has_cast', a, 0.87 FROM wrk),
+e AS (
+  SELECT * FROM direct UNION ALL SELECT id, 'co_occurs_via', 'group:' || g, 0.55 FROM tp
+  UNION ALL SELECT id, 'about_via', 'group:' || g, CASE WHEN t = 'HASHTAG' THEN 0.84 ELSE 0.74 END FROM tp
+  UNION ALL SELECT id, 'context_of', 'group:' || g, 1.0 FROM cx),
+rel AS (SELECT src_id, relation_type, dst_id, CAST(max(c) AS DOUBLE) AS confidence FROM e GROUP BY ALL),
+near AS (
+  SELECT src_id AS candidate_id, dst_id AS related_id FROM direct UNION SELECT dst_id, src_id FROM direct
+  UNION SELECT tp.id, cx.id FROM tp JOIN cx USING (g) UNION SELECT cx.id, tp.id FROM tp JOIN cx USING (g)
+  UNION SELECT x.id, y.id FROM tp x JOIN tp y USING (g))
 """
+#: The same mentions in large groups: one per supplier instead of one per order.
+_HOT = _COM.replace("l_orderkey", "l_suppkey")
 
 
-def _comentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _comentions(spark: SparkSession, sf_dir: str, group: str = "l_orderkey") -> DataFrame:
     k, hint = F.col("l_partkey"), F.concat(F.lit("n"), F.col("l_suppkey") % 40)
     t = B._pick(_COM_TYPES, k % 8)
     return spread(B.table(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("part"), "l_partkey").alias("candidate_id"), t.alias("candidate_type"),
         F.concat(F.lit("n"), k % 40).alias("name"), F.lit("LI").alias("source_id"),
-        F.col("l_orderkey").cast("string").alias("source_item_id"), F.lit(1).alias("rank"), F.lit("").alias("url"),
+        F.col(group).cast("string").alias("source_item_id"), F.lit(1).alias("rank"), F.lit("").alias("url"),
         F.lit("").alias("title"), hint.alias("artist"), hint.alias("show"), F.lit("").alias("from_title"),
     )
 
 
+def _items(spark: SparkSession, sf_dir: str, group: str = "l_orderkey") -> DataFrame:
+    """The members of all groups, stored once for every reader."""
+    return stages.stage(spark, sf_dir, f"items_{group}", lambda: relations.group_items(_comentions(spark, sf_dir, group)))
+
+
 @query("comention_relations", f"WITH {_COM} SELECT src_id, relation_type, dst_id, confidence FROM rel")
 def comention_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.build_relations(_comentions(spark, sf_dir)).select(*relations.RELATION_KEYS, "confidence")
+    return relations.build_relations(_items(spark, sf_dir)).select(*relations.RELATION_KEYS, "confidence")
 
 
-@query("related_ids", f"""WITH {_COM} SELECT candidate_id, related_id FROM (
-  SELECT src_id AS candidate_id, dst_id AS related_id FROM rel UNION SELECT dst_id, src_id FROM rel) WHERE candidate_id <> related_id""")
+@query("related_ids", f"WITH {_COM} SELECT candidate_id, related_id FROM near WHERE candidate_id <> related_id")
 def related_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.related_ids(relations.build_relations(_comentions(spark, sf_dir)))
+    return relations.related_ids(relations.build_relations(_items(spark, sf_dir)))
+
+
+@query("supplier_relations", f"WITH {_HOT} SELECT src_id, relation_type, dst_id, confidence FROM rel")
+def supplier_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same representation where a group has hundreds of members."""
+    return relations.build_relations(_items(spark, sf_dir, "l_suppkey")).select(*relations.RELATION_KEYS, "confidence")
+
+
+@query("related_of_asked", f"""WITH {_HOT} SELECT candidate_id, related_id FROM near
+WHERE candidate_id <> related_id AND CAST(substr(candidate_id, 5) AS BIGINT) % 50 = 0""")
+def related_of_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every fiftieth part among large groups."""
+    asked = B.table(spark, sf_dir, "part").where(F.col("p_partkey") % 50 == 0).select(F.concat(F.lit("part"), "p_partkey").alias("candidate_id"))
+    return relations.related_ids(relations.build_relations(_items(spark, sf_dir, "l_suppkey")), asked)
 
 
 def _pair_inputs(spark: SparkSession, sf_dir: str):
@@ -180,25 +207,34 @@ def _pair_inputs(spark: SparkSession, sf_dir: str):
 
 @query("unresolved_pairs")
 def unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best look-alike pairs (spelling ratio by function; checked by brute force in tests)."""
-    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir), max_pairs=pairs.MAX_PAIRS_BACKFILL)
+    """All look-alike pairs (spelling ratio by function; checked by brute force in tests)."""
+    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir))
     return out.select("pair_id", "left_id", "right_id", r6("priority"), joined("reasons"), "support_count")
 
 
+@query("top_unresolved_pairs")
+def top_unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view an editor works through: the best pairs of the best candidates."""
+    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir), top_window=pairs.TOP_WINDOW, max_pairs=pairs.MAX_PAIRS_BACKFILL)
+    return out.select("pair_id", "left_id", "right_id", r6("priority"), "support_count")
+
+
 _PAIRS_SQL = """
-nm AS (SELECT p_name, array_agg(DISTINCT 'c' || p_partkey ORDER BY 'c' || p_partkey) AS ids FROM part GROUP BY ALL),
-pr AS (SELECT ids[1] AS left_id, ids[2] AS right_id, len(ids) % 3 AS support_count FROM nm WHERE len(ids) >= 2),
+nm AS (SELECT p_name, 'c' || p_partkey AS id, p_partkey // 1000 AS block, row_number() OVER (PARTITION BY p_name, p_partkey // 1000 ORDER BY p_partkey) AS rn FROM part),
+pr AS (SELECT a.id AS left_id, b.id AS right_id, a.rn % 3 AS support_count FROM nm a JOIN nm b ON a.p_name = b.p_name AND a.block = b.block AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1),
 pid AS (SELECT *, sha1(least(left_id, right_id) || '|' || greatest(left_id, right_id)) AS pair_id FROM pr),
 dec AS (SELECT pair_id, ['merge', 'link', 'separate', 'unknown'][ascii(pair_id) % 4 + 1] AS decision, (ascii(pair_id) % 10) / 10 AS confidence FROM pid)
 """
 
 
 def _decided_pairs(spark: SparkSession, sf_dir: str):
-    ids = B.table(spark, sf_dir, "part").groupBy("p_name").agg(
-        F.array_sort(F.collect_set(F.concat(F.lit("c"), "p_partkey"))).alias("ids")
-    ).where(F.size("ids") >= 2)
-    p = ids.select(
-        F.element_at("ids", 1).alias("left_id"), F.element_at("ids", 2).alias("right_id"), (F.size("ids") % 3).alias("support_count")
+    """Neighbouring ids of one name, two by two; blocks of 1,000 part keys bound the windows."""
+    key = F.col("p_partkey")
+    w = Window.partitionBy("p_name", F.floor(key / 1000)).orderBy(key)
+    cid = F.concat(F.lit("c"), key)
+    ids = B.table(spark, sf_dir, "part").select(cid.alias("left_id"), F.lead(cid).over(w).alias("right_id"), F.row_number().over(w).alias("rn"))
+    p = ids.where((F.col("rn") % 2 == 1) & F.col("right_id").isNotNull()).select(
+        "left_id", "right_id", (F.col("rn") % 3).alias("support_count")
     ).withColumn("pair_id", pairs.pair_id(F.col("left_id"), F.col("right_id")))
     code = F.ascii("pair_id")
     decisions = p.select(
@@ -265,21 +301,29 @@ SELECT s.candidate_id, CASE WHEN action = 'merge' AND NOT wins THEN 'MERGED' WHE
   CASE WHEN action = 'merge' AND NOT wins THEN other_id ELSE '' END AS merged_into
 FROM side s JOIN cands c ON c.candidate_id = s.candidate_id JOIN cands o ON o.candidate_id = s.other_id""")
 def manual_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready, _ = pairs.ready_edits(_edits(spark, sf_dir))
-    updated, _ = pairs.apply_edits(ready, _candidates(spark, sf_dir))
-    return updated.select(
+    edits = _edits(spark, sf_dir)
+    after, _ = pairs.apply_all_edits(edits, _candidates(spark, sf_dir), stages.new_path(spark, "edits", sf_dir))
+    touched = edits.select(F.explode(F.array("left_id", "right_id")).alias("candidate_id")).distinct()
+    return after.join(touched, "candidate_id", "left_semi").select(
         "candidate_id", "status", "manual_lock", joined("aliases", "|"), F.array_join("related_ids", "|").alias("related"),
         F.array_join("exclude_ids", "|").alias("excluded"), F.coalesce("merged_into", F.lit("")).alias("merged_into"),
     )
 
 
-@query("change_log", f"""WITH {_KEPT} SELECT 'candidates/' || unnest([left_id, right_id]) AS document_path, TRUE AS changed FROM ed""")
+@query("change_log", f"""WITH {_KEPT} , side AS (SELECT left_id AS id, right_id AS other, action, TRUE AS wins FROM ed UNION ALL SELECT right_id, left_id, action, FALSE FROM ed)
+SELECT 'candidates/' || s.id AS document_path, CASE WHEN c.active THEN 'ACTIVE' ELSE 'BLOCKED' END AS status_before,
+  CASE WHEN action = 'merge' AND NOT wins THEN 'MERGED' WHEN c.active THEN 'ACTIVE' ELSE 'BLOCKED' END AS status_after,
+  CASE WHEN c.locked OR action = 'merge' THEN 'true' ELSE 'false' END AS lock_after, CASE WHEN action = 'merge' AND NOT wins THEN other ELSE '' END AS merged_into
+FROM side s JOIN cands c ON c.candidate_id = s.id""")
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _candidates(spark, sf_dir)
-    ready, _ = pairs.ready_edits(_edits(spark, sf_dir))
-    updated, _ = pairs.apply_edits(ready, before)
-    log = pairs.change_log(before, pairs.overlay(before, updated))
-    return log.select("document_path", (F.col("before") != F.col("after")).alias("changed"))
+    after, _ = pairs.apply_all_edits(_edits(spark, sf_dir), before, stages.new_path(spark, "edits", sf_dir))
+    log = pairs.change_log(before, after)
+    value = lambda side, name: F.get_json_object(side, f"$.{name}")
+    return log.select(
+        "document_path", value("before", "status").alias("status_before"), value("after", "status").alias("status_after"),
+        value("after", "manual_lock").alias("lock_after"), F.coalesce(value("after", "merged_into"), F.lit("")).alias("merged_into"),
+    )
 
 
 # --- health ------------------------------------------------------------------------------------------
@@ -320,7 +364,7 @@ def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASS = """CASE WHEN regexp_matches(lower(error), '403|forbidden') THEN 'blocked' WHEN regexp_matches(lower(error), '404|not found') THEN 'endpoint_missing'
   WHEN regexp_matches(lower(error), 'timeout|timed out') THEN 'timeout' WHEN contains(error, 'kill_switch') THEN 'kill_switch' WHEN error <> '' THEN 'fetch_failed'
   WHEN NOT ok THEN 'unavailable' WHEN item_count <= 0 THEN 'empty_source' WHEN kept_count <= 0 THEN 'zero_kept' ELSE 'healthy' END"""
-_TIER = S.case("source_id", {r[0]: r[11] for r in dims.catalog_rows()}, "")
+_TIER = S.case("source_id", {r[0]: r[10] for r in dims.catalog_rows()}, "")
 
 
 @query("health_records", f"""WITH {_LOG} SELECT date, source_id, ok, item_count, kept_count, {_CLASS} AS failure_class, {_TIER} AS availability_tier,
@@ -339,9 +383,9 @@ def failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.failure_streaks(_run_log(spark, sf_dir)).select("date", "source_id", "ok", "streak", "kill_switch")
 
 
-_PLAN_ROWS = [r for r in dims.catalog_rows() if r[5] in ("CORE", "EXPERIMENTAL") and r[2] != "EVIDENCE_ONLY"]
+_PLAN_ROWS = [r for r in dims.catalog_rows() if r[4] in ("CORE", "EXPERIMENTAL") and r[1] != "EVIDENCE_ONLY"]
 _PLAN_SQL = "plan_(source_id, role, family, tier) AS (VALUES " + ", ".join(
-    f"('{r[0]}', '{r[2]}', '{r[3]}', '{r[11]}')" for r in _PLAN_ROWS) + ")"
+    f"('{r[0]}', '{r[1]}', '{r[2]}', '{r[10]}')" for r in _PLAN_ROWS) + ")"
 
 
 def _ratio(cond: str) -> str:

@@ -343,8 +343,7 @@ def json_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON feeds (one per order) parsed back to ranked items, five per feed."""
     li = B.table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    # A feed is a top-n list; the window keeps its rows bounded before they become JSON.
-    rows = li.withColumn("n", F.row_number().over(w)).where("n <= 50")
+    rows = li.withColumn("n", F.row_number().over(w))
     item = F.struct(
         "n", F.concat(F.lit("part"), "l_partkey").alias("name"), F.concat(F.lit("supp"), "l_suppkey").alias("artistName")
     )
@@ -404,7 +403,7 @@ _REGIONAL = f"""
 rev AS (
   SELECT {S.pick(dims.ASIA_COUNTRIES, 'c_nationkey % 10')} AS country, 'part' || l_partkey AS key, sum(l_extendedprice * (1 - l_discount)) AS revenue
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
-lists AS (SELECT country, key, row_number() OVER (PARTITION BY country ORDER BY round(revenue, 4) DESC, key) AS rank FROM rev QUALIFY rank <= 100),
+lists AS (SELECT country, key, row_number() OVER (PARTITION BY country ORDER BY round(revenue, 4) DESC, key) AS rank FROM rev),
 merged AS (
   SELECT key, sum(1 / log2(rank + 1) * CASE WHEN country = 'JP' THEN 1.0 ELSE 0.6 END) AS regional_score, count(*) AS n_countries, min(rank) AS best_rank,
     string_agg(country || ':' || rank, ',' ORDER BY CASE WHEN country = 'JP' THEN 0 ELSE 1 END, rank, country) AS regions
@@ -413,7 +412,7 @@ merged AS (
 
 
 def _regional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per country (by customer nation) the 100 parts with the most revenue."""
+    """Per country (by customer nation) all parts by revenue."""
     li = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = B.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -424,7 +423,7 @@ def _regional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
     )
     w = Window.partitionBy("country").orderBy(F.desc("revenue"), "key")
-    return rev.withColumn("rank", F.row_number().over(w)).where("rank <= 100").drop("revenue")
+    return rev.withColumn("rank", F.row_number().over(w)).drop("revenue")
 
 
 @query("regional_merge", f"""WITH {_REGIONAL}

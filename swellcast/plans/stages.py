@@ -17,9 +17,15 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The folder that all executors share, named in spark.checkpoint.dir.
+
+    Only a local session, whose driver is its one executor, may go without: it gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    local = spark.sparkContext.master.split("[")[0] == "local"
     if not folder:
+        if not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

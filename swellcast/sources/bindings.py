@@ -14,7 +14,7 @@ from swellcast.functions.numeric import by_key
 
 # Event type and parity of the user pick the source.
 SOURCE_BY_EVENT = {
-    ("view", 0): "TRENDS_JP_24H_ENT",
+    ("view", 0): "SEARCH_JP_24H_ENT",
     ("view", 1): "YAHOO_REALTIME",
     ("click", 0): "TIKTOK_CREATIVE_CENTER_HASHTAGS",
     ("click", 1): "TIKTOK_CREATIVE_CENTER_SONGS",

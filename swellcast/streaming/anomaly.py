@@ -17,7 +17,7 @@ OUTPUT_SCHEMA = (
     "candidate_id string, source_id string, date date, signal double, m double, v double, n long, "
     "anomaly double, anomaly_lag1 double, anomaly_lag2 double, late boolean"
 )
-STATE_SCHEMA = "m double, v double, n long, s1 double, s2 double, day int"
+STATE_SCHEMA = "m double, v double, n long, s1 double, s2 double, s3 double, day int"
 
 
 class AnomalyProcessor(StatefulProcessor):
@@ -36,25 +36,30 @@ class AnomalyProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key's rows of one micro-batch: at most one per calendar day.
         batch = pd.concat(list(rows)).sort_values("date", kind="stable")
-        m, v, n, s1, s2, last = 0.0, 0.0, 0, 0.0, 0.0, -(10**9)
+        m, v, n, s1, s2, s3, last = 0.0, 0.0, 0, 0.0, 0.0, 0.0, -(10**9)
         if self.state.exists():
-            m, v, n, s1, s2, last = self.state.get()
+            m, v, n, s1, s2, s3, last = self.state.get()
         out = []
         for row in batch.itertuples(index=False):
             day = (pd.Timestamp(row.date) - pd.Timestamp("1970-01-01")).days
             if day <= last:
                 out.append((row.date, row.signal, m, v, n, 0.0, s1, s2, True))
                 continue
+            if pd.isna(row.signal):
+                # A missing value holds the state, as in the batch fold; only the day moves on.
+                last = day
+                out.append((row.date, None, m, v, n, s1, s2, s3, False))
+                continue
             p = self.cfg.params_for(row.family_primary)
-            alpha, x, s3 = decay_factor(p.half_life_days), min(row.signal, self.cfg.max_x_clip), s2
+            alpha, x = decay_factor(p.half_life_days), min(row.signal, self.cfg.max_x_clip)
             beta = self.cfg.beta
             sig = 0.0
             if n + 1 > p.warmup_days:
                 sig = (x - max(m, beta)) / (math.sqrt(max(v, 0.0)) + beta)
             m, v, n, last = (1 - alpha) * m + alpha * x, (1 - alpha) * (v + alpha * (x - m) ** 2), n + 1, day
-            s1, s2 = sig, s1
+            s1, s2, s3 = sig, s1, s2
             out.append((row.date, row.signal, m, v, n, s1, s2, s3, False))
-        self.state.update((m, v, n, s1, s2, last))
+        self.state.update((m, v, n, s1, s2, s3, last))
         frame = pd.DataFrame(
             out, columns=["date", "signal", "m", "v", "n", "anomaly", "anomaly_lag1", "anomaly_lag2", "late"]
         )

@@ -29,7 +29,7 @@ def canonical(columns, rows):
 
     def cell(v):
         if v is None:
-            return ""
+            return "<null>"
         if isinstance(v, bool):
             return str(v)
         if isinstance(v, float):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swellcast import dims
-from swellcast.operators import evaluation, evidence, health, labels, learning, pairs, relations, resolve, weights
+from swellcast.operators import anomaly, evaluation, evidence, health, labels, learning, pairs, relations, resolve, weights
 from swellcast.plans.stages import new_path
 from swellcast.sources import tables
 from swellcast.streaming import anomaly as SA
@@ -106,21 +106,29 @@ def test_relations_from_one_item(spark):
         ("h", "HASHTAG", "#x", "S", "i1", 1, "", "", "", "", ""), ("o", "PHRASE", "y", "S", "i1", 1, "", "", "", "", ""),
         ("z", "PERSON", "Z", "S", "i2", 1, "", "", "", "", "Show"),
     ]
-    rel = {(r.src_id, r.relation_type, r.dst_id): r.confidence for r in relations.build_relations(spark.createDataFrame(rows, MENTION)).collect()}
+    built = relations.build_relations(relations.group_items(spark.createDataFrame(rows, MENTION)))
+    rel = {(r.src_id, r.relation_type, r.dst_id): r.confidence for r in built.collect()}
     assert rel["t", "performed_by", "a"] == 0.96 and rel["a", "performs", "t"] == 0.96
     assert rel["p", "appears_in_reality_show", "w"] == 0.87 and rel["w", "has_cast", "p"] == 0.87
-    assert rel["h", "about", "p"] == 0.84 and rel["o", "about", "p"] == 0.74 and rel["h", "co_occurs", "o"] == 0.55
-    assert not any("z" in k for k in rel)
-
-
-def test_hot_group_becomes_a_star_with_the_same_pairs(spark):
-    rows = [(f"c{i % 90}", "PHRASE", f"n{i}", "S", "hot", 1, "", "", "", "", "") for i in range(400)]
-    df = spark.createDataFrame(rows, MENTION)
-    star = relations.build_relations(df, group_max=20).where("relation_type = 'co_occurs_via'")
-    assert star.count() == 90
-    joined = star.alias("a").join(star.alias("b"), F.expr("a.dst_id = b.dst_id AND a.src_id <> b.src_id")).select("a.src_id", "b.src_id")
-    pairs_ = relations.build_relations(df, group_max=1000).where("relation_type = 'co_occurs'").select("src_id", "dst_id")
-    assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in pairs_.collect()}
+    node = "group:S:i1"
+    assert rel["h", "about_via", node] == 0.84 and rel["o", "about_via", node] == 0.74 and rel["h", "co_occurs_via", node] == 0.55
+    assert rel["p", "context_of", node] == 1.0 and not any(k[0] == "z" and "i1" in k[2] for k in rel)
+    near = {tuple(r) for r in relations.related_ids(built).collect()}
+    assert {("h", "o"), ("o", "h"), ("h", "p"), ("p", "h"), ("t", "a"), ("a", "t")} <= near and not any("z" in n for n in near)
+    asked = spark.createDataFrame([("h",)], "candidate_id string")
+    assert {tuple(r) for r in relations.related_ids(built, asked).collect()} == {n for n in near if n[0] == "h"}
+    pairs_ = spark.createDataFrame([("h", "o"), ("p", "h"), ("a", "t"), ("p", "z"), ("p", "w")], "left_id string, right_id string")
+    assert {tuple(r) for r in relations.already_related(pairs_, built).collect()} == {("h", "o"), ("p", "h"), ("a", "t"), ("p", "w")}
+
+
+@pytest.mark.parametrize("members", [5, 64, 70, 200])
+def test_groups_of_any_size_have_one_form(spark, members):
+    rows = [(f"c{i % members}", "PHRASE", f"n{i}", "S", "hot", 1, "", "", "", "", "") for i in range(2 * members)]
+    built = relations.build_relations(relations.group_items(spark.createDataFrame(rows, MENTION)))
+    assert {(r.relation_type, r.dst_id) for r in built.collect()} == {("co_occurs_via", "group:S:hot"), ("about_via", "group:S:hot")}
+    assert built.count() == 2 * members
+    near = {tuple(r) for r in relations.related_ids(built).collect()}
+    assert near == {(f"c{i}", f"c{j}") for i in range(members) for j in range(members) if i != j}
 
 
 def test_evidence_rules(spark):
@@ -253,15 +261,12 @@ def test_manual_merge_order(spark):
 
 
 def test_all_edits_apply_in_order(spark):
-    from swellcast.plans.stages import shared_folder
-
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     cands = spark.createDataFrame([cand("a", "Alpha"), cand("b", "Beta", aliases=["B2"]), cand("c", "Gamma"), cand("d", "Delta")], CAND)
     edits = spark.createDataFrame(
         [("e2", "a", "c", "merge", "c", "2024-01-02", "me"), ("e1", "a", "b", "merge", "a", "2024-01-01", "me"), ("e3", "c", "d", "link", None, "2024-01-03", "me")],
         "edit_id string, left_id string, right_id string, action string, winner_id string, decided_at string, decided_by string",
     )
-    after, rel = pairs.apply_all_edits(edits, cands)
+    after, rel = pairs.apply_all_edits(edits, cands, new_path(spark, "edits-test"))
     got = {r.candidate_id: r for r in after.collect()}
     assert got["c"].aliases == ["Alpha", "Beta", "B2"] and got["c"].merged_from == ["a"] and got["c"].related_ids == ["d"]
     assert got["a"].status == got["b"].status == "MERGED" and got["a"].merged_into == "c" and got["d"].related_ids == ["c"]
@@ -293,3 +298,18 @@ def test_late_rows_leave_the_stream_state_alone(spark):
     rows = {r.date.day: r for r in spark.read.parquet(f"{base}/out").collect()}
     assert [d for d, r in sorted(rows.items()) if r.late] == [2]
     assert rows[4].n == 3
+
+
+def test_stream_holds_its_state_over_missing_signals(spark):
+    base = new_path(spark, "gap-test")
+    schema = "candidate_id string, source_id string, date date, signal double, family_primary string"
+    signals = [1.0, None, 2.0, 3.0, None, 9.0, 4.0, 60.0, 2.0, 2.0]
+    rows = [("c", "s", D0 + dt.timedelta(i), x, "SEARCH") for i, x in enumerate(signals)]
+    daily = spark.createDataFrame(rows, schema)
+    want = {r.date: (r.m, r.v, r.n, r.anomaly, r.anomaly_lag1, r.anomaly_lag2) for r in anomaly.fold_history(daily).collect()}
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        out = SA.anomaly_stream(spark.readStream.schema(schema).parquet(f"{base}/in"))
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = {r.date: (r.m, r.v, r.n, r.anomaly, r.anomaly_lag1, r.anomaly_lag2) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
