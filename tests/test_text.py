@@ -180,10 +180,10 @@ def values_df(spark, body):
 
 def test_stream_and_music_tables(spark):
     html = '<table><tr><td class="rank">01</td><td class="title">Show A</td></tr><tr><td class="rank">x</td><td class="title">Show B</td></tr></table>'
-    rows = X.table_rows(values_df(spark, html), X.STREAM_ROW, X.STREAM_FIELDS).orderBy("ordinal").collect()
+    rows = X.table_rows(values_df(spark, html), X.TABLE_ROW, X.STREAM_FIELDS).orderBy("ordinal").collect()
     assert [(r["rank"], r.title) for r in rows] == [(1, "Show A"), (2, "Show B")]
     html = '<tr data-rank="3"><td><span class="track-name"> T </span><span class="artist-name">A</span></td></tr>'
-    row = X.table_rows(values_df(spark, html), X.MUSIC_ROW, X.MUSIC_FIELDS).first()
+    row = X.table_rows(values_df(spark, html), X.TABLE_ROW, X.MUSIC_FIELDS).first()
     assert (row["rank"], row.track, row.artist) == (3, "T", "A")
 
 
