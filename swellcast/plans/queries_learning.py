@@ -41,7 +41,7 @@ _NEW = {f: f"CASE WHEN NOT list_contains(a.source_families, '{f}') THEN off_{f}
 
 
 def labels_cte(source: str = "cf", name: str = "labels_", target: str | None = None) -> str:
-    """Label CTEs by range join; ``target`` limits anchors to one run's label plan."""
+    """Label CTEs by a range window; ``target`` limits anchors to one run's label plan."""
     if target is None:
         plan = """
 plan_ AS (SELECT date, list_filter([1, 3, 7, 14], lambda h: h <= reach) AS bh, list_filter([3, 7], lambda h: h <= reach) AS mh
@@ -56,18 +56,16 @@ plan_ AS (SELECT DATE '{target}' - back AS date, bh, mh FROM (VALUES
     )
     within = lambda col, h: f"coalesce({col} <= {h}, FALSE)"
     topic = "a.candidate_kind = 'TOPIC'"
+    offers = {"mass": "is_mass", **{f: f"list_contains(source_families, '{f}')" for f in L.CONFIRM_FAMILIES},
+              "multi": "len(source_families) >= 2", "home": "home", "public": "public_ok"}
     return f"""{plan.strip()},
-flags_ AS (SELECT date, candidate_id, candidate_kind, source_families, {mass} AS is_mass,
+flags_ AS MATERIALIZED (SELECT date, candidate_id, candidate_kind, source_families, {mass} AS is_mass,
   constrained_ent > 0 OR constrained_beauty > 0 OR realtime_support > 0 AS home,
   public_gate_passed OR public_rankability_prob >= 0.5 AS public_ok, public_noise_penalty, public_rankability_prob FROM {source}),
-offs_ AS (
-  SELECT a.date, a.candidate_id, min(off) FILTER (WHERE f.is_mass) AS off_mass,
-    {', '.join(f"min(off) FILTER (WHERE list_contains(f.source_families, '{x}')) AS off_{x}" for x in L.CONFIRM_FAMILIES)},
-    min(off) FILTER (WHERE len(f.source_families) >= 2) AS off_multi, min(off) FILTER (WHERE f.home) AS off_home,
-    min(off) FILTER (WHERE f.public_ok) AS off_public
-  FROM flags_ a JOIN (SELECT *, 0 AS z FROM flags_) f ON f.candidate_id = a.candidate_id AND f.date BETWEEN a.date + 1 AND a.date + 14,
-    LATERAL (SELECT f.date - a.date AS off) o
-  GROUP BY ALL),
+offs_ AS MATERIALIZED (
+  SELECT date, candidate_id, {', '.join(f"min(CASE WHEN {flag} THEN day END) OVER ahead - day AS off_{name}" for name, flag in offers.items())}
+  FROM (SELECT *, date - DATE '1970-01-01' AS day FROM flags_)
+  WINDOW ahead AS (PARTITION BY candidate_id ORDER BY day RANGE BETWEEN 1 FOLLOWING AND 14 FOLLOWING)),
 wide_ AS (
   SELECT a.*, bh, mh, off_mass, off_multi, off_home, off_public,
     {', '.join(f'{e} AS new_{f}' for f, e in _NEW.items())}
