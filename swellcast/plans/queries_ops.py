@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swellcast import dims
+from swellcast.operators import anomaly as AN
 from swellcast.operators import health, labels, pairs, ranking, relations, resolve
 from swellcast.plans import events as P
 from swellcast.plans import oracle_events as O
@@ -530,6 +531,62 @@ def scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.by_ids(recent, ids, "o_custkey").select("o_orderkey", "o_orderstatus", "date")
 
 
+@query("scan_ordered", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC LIMIT 50""")
+def scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered, limited form of a collection scan (a top-50 report)."""
+    found = TB.scan(B.table(spark, sf_dir, "orders"), [("o_orderstatus", "==", "F")], "o_totalprice", descending=True, limit=50)
+    return found.select("o_orderkey", "o_totalprice")
+
+
+@query("scan_dates", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (DATE '1995-03-01', DATE '1996-07-15', DATE '1997-11-30')""")
+def scan_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    return TB.by_dates(orders, ["1995-03-01", "1996-07-15", "1997-11-30", "1995-03-01"])
+
+
+@query("active_candidates", f"WITH {_CANDS} SELECT candidate_id, 'active' AS scan FROM cands WHERE active UNION ALL SELECT candidate_id, 'all' FROM cands WHERE NOT active")
+def active_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active candidates, and the whole of a table that has none."""
+    cands = _candidates(spark, sf_dir).select("candidate_id", "status")
+    kept = lambda df, name: TB.active_or_all(df).select("candidate_id", F.lit(name).alias("scan"))
+    return kept(cands, "active").unionByName(kept(cands.where(F.col("status") != "ACTIVE"), "all"))
+
+
+@query("daily_state", O.chain(O.MENTIONS, O.FOLD, tail="""
+SELECT date, candidate_id, source_id, rn AS n, round(m, 6) AS m, round(v, 6) AS v FROM stepped WHERE date > (SELECT max(date) - 4 FROM stepped)"""))
+def daily_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four days stepped one by one from the stored state equal the replay of all days."""
+    daily = P.source_features(spark, sf_dir).select("date", "candidate_id", "source_id", "signal", "family_primary")
+    newest = daily.agg(F.max("date")).first()[0]
+    history = AN.fold_history(daily.where(F.col("date") <= F.date_sub(F.lit(newest), 4)))
+    newest_row = history.groupBy("candidate_id", "source_id").agg(
+        F.max_by(F.struct("m", "v", "n", F.col("anomaly").alias("s1"), F.col("anomaly_lag1").alias("s2"), F.col("date").alias("last_date")), "date").alias("s"))
+    state, out = newest_row.select("candidate_id", "source_id", "s.*"), None
+    for back in range(3, -1, -1):
+        path = new_path(spark, f"state-{next(_RUN)}-{back}", sf_dir)
+        stepped = AN.advance_state(state, daily.where(F.col("date") == F.date_sub(F.lit(newest), back)))
+        stepped.write.mode("overwrite").parquet(f"{path}/day")
+        day = spark.read.parquet(f"{path}/day")
+        AN.next_state(state, day).write.mode("overwrite").parquet(f"{path}/state")
+        state = spark.read.parquet(f"{path}/state")
+        out = day if out is None else out.unionByName(day)
+    return out.select("date", "candidate_id", "source_id", "n", *r6("m", "v"))
+
+
+@query("observation_enrichment", f"""WITH {_CANDS}, {_MENTION}
+SELECT ordinal, r.candidate_id, c.canonical_name, {S.case("'WEAR_WORDS'", {r[0]: r[1] for r in dims.catalog_rows()}, "")} AS source_role,
+  'WEAR_WORDS:' || ordinal % 50 || ':' || r.candidate_id AS source_item_id FROM resolved r JOIN cands c ON c.candidate_id = r.candidate_id""")
+def observation_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved mentions with the attributes of their candidate and source, and an item id of their own."""
+    cands = _candidates(spark, sf_dir)
+    found = resolve.resolve(_part_mentions(spark, sf_dir), cands).where(F.col("candidate_id").isNotNull())
+    mentions = found.select(
+        "ordinal", "candidate_id", F.lit("WEAR_WORDS").alias("source_id"), F.lit("").alias("source_item_id"), (F.col("ordinal") % 50).cast("int").alias("rank"))
+    keyed = cands.withColumn("match_key", F.col("canonical_name"))
+    out = resolve.observations(mentions, keyed, dims.catalog_df(spark))
+    return out.select("ordinal", "candidate_id", "canonical_name", "source_role", "source_item_id")
+
+
 @query("upsert_merge", """SELECT coalesce(o.k, n.k) AS k, coalesce(n.status, o.status) AS status, coalesce(n.price, o.price) AS price FROM (
   SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0) o
 FULL OUTER JOIN (SELECT o_orderkey AS k, 'N' AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 2 END AS price FROM orders WHERE o_orderkey % 2 = 0) n ON n.k = o.k""")
@@ -553,6 +610,19 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.latest_published(day, runs)
 
 
+@query("snapshot_items", """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, 'run' || (o_custkey % 5) AS run_id, o_orderkey, o_orderstatus FROM orders),
+n AS (SELECT date, arg_max(run_id, lpad(o_orderkey::VARCHAR, 12, '0') || run_id) AS run_id FROM o WHERE o_orderstatus <> 'P' GROUP BY ALL)
+SELECT date, run_id, o_orderkey AS rank FROM o JOIN n USING (date, run_id)""")
+def snapshot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of each day's newest published run; the publication record leaves out internal fields."""
+    o = B.table(spark, sf_dir, "orders").select(
+        F.to_date("o_orderdate").alias("date"), F.concat(F.lit("run"), F.col("o_custkey") % 5).alias("run_id"), "o_orderstatus",
+        F.col("o_orderkey").alias("rank"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("published_at"))
+    runs = TB.public_meta(o.where(F.col("o_orderstatus") != "P"))
+    day = o.limit(0).select("date", "published_at", F.col("run_id").alias("latest_published_run_id"))
+    return TB.snapshot_items(o.select("date", "run_id", "rank"), day, runs).select("date", "run_id", "rank")
+
+
 @query("partitioned_sinks", O.chain(*O.TO_CF, _TOP_SQL.split("hsrc AS")[0].rstrip().rstrip(","), tail="""
 SELECT c.collection, t.date, count(*) AS n, CASE WHEN c.collection = 'daily_rankings_v2_shadow' THEN 'SHADOW_ONLY' ELSE 'PUBLISHED' END AS status FROM top20 t,
   (VALUES ('daily_rankings'), ('daily_rankings_v2_shadow'), ('runs')) c(collection) GROUP BY ALL"""))

@@ -46,8 +46,10 @@ def look_back(df: DataFrame, as_of: str, window_days: int, horizon_days: int, co
 
 def active_or_all(df: DataFrame) -> DataFrame:
     """Active rows; the whole table when there are none."""
-    active = df.where(F.col("status") == "ACTIVE")
-    return df if active.isEmpty() else active
+    active = F.coalesce(F.col("status") == "ACTIVE", F.lit(False))
+    # A scalar subquery in the same plan, so nothing runs while planning.
+    any_active = df.agg(F.coalesce(F.max(active), F.lit(False))).scalar()
+    return df.where(active | ~any_active)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -71,15 +73,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def write_days(df: DataFrame, path: str, partitions: Sequence[str] = ("date",)) -> None:
     """Replace exactly the partitions present in ``df`` (idempotent re-run of a day).
 
-    Rows go to their partition's writers first, so a day does not leave one small file
-    per task; a row hash keeps a heavy day on several writers. The hash is a function of
-    the row, so a retried task sends every row where it went before.
+    Rows go to their partition's writers first, so a day does not leave one small file per
+    task. The rebalance lets Spark split a heavy partition by its measured bytes.
     """
-    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    slot = F.pmod(F.xxhash64(*hashed), F.lit(8))
-    spread = df.repartition(*[F.col(p) for p in partitions], slot)
     (
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions).parquet(path)
     )
 
