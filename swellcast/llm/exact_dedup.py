@@ -16,6 +16,7 @@ equal text and equal id exactly one stays; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +88,20 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", larges
         F.col("_kept").alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
+def _addressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row tag that a second scan gives again: from the row's place in its file, else by storing the rows."""
+    try:
+        return docs.withColumn("_tag", F.xxhash64("_metadata.file_path", "_metadata.row_index").bitwiseAND(F.lit(2**63 - 1)))
+    except AnalysisException:
+        return common.stored(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    tagged = common.stored(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
-    marks = groups(tagged, id_col, text_col, largest).where(~F.col("_kept")).select("_tag")
-    return tagged.join(marks, "_tag", "left_anti").select(*docs.columns)
+    tagged = _addressed(docs)
+    gone = groups(tagged, id_col, text_col, largest).where(~F.col("_kept")).select("_tag", "_sha")
+    sha = F.unhex(F.sha2(common.whole_text(text_col).cast("binary"), 256))
+    return tagged.withColumn("_sha", sha).join(gone, ["_tag", "_sha"], "left_anti").select(*docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

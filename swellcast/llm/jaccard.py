@@ -16,7 +16,8 @@ shingles into rare and frequent ones; the shared order is rare before frequent,
 A bucket never becomes all its pairs. First every member is verified against the bucket's smallest
 node only; the links found are contracted to components. Then only buckets that still hold several
 components are joined across them (in combination buckets the members outside the largest component
-against all), filtered by size and by the positions of the shared prefix shingles. Candidate pairs of both rounds
+against all), filtered by size, by the positions of the shared prefix shingles, and, in combination buckets,
+by the number of frequent shingles, which bounds the overlap of a pair that shares no rare one. Candidate pairs of both rounds
 pass a bound from small hash-bucket counts of the two sets and are then verified by exact intersection. Both rounds together find a link between every two components that have one.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; fewer words than the shingle
@@ -114,17 +115,17 @@ class Keys:
         mean = float(sketch.sum(dtype=np.float64)) / len(sketch)
         self.limit = mean + 6 * math.sqrt(mean) + 32
 
-    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rare prefix shingles in order, and keys of frequent combinations."""
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rare prefix shingles in order, keys of frequent combinations, and the number of frequent shingles."""
         size = len(own)
         if not size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         prefix = size - at_least(self.percent, size) + 1
         often = self.sketch[(own >> self.shift).astype(np.int64)] > self.limit
         rare, frequent = own[~often], own[often]
         single = rare[:prefix]
         if len(single) == prefix:
-            return single.view(np.int64), np.zeros(0, np.int64)
+            return single.view(np.int64), np.zeros(0, np.int64), len(frequent)
         made = []
         level = size.bit_length() - 1
         levels = [level, level - 1] if level and at_least(self.percent, size) < 1 << level else [level]
@@ -147,7 +148,7 @@ class Keys:
                         break
                     made.append(common.mix64(common.mix64(part[:-gap][same] ^ salt) * _STEP + part[gap:][same]))
                     gap += 1
-        return single.view(np.int64), np.unique(np.concatenate(made)).view(np.int64)
+        return single.view(np.int64), np.unique(np.concatenate(made)).view(np.int64), len(frequent)
 
 
 def _sketch(rows: DataFrame, words: int) -> np.ndarray:
@@ -193,21 +194,23 @@ def _indexed(rows: DataFrame, words: int, percent: int) -> DataFrame:
         keys, seen = Keys(shared.value, percent), set()
         for batch, texts in common.slices(batches):
             sets = shingles(texts, words)
-            nodes, singles, combined, shapes = [node_of(s) for s in sets], [], [], []
+            nodes, singles, combined, shapes, often = [node_of(s) for s in sets], [], [], [], []
             for node, own in zip(nodes, sets, strict=True):
-                single, multi = (None, None) if node in seen else keys.of(own)
+                single, multi, frequent = (None, None, None) if node in seen else keys.of(own)
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 singles.append(single)
                 combined.append(multi)
+                often.append(frequent)
                 shapes.append(None if single is None or not len(own) else shape_of(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64())), pa.array(shapes, pa.binary())],
-                ["doc_id", "node", "size", "singles", "combined", "shape"])
+                 pa.array(singles, pa.list_(pa.int64())), pa.array(combined, pa.list_(pa.int64())), pa.array(shapes, pa.binary()),
+                 pa.array(often, pa.int64())],
+                ["doc_id", "node", "size", "singles", "combined", "shape", "often"])
 
     return common.stored(rows.mapInArrow(
-        run, "doc_id long, node long, size long, singles array<long>, combined array<long>, shape binary"), "keys")
+        run, "doc_id long, node long, size long, singles array<long>, combined array<long>, shape binary, often long"), "keys")
 
 
 def _id(col: str = "doc_id") -> Column:
@@ -304,6 +307,11 @@ def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
 
+def _often_fit(size_a: str, size_b: str, often_a: str, often_b: str, percent: int) -> Column:
+    """Whether frequent shingles alone can make a link. Combinations serve pairs that share no rare shingle."""
+    return (100 + percent) * F.least(often_a, often_b) >= percent * (F.col(size_a) + F.col(size_b))
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links)."""
     rows = common.id_text(docs)
@@ -322,11 +330,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         .where(F.col("pivot.node") < F.col("_last"))
         .select("key", "node", "size", "pos", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
         .distinct(), "single")
-    multi_all = filled.where(F.col("combined").isNotNull()).select("node", "size", F.explode("combined").alias("key"))
-    ends = multi_all.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.max("node").alias("_last"))
+    multi_all = filled.where(F.col("combined").isNotNull()).select("node", "size", "often", F.explode("combined").alias("key"))
+    # The pivot of a combination is the member with most frequent shingles: the least altered of a group of near copies.
+    ends = multi_all.groupBy("key").agg(
+        F.max(F.struct("often", "node", "size")).alias("pivot"), F.min("node").alias("_first"), F.max("node").alias("_last"))
     multi = common.stored(
-        multi_all.join(ends.where(F.col("pivot.node") < F.col("_last")), "key")
-        .select("key", "node", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
+        multi_all.join(ends.where("_first < _last").select("key", "pivot"), "key")
+        .select("key", "node", "size", "often", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"),
+                F.col("pivot.often").alias("pivot_often"))
         .distinct(), "multi")
 
     # Round 1: members against their bucket's smallest node. Pairs that share little wait for round 2.
@@ -335,7 +346,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         F.col("size").alias("size_b")).agg(F.count("*").alias("n"))
     prefix = F.col("size_b") - F.ceil(F.col("size_b") * percent / 100) + 1
     tried = to_pivot(single).where(_sizes_fit(percent) & (4 * F.col("n") >= prefix)).union(
-        to_pivot(multi).where(_sizes_fit(percent)))
+        to_pivot(multi.where(_often_fit("size", "pivot_size", "often", "pivot_often", percent))).where(_sizes_fit(percent)))
     # The pivot that a member meets most often; its other pivots are round 2's where still open.
     first = tried.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = _verified(rows, index, nodes, first, words, percent, "first")
@@ -360,13 +371,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     crowd = named(multi)
     counted = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max_by("label", "n").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1")
-    crowd = common.stored(crowd.join(largest.select("key", "_most"), "key").select("key", "node", "size", "label", "_most"), "crowd")
+    crowd = common.stored(crowd.join(largest.select("key", "_most"), "key").select("key", "node", "size", "often", "label", "_most"), "crowd")
     outside = crowd.where(F.col("label") != F.col("_most")).drop("_most")
     over = (side(outside, "a").join(side(crowd.drop("_most"), "b"), "key")
-            .where((F.col("label_a") != F.col("label_b")) & _sizes_fit(percent))
+            .where((F.col("label_a") != F.col("label_b")) & _sizes_fit(percent)
+                   & _often_fit("size_a", "size_b", "often_a", "often_b", percent))
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
     second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(over).distinct()
-    more = _verified(rows, index, nodes, second.join(links, ["a", "b"], "left_anti"), words, percent, "second")
+    more = _verified(rows, index, nodes, second, words, percent, "second")
     labels = components(links.union(more))
 
     best = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

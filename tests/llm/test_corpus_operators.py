@@ -161,8 +161,8 @@ def test_jaccard_index_has_combinations():
         own = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         allowed = len(own) - math.ceil(2 * 85 * len(own) / 185)
         other = np.unique(np.r_[own[allowed:], rng.integers(0, 2**63, allowed).astype(np.uint64)])
-        single, multi = keys.of(own)
-        assert len(single) == 0 and len(multi) <= 12 * len(own) + 8
+        single, multi, often = keys.of(own)
+        assert len(single) == 0 and often == len(own) and len(multi) <= 12 * len(own) + 8
         assert set(multi.tolist()) & set(keys.of(other)[1].tolist())
 
 
