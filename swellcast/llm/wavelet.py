@@ -34,7 +34,7 @@ from swellcast.llm import common
 
 END_ID = 1
 FILE_TOKENS = 1_000_000
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
