@@ -1,19 +1,20 @@
 """Main text of web pages by nearest-URL page differencing and page structure.
 
-A page is read into its blocks of text. Structure settles what it can: scripts, styles, forms,
-navigation, side bars, footers, adverts, notices and reader comments go, by element, role or class
-word; the blocks of an ``article`` (or else of ``main``) stay, whatever other pages hold, since a
-repeated passage of an article is still its text. Every other line is settled by differencing: the
+A page is read into its blocks of text. Structure takes out what is never text: scripts, styles,
+forms, navigation, side bars, footers, adverts, notices and reader comments, by element, role or class
+word. Every line that is left, of every page, inside an article or not, is settled by differencing: the
 pages of a host lie in the order of their URL paths, each takes the neighbour whose path shares the
 longer beginning with its own, the two pages' lines are aligned by a longest common subsequence, and
-the shared lines are deleted.
+the shared lines are deleted. Structure protects in one case: where the neighbour shares more than half
+of the characters of the page's ``article`` (or else ``main``) part, the two hold one article, not one
+template, and the part's shared lines stay.
 
 Neighbours are exact and no host is gathered in one task: small rows (path, line hashes) are range
 partitioned by (host, path), neighbours come from a window inside each range, and the first and last
 rows of the ranges, one pair per partition, join the ranges together.
 
 Defined results: null html gives an empty text; a null url belongs to the empty host; a host's only
-page loses no line; equal URLs are ordered by page_id; repeated rows are pages of their own (and
+page is settled by structure (its article or else main part, or else all lines); equal URLs are ordered by page_id; repeated rows are pages of their own (and
 each other's nearest neighbour); other columns are ignored.
 """
 
@@ -142,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
 
 def settled(found: list[tuple[str, int]]) -> tuple[list[str], bool]:
-    """The lines that structure leaves, and whether they are the article already."""
+    """The lines that structure alone would take, and whether they are an article or main part."""
     best = max((p for _, p in found), default=0)
     return [t for t, p in found if p == best], best > 0
 
@@ -171,12 +172,29 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     return out[::-1]
 
 
+def guards(found: list[tuple[str, int]]) -> list[int]:
+    """Per line its length in the page's article (or else main) part, 0 outside of it."""
+    best = max((p for _, p in found), default=0)
+    return [len(t) if p == best > 0 else 0 for t, p in found]
+
+
+def deleted_lines(own: list[int], guard: list[int], other: list[int] | None) -> list[int]:
+    """Indexes of the lines that differencing with the nearest page (None: there is none) deletes."""
+    if other is None:
+        return [i for i, g in enumerate(guard) if not g] if any(guard) else []
+    shared = shared_lines(own, other)
+    if 2 * sum(guard[i] for i in shared) > sum(guard):
+        return [i for i in shared if not guard[i]]
+    return shared
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.whole_text("html").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = pa.Codec("zstd", compression_level=19)
         for batch, texts in common.slices(batches):
-            hosts, paths, lines, hashes, done = [], [], [], [], []
+            hosts, paths, lines, sizes, hashes, guard = [], [], [], [], [], []
             for url, text in zip(batch.column("url").to_pylist(), texts, strict=True):
                 try:
                     parts = urlsplit(url or "")
@@ -184,27 +202,28 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 except ValueError:
                     host, path = "", url
                 found = blocks(text)
-                kept, final = settled(found)
                 hosts.append(host)
                 paths.append(path)
-                lines.append(kept)
+                raw = "\n".join(t for t, _ in found).encode()
+                lines.append(pack.compress(raw, asbytes=True))
+                sizes.append(len(raw))
                 hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
-                done.append(final)
+                guard.append(guards(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-                 pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(done, pa.bool_())],
-                ["page_id", "url", "host", "path", "lines", "hashes", "final"])
+                 pa.array(lines, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(guard, pa.list_(pa.int32()))],
+                ["page_id", "url", "host", "path", "lines", "raw", "hashes", "guard"])
 
-    parsed = own.mapInArrow(run, "page_id long, url string, host string, path string, lines array<string>, hashes array<long>, final boolean")
+    parsed = own.mapInArrow(run, "page_id long, url string, host string, path string, lines binary, raw long, hashes array<long>, guard array<int>")
     return common.stored(parsed.withColumn("tag", F.monotonically_increasing_id()), "pages")
 
 
 def _neighbours(parsed: DataFrame) -> DataFrame:
-    """(tag, hashes, other): the lines of each unsettled page and of its nearest page."""
+    """(tag, path, hashes, guard, previous, next): the lines of each page and of the pages beside it."""
     order = ["host", "path", "page_id", "tag"]
     count = common.partitions_for(parsed.sparkSession)
     rows = common.stored(
-        parsed.select(*order, "hashes", "final").repartitionByRange(count, *order).sortWithinPartitions(*order)
+        parsed.select(*order, "hashes", "guard").repartitionByRange(count, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id()), "page-order")
     card = F.struct("host", "path", "hashes")
     place = F.struct(*order)
@@ -212,15 +231,15 @@ def _neighbours(parsed: DataFrame) -> DataFrame:
     by_part = Window.orderBy("part")  # one row per partition
     ends = ends.select("part", F.lag("last").over(by_part).alias("before"), F.lead("first").over(by_part).alias("after"))
     inside = Window.partitionBy("part").orderBy(*order)
-    near = rows.select("part", "tag", "host", "path", "hashes", "final", F.lag(card).over(inside).alias("lag"),
-                       F.lead(card).over(inside).alias("lead")).where(~F.col("final")).join(ends, "part", "left")
+    near = rows.select("part", "tag", "host", "path", "hashes", "guard", F.lag(card).over(inside).alias("lag"),
+                       F.lead(card).over(inside).alias("lead")).join(ends, "part", "left")
     side = lambda a, b: F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b))
-    return near.select("tag", "path", "hashes", side(F.col("lag"), F.col("before")).alias("previous"),
+    return near.select("tag", "path", "hashes", "guard", side(F.col("lag"), F.col("before")).alias("previous"),
                        side(F.col("lead"), F.col("after")).alias("next"))
 
 
 def _deleted(near: DataFrame) -> DataFrame:
-    """(tag, gone array<int>): the line indexes that the nearest page shares."""
+    """(tag, gone array<int>): the line indexes that differencing deletes."""
 
     def common_start(a: str, b: str) -> int:
         return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
@@ -231,22 +250,28 @@ def _deleted(near: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 sides = [s for s in (row["previous"], row["next"]) if s is not None]
                 other = max(sides, key=lambda s: common_start(s["path"] or "", row["path"] or ""), default=None)
-                gone.append(shared_lines(row["hashes"], other["hashes"]) if other else [])
+                gone.append(deleted_lines(row["hashes"], row["guard"], other["hashes"] if other else None))
             yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(gone, pa.list_(pa.int32()))], ["tag", "gone"])
 
     return near.mapInArrow(run, "tag long, gone array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars. The lines travel compressed, since they are joined to their deletions."""
     parsed = _parsed(pages)
-    text = lambda c: F.array_join(c, " ")
-    final = parsed.where("final").select("page_id", "url", text("lines").alias("text"))
-    # An unsettled page has no article or main part, so its lines are all of its blocks, index by index.
-    left = F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i))
-    rest = parsed.where(~F.col("final")).select("tag", "page_id", "url", "lines").join(_deleted(_neighbours(parsed)), "tag").select(
-        "page_id", "url", text(left).alias("text"))
-    return final.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+    rest = parsed.select("tag", "page_id", "url", "lines", "raw").join(_deleted(_neighbours(parsed)), "tag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for lines, raw, gone in zip(batch.column("lines"), batch.column("raw").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                found, gone = pa.decompress(lines.as_buffer(), raw, "zstd", asbytes=True).decode().split("\n"), set(gone)
+                texts.append(" ".join(t for i, t in enumerate(found) if i not in gone))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"])
+
+    return rest.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_page_text(spark, sf_dir: str) -> DataFrame:

@@ -214,6 +214,17 @@ def test_page_differencing(spark):
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_differencing_in_articles(spark):
+    page = lambda i: f"<div>Top</div><p>Lead {i}</p><article><p>Own text of {i}, at some length.</p><p class='x1'>Write to us</p></article>"
+    copy = "<article><p>One text on two pages</p><p>Its end</p></article>"
+    rows = [(i, f"http://h.x/{i:02}", page(i)) for i in range(20)] + [(50 + i, f"http://c.x/{i}", copy + f"<div>{i}</div>") for i in range(2)]
+    rows += [(60, "http://solo.x/", page(60))]
+    out = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Lead {i} Own text of {i}, at some length." for i in range(20))
+    assert [out[50 + i] for i in range(2)] == [f"One text on two pages Its end {i}" for i in range(2)]
+    assert out[60] == "Own text of 60, at some length. Write to us"
+
+
 # -- language model ------------------------------------------------------------------------------------
 def test_prefix_code_is_complete():
     size, node, bit = mixing_lm.prefix_code(np.arange(256.0) ** 2)
