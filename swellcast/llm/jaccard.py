@@ -228,6 +228,19 @@ def _marked(candidates: DataFrame) -> np.ndarray:
     return held
 
 
+def fresh_roles(seen: dict[int, int], nodes: list[int], in_a: list[bool], in_b: list[bool]) -> tuple[list[bool], list[bool]]:
+    """Per row the sides that its node takes for the first time. A copy may be held by one filter by chance,
+    and the row that both filters mean may come later, so the sides are remembered one by one."""
+    out: tuple[list[bool], list[bool]] = ([], [])
+    for node, a, b in zip(nodes, in_a, in_b, strict=True):
+        had = seen.get(node, 0)
+        new = (int(a) | 2 * int(b)) & ~had
+        seen[node] = had | new
+        out[0].append(bool(new & 1))
+        out[1].append(bool(new & 2))
+    return out
+
+
 def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(node, own binary, in_a, in_b) of the nodes in ``pairs``, and by chance of a few others.
 
@@ -238,7 +251,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> Da
               for side in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, seen = [s.value for s in shared], set()
+        filters, seen = [s.value for s in shared], {}
         for batch in batches:
             at = batch.column("bit").to_numpy()
             held = [((bits[at >> 3] >> (at & 7)) & 1 == 1) for bits in filters]
@@ -246,10 +259,11 @@ def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> Da
             for part, texts in common.slices([batch.filter(pa.array(held[0] | held[1]))]):
                 sets = shingles(texts, words)
                 named = [node_of(s) for s in sets]
-                fresh = [not (n in seen or seen.add(n)) for n in named]
+                in_a, in_b = fresh_roles(seen, named, part.column("in_a").to_pylist(), part.column("in_b").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(named, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                     part.column("in_a"), part.column("in_b")], ["node", "own", "in_a", "in_b"]).filter(pa.array(fresh, pa.bool_()))
+                     pa.array(in_a, pa.bool_()), pa.array(in_b, pa.bool_())], ["node", "own", "in_a", "in_b"]).filter(
+                         pa.array([a or b for a, b in zip(in_a, in_b, strict=True)], pa.bool_()))
 
     bit = F.pmod(F.xxhash64(_id()), F.lit(1 << FILTER_BITS))
     return rows.select(bit.alias("bit"), "text").mapInArrow(run, "node long, own binary, in_a boolean, in_b boolean")

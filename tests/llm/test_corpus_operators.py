@@ -178,6 +178,22 @@ def test_jaccard_on_edge_rows(spark):
     assert jaccard.classes(docs(spark, [])).count() == 0
 
 
+def test_jaccard_sets_keep_both_sides(spark, monkeypatch):
+    # A copy met first shares its filter bit with another document of side a only.
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 15)
+    from pyspark.sql import functions as F
+
+    found = spark.range(10, 4000).groupBy(F.pmod(F.xxhash64("id"), F.lit(1 << 15))).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    other, copy = found.where(F.size("ids") > 1).orderBy(F.col("ids")[0]).first().ids[:2]
+    texts = ["one two three", "one two three", "four five six", "seven eight nine"]
+    rows = spark.createDataFrame(list(zip([copy, 1, other, 2], texts, strict=True)), "doc_id long, text string").coalesce(1)
+    x, y, z = (jaccard.node_of(jaccard.shingles([t], 2)[0]) for t in texts[1:])
+    nodes = spark.createDataFrame([(x, 1), (y, other), (z, 2)], "node long, doc_id long")
+    pairs = spark.createDataFrame([(y, x), (x, z)], "a long, b long")
+    sets = jaccard._sets(rows, nodes, pairs, 2).collect()
+    assert x in {r.node for r in sets if r.in_a} and x in {r.node for r in sets if r.in_b}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, 5), (100, 7), (7, 6)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
