@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its check. They are also
-the labels: at most ``MAX_TRAIN_DOCS`` documents with a digit or an at sign, chosen by a hash of their
+the labels: at most ``MAX_TRAIN_DOCS`` documents with an anchor (see below), chosen by a hash of their
 id, are cut into windows, in one task of its own, and a small network is trained in numpy (embedding,
 forward and backward LSTM, CRF with learned transitions, by minibatch gradient descent). Half of the
 training windows are altered: the plus of a phone number goes, separators change, an at sign is spelled
 out, the label staying, so that the model learns the shape and surroundings and not the one character.
 
 For tagging, every text is cut into windows of ``WIDTH`` characters, ``STRIDE`` apart, over its whole
-length. Windows without a digit or an at sign hold none of the four kinds and stay untagged. The others
-are decoded by Viterbi; where windows overlap, a character takes the tag of the window in which it
+length. Every span that may be added holds an anchor: a digit, an at sign, or `` at `` before a dotted
+name. So windows that hold a part of an anchor are decoded by Viterbi, with the windows beside them, and
+from there on as far as tags go: the spans are those of decoding every window. Where windows overlap, a character takes the tag of the window in which it
 lies most centrally, and spans are read from the reconciled tags of the whole text, so a span may be
 longer than a window. A span is added if it passes its kind's plausibility check and touches no base
 span. The model has a fixed size (about 10,000 floats).
@@ -52,7 +53,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+#: What every span that the model may add holds, by ``plausible``.
+_ANCHOR = re.compile(r"[0-9@]|\x20at\x20(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20at\x20[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -98,7 +101,7 @@ def plausible(kind: str, text: str) -> bool:
     """Checks on a span that the model proposes."""
     digits = _digits(text)
     if kind == "email":
-        return len(text) >= 6 and "." in text and ("@" in text or " at " in text)
+        return len(text) >= 6 and ("@" in text and "." in text or bool(_SPELLED.fullmatch(text)))
     if kind == "ip":
         return bool(_IP.fullmatch(text)) and _octets(text)
     if kind == "card":
@@ -284,6 +287,15 @@ def windows_of(size: int) -> list[int]:
     return list(range(0, max(size - WIDTH + STRIDE, 1), STRIDE))
 
 
+def anchored(text: str) -> set[int]:
+    """Begins of the windows that hold a part of an anchor."""
+    size, out = len(text), set()
+    for m in _ANCHOR.finditer(text):
+        low = max(0, -(-(m.start() - WIDTH + 1) // STRIDE))
+        out.update(range(low * STRIDE, m.end(), STRIDE))
+    return {a for a in out if a == 0 or a < size - WIDTH + STRIDE}
+
+
 def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     ids, gold = [], []
@@ -292,9 +304,9 @@ def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.nd
         variants = [(text, spans)] + ([_altered(text, spans, rng)] if spans else [])
         for own, marks in variants:
             code, tags = symbols(own), tagged(len(own), marks)
+            near = anchored(own)
             for a in windows_of(len(own)):
-                anchored = _ANCHOR.search(own, a, a + WIDTH)
-                if not anchored and rng.random() > 0.01:
+                if a not in near and rng.random() > 0.01:
                     continue
                 pad = max(0, a + WIDTH - len(own))
                 ids.append(np.pad(code[a : a + WIDTH], (0, pad), constant_values=PAD))
@@ -308,7 +320,7 @@ def fit(docs: DataFrame) -> bytes:
     """The pickled model, trained in one task on a bounded sample."""
     rows = common.id_text(docs)
     # The sample is chosen by ids; at most MAX_TRAIN_DOCS of them are broadcast.
-    chosen = (rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct()
+    chosen = (rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(_ANCHOR.pattern)).select("doc_id").distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS))
     sample = rows.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text").select("text")
 
@@ -327,37 +339,42 @@ def model_spans(model: dict | None, texts: list[str]) -> list[list[tuple[int, in
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if model is None:
         return out
-    jobs = []
-    for d, text in enumerate(texts):
-        size, begins = len(text), set()
-        for m in _ANCHOR.finditer(text):
-            # Every window that holds this anchor.
-            low = max(0, -(-(m.start() - WIDTH + 1) // STRIDE))
-            begins.update(range(low * STRIDE, m.start() + 1, STRIDE))
-        jobs += [(d, a) for a in sorted(begins) if a == 0 or a < size - WIDTH + STRIDE]
-    tags_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    tags_of = {d: (np.zeros(len(t), np.int8), np.full(len(t), -1, np.int16)) for d, t in enumerate(texts)}
     codes: dict[int, np.ndarray] = {}
-    for begin in range(0, len(jobs), 512):
-        part = jobs[begin : begin + 512]
-        ids = np.full((len(part), WIDTH), PAD, np.int64)
-        for r, (d, a) in enumerate(part):
-            if d not in codes:
-                codes[d] = symbols(texts[d])
-            own = codes[d][a : a + WIDTH]
-            ids[r, : len(own)] = own
-        tags, margin = viterbi(model, ids)
-        tags[margin < MARGIN] = 0
-        for (d, a), own in zip(part, tags, strict=True):
-            if d not in tags_of:
-                n = len(texts[d])
-                tags_of[d] = (np.zeros(n, np.int8), np.full(n, -1, np.int16))
-            held, centre = tags_of[d]
-            stop = min(a + WIDTH, len(held))
-            # Distance to the window's border; the text's own ends count as far away.
-            depth = np.minimum(np.arange(WIDTH) + (WIDTH if a == 0 else 0), np.arange(WIDTH)[::-1] + (WIDTH if a + WIDTH >= len(held) else 0))[: stop - a]
-            better = depth > centre[a:stop]
-            held[a:stop][better], centre[a:stop][better] = own[: stop - a][better], depth[better]
+
+    def decode(jobs: list[tuple[int, int]]) -> None:
+        for begin in range(0, len(jobs), 512):
+            part = jobs[begin : begin + 512]
+            ids = np.full((len(part), WIDTH), PAD, np.int64)
+            for r, (d, a) in enumerate(part):
+                if d not in codes:
+                    codes[d] = symbols(texts[d])
+                own = codes[d][a : a + WIDTH]
+                ids[r, : len(own)] = own
+            tags, margin = viterbi(model, ids)
+            tags[margin < MARGIN] = 0
+            for (d, a), own in zip(part, tags, strict=True):
+                held, centre = tags_of[d]
+                stop = min(a + WIDTH, len(held))
+                # Distance to the window's border; the text's own ends count as far away.
+                depth = np.minimum(np.arange(WIDTH) + (WIDTH if a == 0 else 0), np.arange(WIDTH)[::-1] + (WIDTH if a + WIDTH >= len(held) else 0))[: stop - a]
+                better = depth > centre[a:stop]
+                held[a:stop][better], centre[a:stop][better] = own[: stop - a][better], depth[better]
+
+    def beside(d: int, begins: set[int]) -> set[int]:
+        return {a for b in begins for a in (b - STRIDE, b, b + STRIDE) if a == 0 or 0 < a < len(texts[d]) - WIDTH + STRIDE}
+
+    done: list[set[int]] = [set() for _ in texts]
+    fresh = {d: beside(d, own) for d, t in enumerate(texts) if (own := anchored(t))}
+    while fresh:
+        decode([(d, a) for d, own in fresh.items() for a in sorted(own)])
+        for d, own in fresh.items():
+            done[d] |= own
+        fresh = {d: more for d, own in fresh.items()
+                 if (more := beside(d, {a for a in beside(d, own) & done[d] if tags_of[d][0][a : a + WIDTH].any()}) - done[d])}
     for d, (held, _) in tags_of.items():
+        if not held.any():
+            continue
         kind = np.where(held > 0, (held + 1) // 2, 0)
         for at in np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]):
             if kind[at]:

@@ -176,6 +176,25 @@ def test_pii_model_and_edges(spark):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def test_pii_spelled_addresses_need_no_digit():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    texts = [" ".join([*(word() for _ in range(12)), f"{word()}.{word()}@{word()}.example.com", *(word() for _ in range(9))]) for _ in range(300)]
+    model = pii.fit_windows(*pii.training_windows(texts))
+    found = pii.model_spans(model, [t.replace("@", " at ") for t in texts])
+    whole = [t.index("@") + 4 for t in texts]
+    assert sum(any(k == "email" and a < at < b for a, b, k in own) for at, own in zip(whole, found, strict=True)) >= 240
+    # The same spans as from decoding every window.
+    mixed = ["\n".join(rng.sample(texts, 3)).replace("@", rng.choice(["@", " at "])) + " plain" * rng.randint(0, 60) for _ in range(60)]
+    own = pii.model_spans(model, mixed)
+    held, pii.anchored = pii.anchored, lambda t: set(pii.windows_of(len(t)))
+    try:
+        assert pii.model_spans(model, mixed) == own and any(own)
+    finally:
+        pii.anchored = held
+    assert not pii.plausible("email", "look at this. one") and pii.plausible("email", "jane.doe at example.com")
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("aeiourstln", k=rng.randint(2, 7)))
