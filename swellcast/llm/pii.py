@@ -2,7 +2,8 @@
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its check. They are also
 the labels: at most ``MAX_TRAIN_DOCS`` documents with an anchor (see below), chosen by a hash of their
-id, are cut into windows, in one task of its own, and a small network is trained in numpy (embedding,
+id, are cut into windows, in one task of its own. At most ``MAX_TRAIN_WINDOWS`` windows are taken, in rounds: every document
+gives one window a round, first those with a span, then by a hash of the window. On them a small network is trained in numpy (embedding,
 forward and backward LSTM, CRF with learned transitions, by minibatch gradient descent). Half of the
 training windows are altered: the plus of a phone number goes, separators change, an at sign is spelled
 out, the label staying, so that the model learns the shape and surroundings and not the one character.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,23 +299,31 @@ def anchored(text: str) -> set[int]:
 
 
 def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    ids, gold = [], []
+    made: list[tuple[str, np.ndarray]] = []
+    # (rank in its text, hash, text with variant, begin)
+    picks: list[tuple[int, int, int, int]] = []
     for text in texts:
+        rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))])
         spans = base_spans(text)
-        variants = [(text, spans)] + ([_altered(text, spans, rng)] if spans else [])
-        for own, marks in variants:
-            code, tags = symbols(own), tagged(len(own), marks)
-            near = anchored(own)
+        own_picks = []
+        for own, marks in [(text, spans)] + ([_altered(text, spans, rng)] if spans else []):
+            tags, near, v = tagged(len(own), marks), anchored(own), len(made)
+            made.append((own, tags))
             for a in windows_of(len(own)):
-                if a not in near and rng.random() > 0.01:
-                    continue
-                pad = max(0, a + WIDTH - len(own))
-                ids.append(np.pad(code[a : a + WIDTH], (0, pad), constant_values=PAD))
-                gold.append(np.pad(tags[a : a + WIDTH], (0, pad)))
-                if len(ids) >= MAX_TRAIN_WINDOWS:
-                    return np.array(ids), np.array(gold)
-    return np.array(ids).reshape(-1, WIDTH), np.array(gold).reshape(-1, WIDTH)
+                if a in near or rng.random() <= 0.01:
+                    key = xxhash.xxh64_intdigest(own[a : a + WIDTH].encode("utf-8", "surrogatepass"), seed)
+                    own_picks.append((not tags[a : a + WIDTH].any(), key, v, a))
+        own_picks.sort()
+        picks += [(rank, key, v, a) for rank, (_, key, v, a) in enumerate(own_picks[:MAX_TRAIN_WINDOWS])]
+        if len(picks) > 4 * MAX_TRAIN_WINDOWS:
+            picks = sorted(picks)[:MAX_TRAIN_WINDOWS]
+    ids, gold = [], []
+    for _, _, v, a in sorted(picks)[:MAX_TRAIN_WINDOWS]:
+        own, tags = made[v]
+        code = symbols(own[a : a + WIDTH])
+        ids.append(np.pad(code, (0, WIDTH - len(code)), constant_values=PAD))
+        gold.append(np.pad(tags[a : a + WIDTH], (0, WIDTH - len(code))))
+    return np.array(ids, np.int64).reshape(-1, WIDTH), np.array(gold, np.int64).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame) -> bytes:

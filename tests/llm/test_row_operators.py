@@ -195,6 +195,15 @@ def test_pii_spelled_addresses_need_no_digit():
     assert not pii.plausible("email", "look at this. one") and pii.plausible("email", "jane.doe at example.com")
 
 
+def test_pii_training_windows_are_shared_out(monkeypatch):
+    monkeypatch.setattr(pii, "MAX_TRAIN_WINDOWS", 40)
+    texts = ["12 34 56 " * 4_000, *(f"{'words ' * 20}write to u{i}@mail.example.com {'words ' * 20}" for i in range(30))]
+    ids, gold = pii.training_windows(texts)
+    assert len(ids) == 40 and (gold.any(1)).sum() >= 38
+    again = pii.training_windows(texts[::-1])
+    assert (again[0] == ids).all() and (again[1] == gold).all()
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("aeiourstln", k=rng.randint(2, 7)))
