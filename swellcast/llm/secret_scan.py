@@ -3,8 +3,10 @@
 Base spans are the leftmost non-overlapping matches of each kind that pass its length check:
 ``assign`` (the whole assignment, value of 8 or more), ``access`` (16 or more), ``hex`` (32 or more).
 
-Other tokens are runs of at least ``MIN_RUN`` characters of the base64 alphabets. The encoding is the
-smallest alphabet that holds a token: hex, base32, base36, base64 or base64url; words in one case
+Other tokens come from runs of at least ``MIN_RUN`` characters of the base64 alphabets and ``=``. A run
+is cut at every ``=`` but its last ones, which may be padding. A piece of at least ``MIN_RUN`` characters
+is a token, and so are its parts that long between ``/``, between ``-`` and ``_``, and between all three,
+since a secret may be joined to a path or a name. Where discoveries overlap, the longest stays. The encoding is the smallest alphabet that holds a token: hex, base32, base36, base64 or base64url; words in one case
 have none and are no candidates. Each candidate takes three tests:
 
 * chi-squared uniformity over the alphabet, through the count of equal symbols;
@@ -24,7 +26,9 @@ rows are independent; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -153,13 +157,37 @@ def long_runs(texts: list[str]) -> list[list[tuple[int, int]]]:
     return out
 
 
+_PIECE = re.compile(r"[^=]+(?:=+\Z)?")
+_PARTS = tuple(map(re.compile, (r"[^/]+", r"[^_-]+", r"[^/_-]+")))
+
+
+def tokens_of(run: str) -> list[tuple[int, int]]:
+    """The tokens of a run: its pieces between inner ``=``, and the parts of a piece between separators."""
+    out = set()
+    for piece in _PIECE.finditer(run):
+        a = piece.start()
+        spans = [(0, len(piece[0])), *(m.span() for cut in _PARTS for m in cut.finditer(piece[0]))]
+        out |= {(a + x, a + y) for x, y in spans if y - x >= MIN_RUN}
+    return sorted(out)
+
+
 def spans_of(text: str, runs: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and the added ones of one text."""
     base = base_spans(text)
     # Every hex match of 32 or more lies in a long run, so only those are searched.
     base += [(a + m.start(), a + m.end(), "hex") for a, b in runs if b - a >= 32 for m in _HEX.finditer(text[a:b])]
-    free = [(a, b) for a, b in runs if not any(x < b and a < y for x, y, _ in base)]
-    return base, [(*free[i], "random") for i in discoveries([text[a:b] for a, b in free])]
+    free = [(a + x, a + y) for a, b in runs for x, y in tokens_of(text[a:b])]
+    held = sorted(base)
+    # Base spans of different kinds may overlap: the end is the furthest one so far.
+    begins, ends = [x for x, *_ in held], list(itertools.accumulate((y for _, y, _ in held), max))
+    free = [(a, b) for a, b in free if not (i := bisect.bisect_left(begins, b)) or ends[i - 1] <= a]
+    found = sorted((free[i] for i in discoveries([text[a:b] for a, b in free])), key=lambda s: (s[0] - s[1], s))
+    taken: list[tuple[int, int]] = []
+    for a, b in found:
+        i = bisect.bisect_left(taken, (a, b))
+        if (not i or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+            taken.insert(i, (a, b))
+    return base, [(a, b, "random") for a, b in taken]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
