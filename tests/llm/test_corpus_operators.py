@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -272,6 +273,28 @@ def test_lm_base_and_mixture(spark, monkeypatch):
     assert alone[0].train_tokens == 0 and alone[0].base_score == 0 and alone[0].score < 0
 
 
+def test_lm_is_free_of_layout_and_learns_from_all_words(spark, monkeypatch):
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("etaoinshrd", k=rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(stems[: 5 + i]) for _ in range(40)), None, None, None) for i in range(200)]
+    monkeypatch.setattr(mixing_lm, "SHARD_WORDS", 60)
+    learned = []
+    keep = mixing_lm._mixer
+    monkeypatch.setattr(mixing_lm, "_mixer", lambda *a: learned.append(keep(*a)) or learned[-1])
+    scores = []
+    for size, parts in ((3_000, 7), (16_000_000, 1)):
+        monkeypatch.setattr(mixing_lm, "SLICE", size)
+        out = mixing_lm.score(docs(spark, rows).repartition(parts)).collect()
+        scores.append({r.doc_id: round(r.score, 8) for r in out})
+    assert scores[0] == scores[1]
+    first, second = (pickle.loads(b) for b in learned)
+    assert (first.tables == second.tables).all() and (first.spelling.size == second.spelling.size).all()
+    # Every training word took part, once.
+    training = {w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in space_words(t)} | {""}
+    bits = first.spelling.bits(b" ".join([*(w.encode() for w in training), b""]))
+    assert first.tables[0].sum() == len(bits[2]) and (first.weights != 0.35).any()
+
+
 def test_lm_spelling_sums_to_one():
     # Over all words of one byte, and the longer rest, the spelled probabilities add up to at most one.
     mixer = mixing_lm.Mixer(np.ones(256), np.zeros((len(mixing_lm.ORDERS), mixing_lm.SLOTS, 2), np.float32))
