@@ -167,8 +167,8 @@ def _pieces(window: int):
     return run
 
 
-def automata(benchmark: DataFrame, window: int) -> list[bytes]:
-    """Pickled automata, one per block of items. Their number follows the benchmark's size."""
+def automata(benchmark: DataFrame, window: int) -> DataFrame:
+    """Stored (_block, automaton): one pickled automaton per block of items. Their number follows the benchmark's size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), common.whole_text().alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
@@ -177,10 +177,14 @@ def automata(benchmark: DataFrame, window: int) -> list[bytes]:
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(None if pd.isna(i) else i, bytes(w).split()) for i, w in zip(frame.item_id, frame.words, strict=True)]
-        return pd.DataFrame({"automaton": [pickle.dumps(Automaton(rows, window))]})
+        return pd.DataFrame({"_block": frame["_block"][:1], "automaton": [pickle.dumps(Automaton(rows, window))]})
 
-    built = common.stored(pieces.groupBy("_block").applyInPandas(build, "automaton binary"), "automata")
-    return [bytes(r.automaton) for r in built.toLocalIterator()]
+    return common.stored(pieces.groupBy("_block").applyInPandas(build, "_block long, automaton binary"), "automata")
+
+
+def fetched(built: DataFrame, blocks: list[int]) -> list[bytes]:
+    """The automata of the blocks of one pass."""
+    return [bytes(r.automaton) for r in built.where(F.col("_block").isin(blocks)).orderBy("_block").toLocalIterator()]
 
 
 @functools.lru_cache(maxsize=BLOCKS_AT_ONCE)
@@ -214,11 +218,13 @@ Finish = Callable[[pa.RecordBatch, list[str], _Found], pa.RecordBatch]
 
 def scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, window: int = WINDOW) -> DataFrame:
     """Search every document for every block; ``finish`` makes the output from the complete hits."""
-    blobs = automata(benchmark, window) or [pickle.dumps(Automaton([], window))]
+    built = automata(benchmark, window)
+    blocks = sorted(r["_block"] for r in built.select("_block").toLocalIterator())
     context = docs.sparkSession.sparkContext
-    for begin in range(0, len(blobs), BLOCKS_AT_ONCE):
-        shared = [context.broadcast(b) for b in blobs[begin : begin + BLOCKS_AT_ONCE]]
-        last = begin + BLOCKS_AT_ONCE >= len(blobs)
+    for begin in range(0, max(len(blocks), 1), BLOCKS_AT_ONCE):
+        own = blocks[begin : begin + BLOCKS_AT_ONCE]
+        shared = [context.broadcast(b) for b in (fetched(built, own) if own else [pickle.dumps(Automaton([], window))])]
+        last = begin + BLOCKS_AT_ONCE >= len(blocks)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, begin=begin, last=last) -> Iterator[pa.RecordBatch]:
             for batch, texts in common.slices(batches):
@@ -242,6 +248,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, win
             return docs.mapInArrow(run, schema)
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_hits", "_items"))
         docs = common.stored(docs.mapInArrow(run, f"{kept}, _hits binary, _items array<string>"), "hits")
+        for broadcast in shared:
+            broadcast.unpersist()
     raise AssertionError("unreachable")
 
 

@@ -82,6 +82,18 @@ def test_decontamination_report(spark, monkeypatch, blocks):
     assert {r.n_hit for r in decontaminate.report(docs(spark), spark.createDataFrame([], BENCH)).collect()} == {0}
 
 
+def test_decontamination_fetches_one_pass_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
+    seen, keep = [], decontaminate.fetched
+    monkeypatch.setattr(decontaminate, "fetched", lambda *a: seen.append(keep(*a)) or seen[-1])
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(30)], BENCH)
+    rows = [(i, f"x a{i} b{i} c{i} d{i} e{i} f{i} y", None, None, None) for i in range(30)]
+    out = decontaminate.report(docs(spark, rows), items, window=4).collect()
+    assert {(r.n_hit, r.n_items) for r in out} == {(6, 1)}
+    assert len(seen) > 2 and all(len(part) <= 2 for part in seen)
+
+
 def test_decontamination_cleans(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     rows = [(51, f"Kept start, {passage.upper()}! Kept end of a text that is long enough to stay in the corpus for good", "en", "s", 9),
