@@ -13,8 +13,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from swellcast.session import build_session  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
+from settings import SF_DIR
 from oracle_check import canonical, compare, connect
 
 import __spark_entry__ as entry

@@ -188,7 +188,7 @@ def test_interleave_equals_greedy(spark, k, n):
 
 
 def test_ranking_is_dense_and_short_enough(spark):
-    from conftest import SF_DIR
+    from settings import SF_DIR
 
     rows = ranking.rank_candidates(P.candidate_features(spark, SF_DIR)).groupBy("date").agg(
         F.count("*").alias("n"), F.max("rank").alias("m"), F.countDistinct("rank").alias("d")
@@ -261,7 +261,7 @@ def test_roll_forward_keeps_seven(spark):
 
 
 def test_scoring_plan_stays_in_the_jvm(spark):
-    from conftest import SF_DIR
+    from settings import SF_DIR
 
     for build in (P.build_source_features, P.derived):
         plan = build(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
