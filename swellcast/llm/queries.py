@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from swellcast.llm import decontaminate, exact_dedup, jaccard, mixing_lm, page_text, pii, quality, secret_scan, sentencepiece_codec, wavelet
+from swellcast.llm import (
+    decontaminate, exact_dedup, jaccard, mixing_lm, page_text, pii, quality, ranked_search, secret_scan, sentencepiece_codec,
+    wavelet, word_runs,
+)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,6 +18,8 @@ QUERIES = {
     "op8_wavelet": wavelet.op8_wavelet,
     "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op12_word_runs": word_runs.op12_word_runs,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
