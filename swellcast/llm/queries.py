@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from swellcast.llm import (
-    decontaminate, exact_dedup, jaccard, mixing_lm, page_text, pii, quality, ranked_search, secret_scan, sentencepiece_codec,
-    wavelet, word_runs,
+    decontaminate, exact_dedup, jaccard, mixing_lm, nearest, page_text, pii, quality, ranked_search, secret_scan,
+    sentencepiece_codec, wavelet, word_runs,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_wavelet": wavelet.op8_wavelet,
     "op9_mixing_lm": mixing_lm.op9_mixing_lm,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_nearest": nearest.op11_nearest,
     "op12_word_runs": word_runs.op12_word_runs,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
