@@ -13,12 +13,16 @@ have none and are no candidates. Each candidate takes three tests:
 * runs of character classes (lower, upper, digit, other) along the token;
 * serial correlation of neighbouring alphabet places.
 
-A random string must not fail any of them (``VETO``). For the discovery each statistic is set
-against tokens of natural language and identifiers, whose letters repeat like text (``COINCIDENCE``)
-and whose classes change rarely (``CHANGE``): the p-values of the first two are combined by Fisher's
-method. The candidates of one document are one family, and the Benjamini-Hochberg procedure at
-``RATE`` picks the discoveries, with p-values weighted by token length (longer tokens have more power;
-the weights of a family average one). They become spans of kind ``random`` unless they touch a base span.
+A random string must not fail any of them (``VETO``). For the discovery each is turned round and set
+against ordinary text: how likely a word or identifier is to look as even, as restless and as little
+correlated as the token does. Evenness is the likelihood ratio of the alphabet against letters as text
+uses them (``LETTERS``), among vowels and among consonants; restlessness that of its class changes and of
+its steps between vowels and consonants (``CHANGE``, ``STEPS``). Ratios multiply, and the inverse of their
+product bounds the p-value at any length and for any alphabet. Correlation is compared with that of
+text whose classes change so rarely, and Fisher's method adds it. The candidates of one document are one
+family, and the Benjamini-Hochberg procedure at ``RATE`` picks the discoveries, with p-values weighted by
+token length (longer tokens have more power; the weights of a family average one). They become spans of
+kind ``random`` unless they touch a base span.
 
 Defined results: a null text is empty and has no spans; positions are code points, ends exclusive;
 rows are independent; an empty table gives no rows; other columns are ignored.
@@ -44,8 +48,15 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 RATE = 0.01
 VETO = 1e-4
-COINCIDENCE = 0.065
 CHANGE = 0.25
+#: Shares of the letters a to z in English text, in per cent.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.07)
+#: Part of a text's letters and steps that follows no such rule (names, abbreviations, other languages).
+ODD = 0.1
+#: How far the correlation of single identifiers lies from that of text at large (camel case has little).
+SPREAD = 0.3
+#: In text, the share of vowels after a consonant and after a vowel.
+STEPS = (0.55, 0.17)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _KEY = re.compile(r"passw|secret|token|api_?key", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -74,15 +85,42 @@ def _normal(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _at_least(successes: int, trials: int, chance: float) -> float:
-    """Upper binomial tail."""
-    return min(1.0, sum(math.comb(trials, k) * chance**k * (1 - chance) ** (trials - k) for k in range(successes, trials + 1)))
-
-
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+_VOWELS = "aeiou"
+_OF_SORT = {v: sum(x for i, x in enumerate(LETTERS) if (chr(97 + i) in _VOWELS) == v) for v in (False, True)}
+#: Share of each letter among the vowels or consonants of text.
+_IN_TEXT = {chr(97 + i): (1 - ODD) * v / _OF_SORT[chr(97 + i) in _VOWELS] + ODD / (5 if chr(97 + i) in _VOWELS else 21)
+            for i, v in enumerate(LETTERS)}
+
+
+def _sort(c: str) -> tuple[int, bool]:
+    return _kind(c), c.lower() in _VOWELS
+
+
+def _against_text(token: str, places: dict[str, int]) -> float:
+    """Log likelihood ratio of a random string of the alphabet against text: letters, classes and steps."""
+    k, of_kind, of_sort = len(places), Counter(map(_kind, places)), Counter(map(_sort, places))
+    letter = {c: math.log(1 / of_sort[_sort(c)] / _IN_TEXT[c.lower()]) for c in places if c.isalpha()}
+    total = sum(n * letter.get(c, 0.0) for c, n in Counter(token).items())
+    rest = 1 - sum((v / k) ** 2 for v in of_kind.values())
+    for (a, b), n in Counter(zip(token, token[1:], strict=False)).items():
+        kind = _kind(b)
+        if rest > 0:
+            # Text keeps its class, or goes to another one by its size.
+            stay = _kind(a) == kind
+            other = of_kind[kind] / max(k - of_kind[_kind(a)], 1)
+            total += n * math.log(of_kind[kind] / k / (1 - CHANGE if stay else CHANGE * other))
+        if a.isalpha() and b.isalpha():
+            vowel = b.lower() in _VOWELS
+            random = of_sort[kind, True] / of_kind[kind]
+            text = (1 - ODD) * STEPS[a.lower() in _VOWELS] + ODD * random
+            total += n * math.log((random if vowel else 1 - random) / (text if vowel else 1 - text))
+    return total
+
+
 def infer(token: str) -> tuple[str, dict[str, int]] | None:
     """The encoding of a token and the places of its alphabet; none for words in one case."""
     if not any(c.isdigit() for c in token):
@@ -121,11 +159,13 @@ def discovery_p(token: str) -> float | None:
     serial = float(at[:-1] @ at[1:]) / spread if spread else 1.0
     if 2 * _normal(-abs(serial + 1 / n) * math.sqrt(n)) < VETO:
         return None
-    text_sd = math.sqrt(2 * pairs * COINCIDENCE * (1 - COINCIDENCE) * (1 + n * COINCIDENCE / 4))
-    p_uniform = _normal((equal - pairs * COINCIDENCE) / text_sd) if 1 / k < COINCIDENCE else 1.0
-    p_runs = _at_least(changes, n - 1, CHANGE)
-    log = -2 * (math.log(max(p_uniform, 1e-300)) + math.log(max(p_runs, 1e-300)))
-    return math.exp(-log / 2) * (1 + log / 2)
+    p_text = math.exp(-max(0.0, min(_against_text(token, places), 690.0)))
+    # Classes that change at the rate CHANGE keep this share of the correlation between neighbours.
+    between = sum(((sum(x for c, x in places.items() if _kind(c) == g) / v - (k - 1) / 2) ** 2) * v / k for g, v in share.items())
+    kept = (1 - CHANGE / expect) * between / ((k * k - 1) / 12) if expect > CHANGE else 0.0
+    p_serial = _normal((serial - kept) / math.sqrt(1 / n + SPREAD * SPREAD))
+    log = -math.log(p_text) - math.log(max(p_serial, 1e-300))
+    return math.exp(-min(log, 690.0)) * (1 + log)
 
 
 def discoveries(tokens: list[str]) -> list[int]:

@@ -245,3 +245,25 @@ def test_quality_learns_and_holds_out(spark):
     assert len(edge) == len(EDGE_ROWS) and all(0 <= r.score <= 1 for r in edge)
     none = quality.score(docs(spark), table.where("doc_id < 0")).collect()
     assert {r.score for r in none} == {0.5} and quality.score(docs(spark, []), table).count() == 0
+
+
+@pytest.mark.parametrize("name,chars", secret_scan._ALPHABETS)
+def test_random_tokens_are_found_in_every_alphabet(name, chars):
+    rng = random.Random(11)
+    words = [f"getAccountBalanceOfUser{i}" for i in range(4)] + ["internationalization2024release", "2024013112304512345678"]
+    for size, least in ((24, 0.75), (32, 0.9), (64, 0.95)):
+        found = [secret_scan.discoveries(["".join(rng.choice(chars) for _ in range(size)), *words]) for _ in range(200)]
+        assert sum(0 in f for f in found) >= least * 200
+        assert sum(i > 0 for f in found for i in f) <= 2
+
+
+@pytest.mark.parametrize("name,chars", secret_scan._ALPHABETS)
+def test_very_long_tokens(name, chars):
+    rng = random.Random(12)
+    for size in (1_500, 100_000):
+        token = "".join(rng.choice(chars) for _ in range(size))
+        assert secret_scan.discoveries([token, chars[0] * size, (chars[:2] * size)[:size]]) in ([0], [])
+        assert secret_scan.discovery_p(token) is None or secret_scan.discovery_p(token) < 1e-6
+        text = f"x {token} y"
+        base, more = secret_scan.spans_of(text, secret_scan.long_runs([text])[0])
+        assert all(2 <= a < b <= size + 2 for a, b, _ in base + more)
