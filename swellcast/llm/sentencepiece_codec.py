@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from swellcast.llm import common
 
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -281,10 +281,10 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encode_decode(docs: DataFrame, model_file: str, outputs: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``outputs`` also ids and decoded."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (
-        ", ids array<int>, decoded string" if outputs else "")
+def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ``outputs`` names ids and decoded where they are wanted."""
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{c} {kinds[c]}" for c in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
@@ -297,11 +297,11 @@ def encode_decode(docs: DataFrame, model_file: str, outputs: bool = False) -> Da
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded]),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if outputs:
-                columns += [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)),
-                            pa.array(decoded)]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for name in outputs:
+                columns.append(pa.array(decoded) if name == "decoded" else pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *outputs])
+            del ids, decimals, decoded, columns
 
     return common.id_text(docs).mapInArrow(run, schema)
 
