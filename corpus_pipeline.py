@@ -38,8 +38,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left, with the digests of the ids and of the decoded text."""
     import public_tokenizers
 
-    encoded = sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=True)
-    return encoded.drop("decoded")
+    return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("ids",))
 
 
 STAGES = [
