@@ -46,13 +46,13 @@ from swellcast.llm import common
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
-RATE = 0.01
+RATE = 0.02
 VETO = 1e-4
 CHANGE = 0.25
 #: Shares of the letters a to z in English text, in per cent.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.07)
 #: Part of a text's letters and steps that follows no such rule (names, abbreviations, other languages).
-ODD = 0.1
+ODD = 0.05
 #: How far the correlation of single identifiers lies from that of text at large (camel case has little).
 SPREAD = 0.3
 #: In text, the share of vowels after a consonant and after a vowel.
