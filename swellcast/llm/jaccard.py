@@ -49,6 +49,8 @@ CHUNK = 1 << 14
 #: Bits of the filter that keeps documents outside all candidate pairs out of a verification.
 FILTER_BITS = 26
 PIVOT_PAIRS = 1_000
+#: Least open combinations of a node that its rows carry, to tell whether a pair has met before.
+HEADS = 12
 #: Hash buckets of a set's shape: the overlap of two sets is at most the sum of their buckets' smaller counts.
 SHAPE = 256
 PIVOT_SALTS = 16
@@ -386,10 +388,15 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     counted = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max_by("label", "n").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1")
     crowd = common.stored(crowd.join(largest.select("key", "_most"), "key").select("key", "node", "size", "often", "label", "_most"), "crowd")
-    outside = crowd.where(F.col("label") != F.col("_most")).drop("_most")
-    over = (side(outside, "a").join(side(crowd.drop("_most"), "b"), "key")
+    # Members of a group share many combinations. A key among the least ones of both members was met before,
+    # and since the pair meets on every open key that it shares, only later keys are left out.
+    heads = crowd.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEADS).alias("heads"))
+    crowd = common.stored(crowd.withColumn("out", F.col("label") != F.col("_most")).drop("_most").join(heads, "node"), "crowd-heads")
+    met = F.arrays_overlap(F.filter("heads_a", lambda k: k < F.col("key")), F.col("heads_b"))
+    over = (side(crowd.where("out"), "a").join(side(crowd, "b"), "key")
             .where((F.col("label_a") != F.col("label_b")) & _sizes_fit(percent)
-                   & _often_fit("size_a", "size_b", "often_a", "often_b", percent))
+                   & _often_fit("size_a", "size_b", "often_a", "often_b", percent)
+                   & (~F.col("out_b") | (F.col("node_a") < F.col("node_b"))) & ~met)
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
     second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(over).distinct()
     more = _verified(rows, index, nodes, second, words, percent, "second")
