@@ -48,6 +48,8 @@ SHORT = 48
 #: Nodes of a cell, or of a part of a crowded one.
 PART = 8_192
 PAIRS_AT_ONCE = 1 << 18
+#: Bytes of cells that a task ranks together.
+GATHER = 1 << 24
 
 
 # -- hashing ---------------------------------------------------------------------------------------------
@@ -334,7 +336,7 @@ def _ranked(short: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
-        for batch in batches:
+        for batch in _gathered(batches):
             kind = batch.column("kind").to_numpy()
             node = batch.filter(pa.array(kind == 0))
             query = batch.filter(pa.array(kind == 1))
@@ -348,6 +350,20 @@ def _ranked(short: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about GATHER bytes: the more cells are ranked together, the fewer candidates of a query go on."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= GATHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _first(a: np.ndarray, c: np.ndarray, d2: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every a the ``short`` nearest pairs."""
     order = np.lexsort((c, d2, a))
