@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from swellcast.llm import common
 
 END_ID = 1
 FILE_TOKENS = 1_000_000
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
@@ -190,45 +191,53 @@ class Chunks:
 
     def _learn(self, new: list[str]) -> None:
         """Plain chunks are their lower-case stem and the punctuation behind it, two pre-tokens; the rest goes whole."""
-        matched = list(map(_PLAIN.fullmatch, new))
-        rest = [c for c, m in zip(new, matched, strict=True) if not m]
-        plain = [m for m in matched if m]
-        stems, tails = [m[1].lower() for m in plain], [m[2] for m in plain]
-        rest += set(tails).difference(self.index, rest)
+        index = self.index
+        # Most new chunks are lower-case words already, and so their own stems.
+        words = [c for c in new if c.isascii() and c.isalpha() and c.islower()]
+        known = set(words)
+        matched = [(c, _PLAIN.fullmatch(c)) for c in new if c not in known]
+        rest = [c for c, m in matched if not m]
+        plain = [(c, m[1].lower(), m[2]) for c, m in matched if m]
+        rest += {tail for *_, tail in plain}.difference(index, rest)
         self._add(rest, *self._apart(rest))
-        fresh = list(set(stems).difference(self.index))
-        self._add(fresh, *self._together(fresh))
-        made = [i for i, m in enumerate(plain) if m[0] not in self.index]
-        parts = np.fromiter((self.index[x] for i in made for x in (stems[i], tails[i])), np.int64, 2 * len(made))
+        words += {stem for _, stem, _ in plain}.difference(index, known)
+        self._add(words, *self._together(words))
+        made = [x for x in plain if x[0] not in index]
+        parts = np.array([(index[stem], index[tail]) for _, stem, tail in made], np.int64).reshape(-1)
         starts = np.cumsum(self.lengths) - self.lengths
         ids = self.flat[common.ranges(starts[parts], self.lengths[parts])]
-        self._add([plain[i][0] for i in made], ids, self.lengths[parts].reshape(-1, 2).sum(1))
+        self._add([c for c, *_ in made], ids, self.lengths[parts].reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id per text, and the number of ids of each."""
         if len(self.index) > CACHE_CHUNKS:
             self.forget()
-        # str.split() would also split at other separators; those stay inside a chunk for the library.
-        per_text = [_chunked(t) for t in texts]
-        chunks = [c for cs in per_text for c in cs]
-        new = list(set(chunks).difference(self.index))
+        # Only ASCII white space splits; other separators stay inside a chunk for the library. Each distinct
+        # chunk of the slice comes to Python once.
+        split = pc.ascii_split_whitespace(_lowered(texts))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.index]
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        own = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = own[coded.indices.to_numpy()]
         starts = np.cumsum(self.lengths) - self.lengths
-        ids = self.flat[common.ranges(starts[at], self.lengths[at])]
-        sizes = np.fromiter(map(len, per_text), np.int64, len(texts))
-        ends = np.r_[0, np.cumsum(self.lengths[at])][np.cumsum(sizes)]
+        lengths = self.lengths[at]
+        ids = self.flat[common.ranges(starts[at], lengths)]
+        ends = np.r_[0, np.cumsum(lengths)][split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(np.r_[0, ends]) + 1
 
 
-def _chunked(text: str) -> list[str]:
-    if text.isascii() and "<|" not in text:
-        # The tokenizer lower-cases anyway; only its special tokens are matched before that.
-        text = text.lower()
-    for blank in "\n\t\r\x0b\x0c":
-        text = text.replace(blank, " ")
-    return text.split(" ")
+def _lowered(texts: list[str]) -> pa.Array:
+    """The texts with A-Z lower-cased: the tokenizer does so anyway, and only its special tokens are matched before that."""
+    column = pa.array(texts, pa.string())
+    marked = [i for i, t in enumerate(texts) if "<|" in t]
+    if not marked:
+        return pc.ascii_lower(column)
+    special = np.zeros(len(texts), bool)
+    special[marked] = True
+    return pc.if_else(pa.array(special), column, pc.ascii_lower(column))
 
 
 @functools.lru_cache(maxsize=2)
