@@ -312,6 +312,7 @@ def _ranked(short: int):
             key = own[: node.num_rows][n] * room + np.frombuffer(b"".join(node.column("places").take(pa.array(n)).to_pylist()), "<u4")
             order = np.argsort(key, kind="stable")
             key = key[order]
+            asks, who = np.unique(query.column("id").to_numpy()[q], return_inverse=True)
             places = [np.frombuffer(p, "<u4") for p in query.column("places").take(pa.array(q)).to_pylist()]
             asker = np.repeat(np.arange(len(q)), [len(p) for p in places])
             probe = own[node.num_rows :][q][asker] * room + np.concatenate(places)
@@ -326,12 +327,12 @@ def _ranked(short: int):
                 a = np.repeat(asker[begin:stop], count[begin:stop])
                 c = order[common.ranges(left[begin:stop], count[begin:stop])]
                 d2 = squares[1][a] + squares[0][c] - 2 * np.einsum("ij,ij->i", code[1][a], code[0][c]).astype(np.float64) * scale[1][a] * scale[0][c]
-                held.append(_first(a, c, d2, short))
+                held.append(_first(who[a], c, d2, short))
                 begin = stop
             if held:
-                a, c, d2 = _first(*(np.concatenate(x) for x in zip(*held, strict=True)), short)
+                who, c, d2 = _first(*(np.concatenate(x) for x in zip(*held, strict=True)), short)
                 yield pa.RecordBatch.from_arrays(
-                    [query.column("id").take(pa.array(q[a])), node.column("id").take(pa.array(n[c])), pa.array(np.maximum(d2, 0.0))],
+                    [pa.array(asks[who]), node.column("id").take(pa.array(n[c])), pa.array(np.maximum(d2, 0.0))],
                     ["query", "node", "about"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
