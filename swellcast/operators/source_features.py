@@ -166,8 +166,9 @@ def finish_features(
 ) -> DataFrame:
     """Apply source weights and posteriors to stepped rows.
 
-    ``weights`` (source_id, weight) and ``posteriors`` (see ``learning``) have one row
-    per catalogued source or bucket of it, so both joins broadcast.
+    ``weights`` (source_id, weight, with a date if they follow the day) and ``posteriors`` (see
+    ``learning``) have one row per catalogued source or bucket of it; the runtime picks the joins
+    from their measured size.
     """
     cfg = cfg or AlgorithmConfig()
     df = stepped
@@ -186,7 +187,8 @@ def finish_features(
     if weights is None:
         df = df.withColumn("source_weight", F.lit(1.0))
     else:
-        df = df.join(F.broadcast(weights.select("source_id", "weight")), "source_id", "left")
+        on = [c for c in ("date", "source_id") if c in weights.columns]
+        df = df.join(weights.select(*on, "weight"), on, "left")
         df = df.withColumn("source_weight", F.coalesce("weight", F.lit(1.0))).drop("weight")
     df = anomaly.score_source_rows(df, cfg, F.col("posterior_multiplier"))
     weighted = (

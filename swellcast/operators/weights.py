@@ -227,6 +227,24 @@ def stability(records: DataFrame, cfg: WeightingConfig | None = None) -> DataFra
     )
 
 
+def stability_history(records: DataFrame, every: int, cfg: WeightingConfig | None = None) -> DataFrame:
+    """(date, source_id, weight): every ``every`` days the stability of each source at that day, scaled to mean 1.
+
+    A record counts for the snapshots of the days of one window after it, so no day is compared with all others.
+    """
+    cfg = cfg or WeightingConfig()
+    number = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    days = records.select(F.col("date").alias("_day")).distinct().where(number(F.col("_day")) % every == 0)
+    reach = F.filter(F.sequence("date", F.date_add("date", cfg.window_days - 1)), lambda d: number(d) % every == 0)
+    fail = F.avg(F.when(F.col("ok"), 0.0).otherwise(1.0))
+    stable = records.select("source_id", "ok", F.explode(reach).alias("_day")).join(days, "_day").groupBy("_day", "source_id").agg(
+        F.greatest(F.lit(cfg.s_min), 1.0 - fail).alias("stability"))
+    by_day = Window.partitionBy("_day")
+    return stable.select(
+        F.col("_day").alias("date"), "source_id",
+        (F.col("stability") * F.count("*").over(by_day) / F.sum("stability").over(by_day)).alias("weight"))
+
+
 def weight_snapshot(
     records: DataFrame,
     top: DataFrame,

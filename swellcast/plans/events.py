@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from swellcast import dims
+from swellcast.operators import anomaly
 from swellcast.operators import features as C
 from swellcast.operators import fusion as X
 from swellcast.operators import labels as L
@@ -20,8 +21,14 @@ def source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "source_features", lambda: build_source_features(spark, sf_dir))
 
 
+def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (date, candidate, source) before the baseline: the stored daily sums."""
+    mentions = A.with_catalog(spread(B.event_mentions(spark, sf_dir)), dims.catalog_df(spark))
+    return stage(spark, sf_dir, "daily_signals", lambda: A.aggregate_mentions(mentions))
+
+
 def build_source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.build_source_features(spread(B.event_mentions(spark, sf_dir)), dims.catalog_df(spark))
+    return A.finish_features(anomaly.fold_history(daily_signals(spark, sf_dir)))
 
 
 def aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,10 @@ post AS (SELECT *, 1 / (1 + greatest(0, mean_lead_days)) AS lead_score FROM post
 """
 
 
+#: The multiplier of a feature row with bucket ``b`` and source ``s``.
+_MULT_SQL = _mult(*(f"coalesce(b.{n}, s.{n})" for n in ("reliability", "lead_score", "persistence", "region_fit")))
+
+
 def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = learning.accumulate(P.source_features(spark, sf_dir), P.labels(spark, sf_dir))
     return learning.posteriors(counts)

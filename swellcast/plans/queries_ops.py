@@ -221,21 +221,20 @@ def top_unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS_SQL = """
-nm AS (SELECT p_name, 'c' || p_partkey AS id, p_partkey // 1000 AS block, row_number() OVER (PARTITION BY p_name, p_partkey // 1000 ORDER BY p_partkey) AS rn FROM part),
-pr AS (SELECT a.id AS left_id, b.id AS right_id, a.rn % 3 AS support_count FROM nm a JOIN nm b ON a.p_name = b.p_name AND a.block = b.block AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1),
+pr AS (SELECT 'c' || a.p_partkey AS left_id, 'c' || b.p_partkey AS right_id, (a.p_partkey // 2) % 3 AS support_count
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0),
 pid AS (SELECT *, sha1(least(left_id, right_id) || '|' || greatest(left_id, right_id)) AS pair_id FROM pr),
 dec AS (SELECT pair_id, ['merge', 'link', 'separate', 'unknown'][ascii(pair_id) % 4 + 1] AS decision, (ascii(pair_id) % 10) / 10 AS confidence FROM pid)
 """
 
 
 def _decided_pairs(spark: SparkSession, sf_dir: str):
-    """Neighbouring ids of one name, two by two; blocks of 1,000 part keys bound the windows."""
-    key = F.col("p_partkey")
-    w = Window.partitionBy("p_name", F.floor(key / 1000)).orderBy(key)
-    cid = F.concat(F.lit("c"), key)
-    ids = B.table(spark, sf_dir, "part").select(cid.alias("left_id"), F.lead(cid).over(w).alias("right_id"), F.row_number().over(w).alias("rn"))
-    p = ids.where((F.col("rn") % 2 == 1) & F.col("right_id").isNotNull()).select(
-        "left_id", "right_id", (F.col("rn") % 3).alias("support_count")
+    """All parts two by two, each even key with the next one."""
+    part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    cid = F.concat(F.lit("c"), "key")
+    right = part.select((F.col("key") - 1).alias("key"), cid.alias("right_id"))
+    p = part.where("key % 2 = 0").withColumn("left_id", cid).join(right, "key").select(
+        "left_id", "right_id", (F.floor(F.col("key") / 2) % 3).alias("support_count")
     ).withColumn("pair_id", pairs.pair_id(F.col("left_id"), F.col("right_id")))
     code = F.ascii("pair_id")
     decisions = p.select(
@@ -296,7 +295,8 @@ ed AS (SELECT p.left_id, p.right_id, d.decision AS action FROM pid p JOIN dec d
 side AS (SELECT left_id AS candidate_id, right_id AS other_id, action, TRUE AS wins FROM ed UNION ALL SELECT right_id, left_id, action, FALSE FROM ed)
 SELECT s.candidate_id, CASE WHEN action = 'merge' AND NOT wins THEN 'MERGED' WHEN c.active THEN 'ACTIVE' ELSE 'BLOCKED' END AS status,
   c.locked OR action = 'merge' AS manual_lock, CASE WHEN action = 'merge' AND wins THEN
-    CASE WHEN c.brand = o.brand THEN c.canonical_name || ' ' || c.brand ELSE c.canonical_name || ' ' || c.brand || '|' || o.canonical_name || ' ' || o.brand END
+    c.canonical_name || ' ' || c.brand || CASE WHEN c.canonical_name <> o.canonical_name THEN '|' || o.canonical_name ELSE '' END
+      || CASE WHEN c.canonical_name || c.brand <> o.canonical_name || o.brand THEN '|' || o.canonical_name || ' ' || o.brand ELSE '' END
     ELSE c.canonical_name || ' ' || c.brand END AS aliases,
   CASE WHEN action = 'link' THEN other_id ELSE '' END AS related, CASE WHEN action = 'separate' THEN other_id ELSE '' END AS excluded,
   CASE WHEN action = 'merge' AND NOT wins THEN other_id ELSE '' END AS merged_into

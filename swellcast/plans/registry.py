@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from swellcast.session import apply_defaults
 
-GROUPS = ("queries_events", "queries_learning", "queries_text", "queries_ops")
+GROUPS = ("queries_events", "queries_learning", "queries_text", "queries_ops", "queries_state")
 
 
 def _modules():

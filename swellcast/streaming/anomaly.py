@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from swellcast.dims import AlgorithmConfig
@@ -78,16 +77,3 @@ def anomaly_stream(daily: DataFrame, cfg: AlgorithmConfig | None = None) -> Data
         statefulProcessor=AnomalyProcessor(cfg), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
     )
 
-
-def daily_from_events(mentions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Optional front end: raw timed mentions to closed daily sums.
-
-    A day is emitted once the watermark has passed it, so each (candidate, source, day)
-    arrives exactly once.
-    """
-    return (
-        mentions.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"), "candidate_id", "source_id", "family_primary")
-        .agg(F.sum("metric_value").alias("signal"))
-        .select("candidate_id", "source_id", F.to_date("window.start").alias("date"), "signal", "family_primary")
-    )
