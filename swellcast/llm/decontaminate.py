@@ -219,6 +219,7 @@ Finish = Callable[[pa.RecordBatch, list[str], _Found], pa.RecordBatch]
 def scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, window: int = WINDOW) -> DataFrame:
     """Search every document for every block; ``finish`` makes the output from the complete hits."""
     built = automata(benchmark, window)
+    hits, owners = common.fresh(docs.columns, "_hits"), common.fresh(docs.columns, "_owners")
     blocks = sorted(r["_block"] for r in built.select("_block").toLocalIterator())
     context = docs.sparkSession.sparkContext
     for begin in range(0, max(len(blocks), 1), BLOCKS_AT_ONCE):
@@ -230,24 +231,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, win
             for batch, texts in common.slices(batches):
                 found = _Found(texts)
                 if begin:
-                    packed = batch.column("_hits").to_pylist()
+                    packed = batch.column(hits).to_pylist()
                     found.hit = np.concatenate([np.zeros(0, bool), *(
                         np.unpackbits(np.frombuffer(p, np.uint8), count=int(n)).astype(bool)
                         for p, n in zip(packed, found.counts, strict=True))])
-                    found.items = [set(x) for x in batch.column("_items").to_pylist()]
-                    batch = batch.drop_columns(["_hits", "_items"])
+                    found.items = [set(x) for x in batch.column(owners).to_pylist()]
+                    batch = batch.drop_columns([hits, owners])
                 for broadcast in shared:
                     found.search(_opened((broadcast.id if hasattr(broadcast, "id") else id(broadcast),), broadcast))
                 if last:
                     yield finish(batch, texts, found)
                     continue
-                batch = batch.append_column("_hits", pa.array([np.packbits(h).tobytes() for h in found.per_doc()], pa.binary()))
-                yield batch.append_column("_items", pa.array([sorted(x) for x in found.items], pa.list_(pa.string())))
+                batch = batch.append_column(hits, pa.array([np.packbits(h).tobytes() for h in found.per_doc()], pa.binary()))
+                yield batch.append_column(owners, pa.array([sorted(x) for x in found.items], pa.list_(pa.string())))
 
         if last:
             return docs.mapInArrow(run, schema)
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_hits", "_items"))
-        docs = common.stored(docs.mapInArrow(run, f"{kept}, _hits binary, _items array<string>"), "hits")
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (hits, owners))
+        docs = common.stored(docs.mapInArrow(run, f"{kept}, `{hits}` binary, `{owners}` array<string>"), "hits")
         for broadcast in shared:
             broadcast.unpersist()
     raise AssertionError("unreachable")

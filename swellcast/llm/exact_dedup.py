@@ -29,7 +29,7 @@ _SHIFT = "10000000000000000000"
 _NULL_ID = "-9223372036854775809"
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, largest: bool) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, largest: bool, tag: str | None) -> DataFrame:
     text = common.whole_text(text_col)
     sign = "" if largest else "-"
     rows = docs.select(
@@ -37,7 +37,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, largest: bool) -> DataFra
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha"),
         F.octet_length(text).alias("_len"),
         F.xxhash64(text).alias("_check"),
-        F.col("_tag") if "_tag" in docs.columns else F.monotonically_increasing_id().alias("_tag"),
+        (F.col(tag) if tag else F.monotonically_increasing_id()).alias("_tag"),
     )
     order = f"CAST(CAST({sign}COALESCE(CAST(_id AS DECIMAL(19,0)), {sign}({_NULL_ID}BD)) AS DECIMAL(19,0))"
     return rows.withColumn(
@@ -49,14 +49,14 @@ def _merge(level: DataFrame) -> DataFrame:
     return level.groupBy(*DIGEST, "_run").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
-    """Per row: _tag, _id, digest, _keep_id, _group_size, _kept."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, tag: str | None = None) -> DataFrame:
+    """Per row: _tag (the column ``tag``, if given), _id, digest, _keep_id, _group_size, _kept."""
     spark = docs.sparkSession
     levels = 1
     while 1 << (FAN_BITS * levels) < common.partitions_for(spark):
         levels += 1
     runs = 1 << (FAN_BITS * levels)
-    rows = common.stored(_rows(docs, id_col, text_col, largest), "digests").withColumn(
+    rows = common.stored(_rows(docs, id_col, text_col, largest, tag), "digests").withColumn(
         "_run", F.pmod(F.xxhash64("_tag"), F.lit(runs)).cast("int"))
     leaf = _merge(rows.withColumn("_n", F.lit(1).cast("long")))
     root = leaf
@@ -88,20 +88,22 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", larges
         F.col("_kept").alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
-def _addressed(docs: DataFrame) -> DataFrame:
+def _addressed(docs: DataFrame, tag: str) -> DataFrame:
     """``docs`` with a row tag that a second scan gives again: from the row's place in its file, else by storing the rows."""
     try:
-        return docs.withColumn("_tag", F.xxhash64("_metadata.file_path", "_metadata.row_index").bitwiseAND(F.lit(2**63 - 1)))
+        return docs.withColumn(tag, F.xxhash64("_metadata.file_path", "_metadata.row_index").bitwiseAND(F.lit(2**63 - 1)))
     except AnalysisException:
-        return common.stored(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
+        return common.stored(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    tagged = _addressed(docs)
-    gone = groups(tagged, id_col, text_col, largest).where(~F.col("_kept")).select("_tag", "_sha")
+    tag, digest = common.fresh(docs.columns, "_tag"), common.fresh(docs.columns, "_sha")
+    tagged = _addressed(docs, tag)
+    gone = groups(tagged, id_col, text_col, largest, tag).where(~F.col("_kept")).select(
+        F.col("_tag").alias(tag), F.col("_sha").alias(digest))
     sha = F.unhex(F.sha2(common.whole_text(text_col).cast("binary"), 256))
-    return tagged.withColumn("_sha", sha).join(gone, ["_tag", "_sha"], "left_anti").select(*docs.columns)
+    return tagged.withColumn(digest, sha).join(gone, [tag, digest], "left_anti").select(*docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

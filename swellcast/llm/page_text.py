@@ -2,12 +2,15 @@
 
 A page is read into its blocks of text. Structure takes out what is never text: scripts, styles,
 forms, navigation, side bars, footers, adverts, notices and reader comments, by element, role or class
-word. Every line that is left, of every page, inside an article or not, is settled by differencing: the
-pages of a host lie in the order of their URL paths, each takes the neighbour whose path shares the
-longer beginning with its own, the two pages' lines are aligned by a longest common subsequence, and
-the shared lines are deleted. Structure protects in one case: where the neighbour shares more than half
-of the characters of the page's ``article`` (or else ``main``) part, the two hold one article, not one
-template, and the part's shared lines stay.
+word.
+What is left is settled by differencing: the pages of a host lie in the order of their URL paths,
+each takes the neighbour whose path shares the longer beginning with its own, the two pages' lines are
+aligned by a longest common subsequence, and shared lines are deleted. Of the page's ``article`` (or else
+``main``) part only template lines go: a headline or paragraph that two articles happen to have in common
+is text of both, so a shared line of that part is deleted only if lines in its container (the chain of
+elements and classes around it) are shared with the nearest page more often than not, on at least
+``LEAST_PAGES`` pages of the host. Where the neighbour shares more than half of the part's characters the
+two hold copies of one article; such pages keep the part and say nothing about containers.
 
 Neighbours are exact and no host is gathered in one task: small rows (path, line hashes) are range
 partitioned by (host, path), neighbours come from a window inside each range, and the first and last
@@ -40,6 +43,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 GONE = frozenset("head nav footer aside form button select menu dialog fieldset datalist".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
+#: Pages of a host on which a container must occur to count as template.
+LEAST_PAGES = 8
 #: Class, id or role words of parts that are not the article.
 GONE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices alert "
@@ -59,11 +64,17 @@ def _denied(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, place) of the page's blocks that structure does not drop; place 2: article, 1: main, 0: elsewhere."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, int]] = []
-    gone, place, parts, at = 0, 0, [], 0
+def _box(outer: int, tag: str, attributes: str) -> int:
+    """Number of a container: its element and classes, inside the container ``outer``."""
+    classes = sorted({w for name, value in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in value.strip("\"'").split()})
+    return xxhash.xxh64_intdigest(f"{outer}/{tag}.{'.'.join(classes)}")
+
+
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, place, container) of the page's blocks that structure does not drop; place 2: article, 1: main, 0: elsewhere."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []
+    gone, place, box, parts, at = 0, 0, 0, [], 0
 
     def text(raw: str) -> None:
         if raw and not gone:
@@ -74,13 +85,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
             own = " ".join("".join(parts).split())
             parts.clear()
             if own:
-                out.append((own, place))
+                out.append((own, place, box))
 
     def pop() -> None:
-        nonlocal gone, place
-        tag, was_gone, before = stack.pop()
+        nonlocal gone, place, box
+        _, was_gone, place, box = stack.pop()
         gone -= was_gone
-        place = before
 
     while True:
         match = _TOKEN.search(page, at)
@@ -97,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if match[1]:
             if tag not in INLINE:
                 flush()
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -132,8 +142,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if drop or tag not in INLINE:
             if drop and tag in INLINE and not gone:
                 text(" ")
-            stack.append((tag, drop, place))
+            stack.append((tag, drop, place, box))
             gone += drop
+            if not gone and tag not in INLINE:
+                box = _box(box, tag, match[3])
             if tag == "article" and not gone:
                 place = 2
             elif place == 0 and not gone and (tag == "main" or 'role="main"' in match[3].lower()):
@@ -142,10 +154,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def settled(found: list[tuple[str, int]]) -> tuple[list[str], bool]:
+def settled(found: list[tuple[str, int, int]]) -> tuple[list[str], bool]:
     """The lines that structure alone would take, and whether they are an article or main part."""
-    best = max((p for _, p in found), default=0)
-    return [t for t, p in found if p == best], best > 0
+    best = max((p for _, p, _ in found), default=0)
+    return [t for t, p, _ in found if p == best], best > 0
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[int]:
@@ -172,20 +184,30 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     return out[::-1]
 
 
-def guards(found: list[tuple[str, int]]) -> list[int]:
+def guards(found: list[tuple[str, int, int]]) -> list[int]:
     """Per line its length in the page's article (or else main) part, 0 outside of it."""
-    best = max((p for _, p in found), default=0)
-    return [len(t) if p == best > 0 else 0 for t, p in found]
+    best = max((p for _, p, _ in found), default=0)
+    return [len(t) if p == best > 0 else 0 for t, p, _ in found]
 
 
-def deleted_lines(own: list[int], guard: list[int], other: list[int] | None) -> list[int]:
-    """Indexes of the lines that differencing with the nearest page (None: there is none) deletes."""
+def judged_lines(own: list[int], guard: list[int], boxes: list[int], other: list[int] | None) -> tuple[
+        list[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """What differencing with the nearest page (None: there is none) says: lines to delete; shared lines of the
+    article, with their container; and per container of the article its lines and those shared."""
     if other is None:
-        return [i for i, g in enumerate(guard) if not g] if any(guard) else []
+        return ([i for i, g in enumerate(guard) if not g] if any(guard) else []), [], []
     shared = shared_lines(own, other)
+    gone = [i for i in shared if not guard[i]]
     if 2 * sum(guard[i] for i in shared) > sum(guard):
-        return [i for i in shared if not guard[i]]
-    return shared
+        return gone, [], []
+    count: dict[int, list[int]] = {}
+    for g, box in zip(guard, boxes, strict=True):
+        if g:
+            count.setdefault(box, [0, 0])[0] += 1
+    inside = [(i, boxes[i]) for i in shared if guard[i]]
+    for _, box in inside:
+        count[box][1] += 1
+    return gone, inside, [(box, n, k) for box, (n, k) in count.items()]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -194,7 +216,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = pa.Codec("zstd", compression_level=19)
         for batch, texts in common.slices(batches):
-            hosts, paths, lines, sizes, hashes, guard = [], [], [], [], [], []
+            hosts, paths, lines, sizes, hashes, guard, boxes = [], [], [], [], [], [], []
             for url, text in zip(batch.column("url").to_pylist(), texts, strict=True):
                 try:
                     parts = urlsplit(url or "")
@@ -204,26 +226,29 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 found = blocks(text)
                 hosts.append(host)
                 paths.append(path)
-                raw = "\n".join(t for t, _ in found).encode()
+                raw = "\n".join(t for t, *_ in found).encode()
                 lines.append(pack.compress(raw, asbytes=True))
                 sizes.append(len(raw))
-                hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
+                hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, *_ in found])
                 guard.append(guards(found))
+                boxes.append([b - (1 << 63) for *_, b in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-                 pa.array(lines, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(guard, pa.list_(pa.int32()))],
-                ["page_id", "url", "host", "path", "lines", "raw", "hashes", "guard"])
+                 pa.array(lines, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(guard, pa.list_(pa.int32())),
+                 pa.array(boxes, pa.list_(pa.int64()))],
+                ["page_id", "url", "host", "path", "lines", "raw", "hashes", "guard", "boxes"])
 
-    parsed = own.mapInArrow(run, "page_id long, url string, host string, path string, lines binary, raw long, hashes array<long>, guard array<int>")
+    parsed = own.mapInArrow(run, "page_id long, url string, host string, path string, lines binary, raw long, "
+                            "hashes array<long>, guard array<int>, boxes array<long>")
     return common.stored(parsed.withColumn("tag", F.monotonically_increasing_id()), "pages")
 
 
 def _neighbours(parsed: DataFrame) -> DataFrame:
-    """(tag, path, hashes, guard, previous, next): the lines of each page and of the pages beside it."""
+    """(tag, host, path, hashes, guard, boxes, previous, next): the lines of each page and of the pages beside it."""
     order = ["host", "path", "page_id", "tag"]
     count = common.partitions_for(parsed.sparkSession)
     rows = common.stored(
-        parsed.select(*order, "hashes", "guard").repartitionByRange(count, *order).sortWithinPartitions(*order)
+        parsed.select(*order, "hashes", "guard", "boxes").repartitionByRange(count, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id()), "page-order")
     card = F.struct("host", "path", "hashes")
     place = F.struct(*order)
@@ -231,10 +256,10 @@ def _neighbours(parsed: DataFrame) -> DataFrame:
     by_part = Window.orderBy("part")  # one row per partition
     ends = ends.select("part", F.lag("last").over(by_part).alias("before"), F.lead("first").over(by_part).alias("after"))
     inside = Window.partitionBy("part").orderBy(*order)
-    near = rows.select("part", "tag", "host", "path", "hashes", "guard", F.lag(card).over(inside).alias("lag"),
+    near = rows.select("part", "tag", "host", "path", "hashes", "guard", "boxes", F.lag(card).over(inside).alias("lag"),
                        F.lead(card).over(inside).alias("lead")).join(ends, "part", "left")
     side = lambda a, b: F.when(F.coalesce(a, b)["host"] == F.col("host"), F.coalesce(a, b))
-    return near.select("tag", "path", "hashes", "guard", side(F.col("lag"), F.col("before")).alias("previous"),
+    return near.select("tag", "host", "path", "hashes", "guard", "boxes", side(F.col("lag"), F.col("before")).alias("previous"),
                        side(F.col("lead"), F.col("after")).alias("next"))
 
 
@@ -246,14 +271,31 @@ def _deleted(near: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
+            said = []
             for row in batch.to_pylist():
                 sides = [s for s in (row["previous"], row["next"]) if s is not None]
                 other = max(sides, key=lambda s: common_start(s["path"] or "", row["path"] or ""), default=None)
-                gone.append(deleted_lines(row["hashes"], row["guard"], other["hashes"] if other else None))
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(gone, pa.list_(pa.int32()))], ["tag", "gone"])
-
-    return near.mapInArrow(run, "tag long, gone array<int>")
+                said.append(judged_lines(row["hashes"], row["guard"], row["boxes"], other["hashes"] if other else None))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tag"), batch.column("host"), pa.array([gone for gone, *_ in said], pa.list_(pa.int32())),
+                 pa.array([[{"line": i, "box": b} for i, b in inside] for _, inside, _ in said], _INSIDE),
+                 pa.array([[{"box": b, "n": n, "shared": k} for b, n, k in count] for *_, count in said], _COUNT)],
+                ["tag", "host", "gone", "inside", "count"])
+
+    said = common.stored(near.mapInArrow(
+        run, "tag long, host string, gone array<int>, inside array<struct<line: int, box: long>>, "
+        "count array<struct<box: long, n: int, shared: int>>"), "page-lines")
+    # Sums per container of a host: as many rows as hosts have templates, whatever their pages.
+    template = said.select("host", F.inline("count")).groupBy("host", "box").agg(
+        F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("shared").alias("shared")).where(
+            (F.col("pages") >= LEAST_PAGES) & (2 * F.col("shared") > F.col("n"))).select("host", "box")
+    more = (said.select("tag", "host", F.inline("inside")).join(template, ["host", "box"])
+            .groupBy("tag").agg(F.collect_list("line").alias("more")))
+    return said.join(more, "tag", "left").select("tag", F.concat("gone", F.coalesce("more", F.array().cast("array<int>"))).alias("gone"))
+
+
+_INSIDE = pa.list_(pa.struct([("line", pa.int32()), ("box", pa.int64())]))
+_COUNT = pa.list_(pa.struct([("box", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

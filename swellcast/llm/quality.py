@@ -158,26 +158,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.nd
     return np.frombuffer(models[0].model, np.float32) if models else np.zeros(BUCKETS + 1, np.float32)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_columns: bool = False) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted; with ``keep_columns`` the rows of ``docs`` and _score."""
+def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, beside: str | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted; with ``beside`` the rows of ``docs`` and the score under that name."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.slices(batches):
-            yield batch.append_column("_score", pa.array(score_texts(shared.value, texts), pa.float64())) if keep_columns else \
+            yield batch.append_column(beside, pa.array(score_texts(shared.value, texts), pa.float64())) if beside else \
                 pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(score_texts(shared.value, texts), pa.float64())], ["doc_id", "score"])
 
-    if keep_columns:
+    if beside:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{schema}, _score double")
+        return docs.mapInArrow(run, f"{schema}, `{beside}` double")
     return common.id_text(docs).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", common.fold("doc_id", 1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
-    return score(docs, labels, keep_columns=True).where(F.col("_score") >= threshold).select(*docs.columns)
+    name = common.fresh(docs.columns, "_score")
+    return score(docs, labels, beside=name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def docs(spark, rows=None, clash=True):
     if clash:
         from pyspark.sql import functions as F
 
-        for name in ("kept", "score", "node", "size", "key", "uid", "n_tokens", "_score", "label", "bit", "spans"):
+        for name in ("kept", "score", "node", "size", "key", "uid", "n_tokens", "_score", "label", "bit", "spans", "_tag", "_sha", "_hits", "_owners", "_items", "tag", "_id"):
             df = df.withColumn(name, F.lit("x"))
     return df
 

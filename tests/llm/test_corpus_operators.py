@@ -219,7 +219,7 @@ def test_page_blocks_by_structure():
             "<p>One <b>bold</b>word<br>next<p class='ad box'>Buy<p>Two&nbsp;&lt;x&gt;<!-- <p>no</p> --><script>var a='</p>';</script><form>Sign<input></form>"
             "<section id=comments><article>Reader</article></section><footer>End</footer></article><aside>Side</aside><div class=cookie-notice>Ok</div></body>")
     assert page_text.settled(page_text.blocks(page)) == (["Head & line", "One boldword next", "Two <x>"], True)
-    assert page_text.blocks("") == [] and page_text.blocks("<p") == [("<p", 0)]
+    assert page_text.blocks("") == [] and page_text.blocks("<p") == [("<p", 0, 0)]
 
 
 def test_shared_lines_are_longest():
@@ -312,3 +312,32 @@ def test_lm_spelling_sums_to_one():
     mixer = mixing_lm.Mixer(np.ones(256), np.zeros((len(mixing_lm.ORDERS), mixing_lm.SLOTS, 2), np.float32))
     words = [bytes([b]) for b in range(256) if b != 32]
     assert 0 < (10.0 ** mixer.log10(b" ".join([*words, b""]))).sum() < 1
+
+
+def test_stages_hand_on_clashing_columns(spark, monkeypatch):
+    """Working columns get fresh names, so a caller's own come through unchanged."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 1)
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [*EDGE_ROWS, (20, f"before it stands {passage} and after it stand these many other words of its own", None, None, None)]
+    given = docs(spark, rows)
+    bench = spark.createDataFrame([(7, passage), (8, "a b c d e f g h i j k l m n"), (9, "q w e r t z u i o p a s d f")], BENCH)
+    cleaned = decontaminate.clean(given, bench)
+    assert cleaned.columns == given.columns and {r["_hits"] for r in cleaned.collect()} == {"x"}
+    assert [r.text for r in cleaned.where("doc_id = 20").collect()] == [rows[-1][1].replace(passage + " ", " ").replace("stands  and", "stands  and")]
+    stay = exact_dedup.keep_one(given)
+    assert stay.columns == given.columns and stay.count() == len({r[1] or "" for r in rows})
+    assert {(r["_tag"], r["_sha"]) for r in stay.collect()} == {("x", "x")}
+
+
+# -- page text -----------------------------------------------------------------------------------------
+def page(headline, body, menu="Home"):
+    return f"<html><body><p>{menu}</p><article><h1>{headline}</h1><p>{body}</p></article></body></html>"
+
+
+def test_article_lines_that_a_neighbour_shares_stay(spark):
+    bare = "<html><body><p>Share this page</p><p>{}</p></body></html>"
+    rows = [(1, "http://h/a/1", page("The same headline", "First text")), (2, "http://h/a/2", page("The same headline", "Second text")),
+            (3, "http://h/b/1", bare.format("Only here")), (4, "http://h/b/2", bare.format("Only there")), (5, "http://g/x", page("Alone", "Text"))]
+    found = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "The same headline First text", 2: "The same headline Second text", 3: "Only here", 4: "Only there", 5: "Alone Text"}

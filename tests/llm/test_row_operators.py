@@ -239,8 +239,8 @@ def test_quality_learns_and_holds_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
     held = [r for r in out if r.held_out]
     assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) >= 0.97 * len(held)
-    kept = quality.keep_good(docs(spark, rows, clash=False), table)
-    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() == sum(r.score >= 0.5 for r in out)
+    kept = quality.keep_good(docs(spark, rows), table)
+    assert kept.columns == docs(spark, rows).columns and kept.count() == sum(r.score >= 0.5 for r in out)
     edge = quality.score(docs(spark), table).collect()
     assert len(edge) == len(EDGE_ROWS) and all(0 <= r.score <= 1 for r in edge)
     none = quality.score(docs(spark), table.where("doc_id < 0")).collect()
