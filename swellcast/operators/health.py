@@ -199,80 +199,68 @@ def publish_health(
     )
 
 
-def rollout_readiness(evaluations: DataFrame, window_days: int = 14, top_k: int = 20) -> DataFrame:
-    """Readiness over the newest ``window_days`` shadow dates.
+def rollout_by_day(evaluations: DataFrame, window_days: int = 14, top_k: int = 20) -> DataFrame:
+    """Readiness at every shadow date, over the newest ``window_days`` shadow dates up to it.
 
     ``evaluations``: date, variant, breakout_precision_7d, future_spread_7d,
     mature_people_music_ratio, healthy_core, discovery_count, confirmation_count,
-    words_behaviors, write_ops. One row per (date, variant): small by nature.
+    words_behaviors, write_ops. One row per (date, variant): small by nature, so one window
+    over the dates is enough. The two variants of a date are pivoted side by side.
     """
     c = F.col
     names = ("breakout_precision_7d", "future_spread_7d", "mature_people_music_ratio")
-    side = lambda v, n: F.max(F.when(c("variant") == v, c(n)))
-    by_date = evaluations.groupBy("date").agg(
-        F.max(c("variant") == "shadow_v2").alias("has_shadow"),
-        F.max(c("variant") == "public_main").alias("has_public"),
-        *[side("shadow_v2", n).alias(f"shadow_{n}") for n in names],
-        *[side("public_main", n).alias(f"public_{n}") for n in names],
-        *[
-            F.coalesce(side("shadow_v2", n), F.lit(0)).alias(n)
-            for n in ("healthy_core", "discovery_count", "confirmation_count", "words_behaviors", "write_ops")
-        ],
-    ).where("has_shadow")
-    window = by_date.orderBy(F.desc("date")).limit(window_days)
-    zero = F.lit(0.0)
-    public = c("has_public")
-    df = window.agg(
-        F.count("*").alias("window_size"),
-        F.count(F.when(public, 1)).alias("public_size"),
-        *[F.coalesce(F.avg(F.coalesce(f"shadow_{n}", zero)), zero).alias(f"avg_shadow_{n}") for n in names],
-        *[
-            F.coalesce(F.avg(F.when(public, F.coalesce(f"public_{n}", zero))), zero).alias(f"avg_public_{n}")
-            for n in names
-        ],
-        *[
-            F.coalesce(F.min(n), F.lit(0)).alias(f"min_{n}")
-            for n in ("healthy_core", "discovery_count", "confirmation_count", "words_behaviors")
-        ],
-        F.round(F.coalesce(F.avg("write_ops"), zero), 2).alias("avg_write_ops"),
-        F.coalesce(F.max("write_ops"), F.lit(0)).alias("max_write_ops"),
-    )
-    some = c("window_size") > 0
-    text = lambda col: F.round(col, 4).cast("string")
-    low = lambda label, col, m: F.when(
-        some & (c(col) < m), F.concat(F.lit(f"{label}<{m}:"), c(col).cast("string"))
-    )
+    checks = ("healthy_core", "discovery_count", "confirmation_count", "words_behaviors")
+    shadow, public = "shadow_v2", "public_main"
+    sides = evaluations.groupBy("date").pivot("variant", [shadow, public]).agg(
+        F.lit(True).alias("there"), *[F.max(n).alias(n) for n in (*names, *checks, "write_ops")])
+    sides = sides.where(c(f"{shadow}_there"))
+    frame = Window.orderBy("date").rowsBetween(1 - window_days, Window.currentRow)
+    zero, known = F.lit(0.0), c(f"{public}_there")
+    of_shadow = lambda n: F.coalesce(f"{shadow}_{n}", F.lit(0))
+    df = sides.select(
+        "date", F.count("*").over(frame).alias("window_size"), F.count(F.when(known, 1)).over(frame).alias("public_size"),
+        *[F.coalesce(F.avg(F.coalesce(f"{shadow}_{n}", zero)).over(frame), zero).alias(f"avg_shadow_{n}") for n in names],
+        *[F.coalesce(F.avg(F.when(known, F.coalesce(f"{public}_{n}", zero))).over(frame), zero).alias(f"avg_public_{n}") for n in names],
+        *[F.min(of_shadow(n)).over(frame).alias(f"min_{n}") for n in checks],
+        F.round(F.avg(of_shadow("write_ops")).over(frame), 2).alias("avg_write_ops"),
+        F.max(of_shadow("write_ops")).over(frame).alias("max_write_ops"))
+    # Four digits without trailing zeros, as a decimal number is written.
+    text = lambda col: F.regexp_replace(F.format_string("%.4f", col), r"(\.\d+?)0+$", "$1")
+    low = lambda label, col, m: F.when(c(col) < m, F.concat(F.lit(f"{label}<{m}:"), c(col).cast("string")))
     sb, pb = c(f"avg_shadow_{names[0]}"), c(f"avg_public_{names[0]}")
     sm, pm = c(f"avg_shadow_{names[2]}"), c(f"avg_public_{names[2]}")
-    reasons = F.filter(
-        F.array(
-            F.when(
-                c("window_size") < window_days,
-                F.concat(F.lit("insufficient_shadow_history:"), c("window_size").cast("string"), F.lit(f"/{window_days}")),
-            ),
-            F.when(
-                some & (c("public_size") < c("window_size")),
-                F.concat(F.lit("missing_public_baseline:"), c("public_size").cast("string"), F.lit("/"), c("window_size").cast("string")),
-            ),
-            low("healthy_core_sources", "min_healthy_core", CORE_HEALTHY_MIN),
-            low("discovery_families", "min_discovery_count", DISCOVERY_FAMILY_MIN),
-            low("confirmation_families", "min_confirmation_count", CONFIRMATION_FAMILY_MIN),
-            low(f"words_behaviors_top{top_k}", "min_words_behaviors", ROLLOUT_WORDS_MIN),
-            F.when(
-                some & (c("max_write_ops") > WRITE_OPS_MAX),
-                F.concat(F.lit(f"write_ops>{WRITE_OPS_MAX}:"), c("max_write_ops").cast("string")),
-            ),
-            F.when((c("public_size") > 0) & (sb < pb),
-                   F.concat(F.lit("shadow_breakout_precision<"), text(pb), F.lit(":"), text(sb))),
-            F.when((c("public_size") > 0) & (sm > pm),
-                   F.concat(F.lit("shadow_mature_ratio>"), text(pm), F.lit(":"), text(sm))),
-        ),
-        lambda r: r.isNotNull(),
-    )
+    reasons = F.array_compact(F.array(
+        F.when(
+            c("window_size") < window_days,
+            F.concat(F.lit("insufficient_shadow_history:"), c("window_size").cast("string"), F.lit(f"/{window_days}"))),
+        F.when(
+            c("public_size") < c("window_size"),
+            F.concat(F.lit("missing_public_baseline:"), c("public_size").cast("string"), F.lit("/"), c("window_size").cast("string"))),
+        low("healthy_core_sources", "min_healthy_core", CORE_HEALTHY_MIN),
+        low("discovery_families", "min_discovery_count", DISCOVERY_FAMILY_MIN),
+        low("confirmation_families", "min_confirmation_count", CONFIRMATION_FAMILY_MIN),
+        low(f"words_behaviors_top{top_k}", "min_words_behaviors", ROLLOUT_WORDS_MIN),
+        F.when(c("max_write_ops") > WRITE_OPS_MAX, F.concat(F.lit(f"write_ops>{WRITE_OPS_MAX}:"), c("max_write_ops").cast("string"))),
+        F.when((c("public_size") > 0) & (sb < pb), F.concat(F.lit("shadow_breakout_precision<"), text(pb), F.lit(":"), text(sb))),
+        F.when((c("public_size") > 0) & (sm > pm), F.concat(F.lit("shadow_mature_ratio>"), text(pm), F.lit(":"), text(sm))),
+    ))
     rounded = {f"avg_{s}_{n}": F.round(f"avg_{s}_{n}", 4) for s in ("shadow", "public") for n in names}
     return df.withColumn("reasons", reasons).withColumn("ready", F.size("reasons") == 0).withColumns(rounded)
 
 
+def rollout_readiness(evaluations: DataFrame, window_days: int = 14, top_k: int = 20) -> DataFrame:
+    """Readiness over the newest ``window_days`` shadow dates: the last row of :func:`rollout_by_day`.
+
+    Without any shadow date there is one row, not ready, with a window of size 0.
+    """
+    days = rollout_by_day(evaluations, window_days, top_k)
+    last = days.select(F.struct(*[x for x in days.columns if x != "date"]).alias("_r"), "date").agg(F.max_by("_r", "date").alias("_r"))
+    none = F.array(F.lit(f"insufficient_shadow_history:0/{window_days}"))
+    missing = {"window_size": F.lit(0), "public_size": F.lit(0), "reasons": none, "ready": F.lit(False)}
+    fields = [x for x in days.columns if x != "date"]
+    return last.select(*[F.coalesce(F.col("_r")[x], missing.get(x, F.lit(0))).alias(x) for x in fields])
+
+
 def failure_streaks(run_log: DataFrame, max_consecutive: int = 3) -> DataFrame:
     """Consecutive failures per source and the kill switch they trip.
 

@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swellcast import dims
-from swellcast.operators import anomaly, asof, chains, weights
+from swellcast.operators import anomaly, asof, chains, health, weights
+from swellcast.operators import evaluation as V
 from swellcast.operators import source_features as A
 from swellcast.plans import events as P
 from swellcast.plans import oracle_events as O
-from swellcast.plans.queries_learning import _MULT_SQL, _POSTERIORS, _REGION, _SETTINGS, _posteriors, _records, labels_cte
+from swellcast.plans.queries_learning import (
+    _ENTRIES, _MULT_SQL, _POSTERIORS, _REGION, _SETTINGS, _posteriors, _records, _top, labels_cte,
+)
+from swellcast.plans.queries_ops import _HEALTH_CTES, _TOP_SQL, _publish_health, _ranked_items
 from swellcast.plans.shared import r6
 from swellcast.plans.stages import new_path, stage
 from swellcast.session import spread
 from swellcast.sources import bindings as B
+from swellcast.sources import publications as PB
 from swellcast.streaming.days import COLUMNS, DayFront
 
 QUERIES = {}
@@ -186,3 +191,70 @@ def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_part = lines.groupBy("candidate_id").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
     return chains.follow(per_part, _survivors(spark, sf_dir), "candidate_id").groupBy("candidate_id").agg(
         F.sum("lines").alias("lines"), F.sum("quantity").cast("double").alias("quantity"))
+
+
+# --- roll-out, publication ------------------------------------------------------------------------------
+
+_WINDOW = 5
+_NUM = lambda e: f"regexp_replace(format('{{:.4f}}', {e}), '(\\.\\d+?)0+$', '\\1')"
+_SHADOW = ("breakout_precision_7d", "future_spread_7d", "mature_people_music_ratio")
+_CHECKED = {"healthy_core": ("healthy_core_sources", 6), "discovery_count": ("discovery_families", 2),
+            "confirmation_count": ("confirmation_families", 2), "words_behaviors": ("words_behaviors_top20", 3)}
+_ROLLOUT = f"""
+sides AS (
+  SELECT s.date, p.date IS NOT NULL AS known, {', '.join(f's.{n} AS s_{n}, p.{n} AS p_{n}' for n in _SHADOW)},
+    {', '.join(f'coalesce(h.{n}, 0) AS {n}' for n in _CHECKED)}, coalesce(h.top_items, 0) * 3 AS ops
+  FROM (SELECT * FROM e_met WHERE variant = 'shadow_v2') s LEFT JOIN (SELECT * FROM e_met WHERE variant = 'public_main') p USING (date) LEFT JOIN hall h USING (date)),
+rolled AS (
+  SELECT date, count(*) OVER w AS window_size, count(*) FILTER (WHERE known) OVER w AS public_size,
+    {', '.join(f'avg(s_{n}) OVER w AS s_{n}, coalesce(avg(p_{n}) OVER w, 0.0) AS p_{n}' for n in _SHADOW)},
+    {', '.join(f'min({n}) OVER w AS {n}' for n in _CHECKED)}, max(ops) OVER w AS ops
+  FROM sides WINDOW w AS (ORDER BY date ROWS BETWEEN {_WINDOW - 1} PRECEDING AND CURRENT ROW)),
+said AS (
+  SELECT *, list_filter([
+    CASE WHEN window_size < {_WINDOW} THEN 'insufficient_shadow_history:' || window_size || '/{_WINDOW}' END,
+    CASE WHEN public_size < window_size THEN 'missing_public_baseline:' || public_size || '/' || window_size END,
+    {', '.join(f"CASE WHEN {n} < {m} THEN '{label}<{m}:' || {n} END" for n, (label, m) in _CHECKED.items())},
+    CASE WHEN ops > 5000 THEN 'write_ops>5000:' || ops END,
+    CASE WHEN public_size > 0 AND s_breakout_precision_7d < p_breakout_precision_7d THEN 'shadow_breakout_precision<' || {_NUM('p_breakout_precision_7d')} || ':' || {_NUM('s_breakout_precision_7d')} END,
+    CASE WHEN public_size > 0 AND s_mature_people_music_ratio > p_mature_people_music_ratio THEN 'shadow_mature_ratio>' || {_NUM('p_mature_people_music_ratio')} || ':' || {_NUM('s_mature_people_music_ratio')} END
+  ], lambda x: x IS NOT NULL) AS reasons FROM rolled)
+"""
+
+
+@query("rollout_by_day", O.chain(*_HEALTH_CTES, labels_cte().replace("plan_", "label_plan_"), _ENTRIES, _ROLLOUT, tail=f"""
+SELECT date, window_size, public_size, {', '.join(f'round(s_{n}, 4) AS avg_shadow_{n}, round(p_{n}, 4) AS avg_public_{n}' for n in _SHADOW)},
+  array_to_string(reasons, ';') AS reasons, len(reasons) = 0 AS ready FROM said"""))
+def rollout_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At every date, whether the shadow ranking may replace the public one: both variants' own metrics and the day's health."""
+    health_rows = _publish_health(spark, sf_dir).select(
+        "date", "healthy_core", "discovery_count", "confirmation_count", "words_behaviors", (F.col("top_items") * 3).alias("write_ops"))
+    rows = V.list_metrics(_top(spark, sf_dir)).select("date", "variant", *_SHADOW).join(health_rows, "date", "left")
+    out = health.rollout_by_day(rows, window_days=_WINDOW)
+    return out.select("date", "window_size", "public_size", *[c for n in _SHADOW for c in (f"avg_shadow_{n}", f"avg_public_{n}")],
+                      F.array_join("reasons", ";").alias("reasons"), "ready")
+
+
+_COLLECTIONS = ("daily_rankings", "daily_rankings_v2_shadow")
+
+
+@query("committed_runs", O.chain(*O.TO_CF, _TOP_SQL.split("hsrc AS")[0].rstrip().rstrip(","), tail="""
+SELECT c.collection, date, CASE WHEN day(date) % 2 = 0 THEN 'r3' ELSE 'r1' END AS run_id, count(*) AS n,
+  (SELECT count(*) FROM top20 x WHERE day(t.date) % 2 = 1 OR day(x.date) % 2 = 0) AS observed
+FROM top20 t, (VALUES ('daily_rankings'), ('daily_rankings_v2_shadow')) c(collection) GROUP BY ALL"""))
+def committed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs: one commits, one breaks off between its collections, one commits some days only. What a reader sees."""
+    root = new_path(spark, f"published-{next(_RUN)}", sf_dir)
+    items = stage(spark, sf_dir, "ranked_items", lambda: _ranked_items(spark, sf_dir))
+    both = lambda df: dict.fromkeys(_COLLECTIONS, df)
+    PB.publish(root, "r1", both(items))
+    PB.write_collection(items, root, _COLLECTIONS[0], "r2")  # and then the run is lost
+    PB.publish(root, "r3", both(items.where(F.dayofmonth("date") % 2 == 0)))
+    PB.clean(spark, root, list(_COLLECTIONS))
+    counts = PB.commits(spark, root).select("date", "run_id", "counts")
+    out = None
+    for name in _COLLECTIONS:
+        seen = PB.read(spark, root, name).groupBy("date", "run_id").agg(F.count("*").alias("n")).withColumn("collection", F.lit(name))
+        seen = seen.join(counts, ["date", "run_id"]).withColumn("observed", F.col("counts")[name]).drop("counts")
+        out = seen if out is None else out.unionByName(seen)
+    return out.select("collection", "date", "run_id", "n", "observed")
