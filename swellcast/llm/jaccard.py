@@ -350,8 +350,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     # The pivot of a combination is the member with most frequent shingles: the least altered of a group of near copies.
     ends = multi_all.groupBy("key").agg(
         F.max(F.struct("often", "node", "size")).alias("pivot"), F.min("node").alias("_first"), F.max("node").alias("_last"))
+    # Pivots come from the ends themselves; only the other members are joined to them.
+    shared = ends.where("_first < _last")
+    others = (multi_all.join(shared.select("key", "pivot"), "key").where(F.col("node") != F.col("pivot.node"))
+              .select("key", "node", "size", "often", "pivot"))
     multi = common.stored(
-        multi_all.join(ends.where("_first < _last").select("key", "pivot"), "key")
+        others.unionByName(shared.select("key", "pivot.node", "pivot.size", "pivot.often", "pivot"))
         .select("key", "node", "size", "often", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"),
                 F.col("pivot.often").alias("pivot_often"))
         .distinct(), "multi")
