@@ -231,7 +231,7 @@ UNIT_COST = {"X_SEARCH": 5.0, "LLM_SUMMARY": 3.0, "LLM_RESOLUTION": 2.0}
 #     status, access mode, credentials, phrases, entities, weight cap) --------------------
 
 CATALOG = (
-    ("TRENDS", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "DISABLED", "RSS", False, True, True, 1.4),
+    ("SEARCH_RSS", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "DISABLED", "RSS", False, True, True, 1.4),
     ("SEARCH_JP_24H_ENT", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "CORE", "HTML", False, True, True, 1.45),
     ("SEARCH_JP_24H_BEAUTY_FASHION", "DISCOVERY", "SEARCH", "SOCIAL_DISCOVERY", "CORE", "HTML", False, True, True, 1.45),
     ("YAHOO_REALTIME", "DISCOVERY", "SOCIAL_DISCOVERY", "SEARCH", "CORE", "HTML", False, True, True, 1.35),

@@ -312,7 +312,7 @@ def derive(df: DataFrame, availability: DataFrame | None = None) -> DataFrame:
         df = df.withColumn("search_availability", F.lit(1.0))
     else:
         df = df.join(
-            F.broadcast(availability.select("date", "search_availability")), "date", "left"
+            availability.select("date", "search_availability"), "date", "left"
         ).withColumn("search_availability", F.coalesce("search_availability", F.lit(1.0)))
     positives = F.filter("history", lambda x: x > 0)
     person = c("candidate_type").isin(*dims.PERSON_TYPES)

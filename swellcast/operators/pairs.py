@@ -16,6 +16,8 @@ TOP_WINDOW = 200
 MAX_PAIRS = 30
 MAX_PAIRS_BACKFILL = 100
 PRIORITY_MIN = 0.72
+RATIO = 0.88
+TOKENS = 0.67
 FORBIDDEN_TYPES = (
     ("PERSON", "GROUP"), ("MUSIC_TRACK", "MUSIC_ARTIST"), ("SHOW", "WORK"), ("SHOW", "REALITY_SHOW"),
 )
@@ -35,21 +37,64 @@ def _grams(key: Column, n: int) -> Column:
     return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), at)).otherwise(none)
 
 
-def _blocks() -> Column:
-    """Blocking keys that every pair reaching the threshold must share.
+def _numbered(grams: Column) -> Column:
+    """Grams with the number of their occurrence, so a bag becomes a set."""
+    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g))))
 
-    Without an equal key, shared alias, containment, near-equal spelling or token
-    overlap the priority tops out at 0.45. Containment (5+ characters) and a ratio of
-    0.88 imply a common 3-gram; below 7 characters one inserted character can break all
-    3-grams, so short keys also block on 2-grams.
+
+def _rarest(exploded: DataFrame, node: list[str], item: str, keep: Column) -> DataFrame:
+    """The ``keep`` items of each node that the fewest nodes of its kind hold."""
+    count = exploded.groupBy("candidate_kind", item).agg(F.count("*").alias("_df"))
+    w = Window.partitionBy(*node).orderBy("_df", item)
+    return exploded.join(count, ["candidate_kind", item]).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= keep).drop("_df", "_at")
+
+
+def _met(df: DataFrame, item: str, value: str) -> DataFrame:
+    """(candidate_kind, a, b) of the different values that share an item, a < b."""
+    a = df.select("candidate_kind", item, F.col(value).alias("a"))
+    b = df.select("candidate_kind", item, F.col(value).alias("b"))
+    return a.join(b, ["candidate_kind", item]).where("a < b").select("candidate_kind", "a", "b").distinct()
+
+
+def _matching_bound(a: Column, b: Column) -> Column:
+    """At most so many characters of ``a`` and ``b`` can match in order: those of the bag they share."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda acc, c: acc + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """(candidate_kind, a, b, ab, ba): different compact names, a < b, whose ratio reaches RATIO one way or the other.
+
+    A ratio r means that M = r T / 2 of the T characters match in order. Of a's bigrams at most
+    2 (|a| - M) + (|b| - M) are then lost, which is never more than 3/7 of |a|: so the rarest
+    floor(3 |a| / 7) + 1 bigrams of both names share one. What meets there is cut by lengths and by
+    the bag of characters before the ratio itself is taken.
     """
-    tag = lambda p, arr: F.transform(arr, lambda v: F.concat(F.lit(p), v))
-    short = F.when(F.length("compact") <= 6, _grams(F.col("compact"), 2)).otherwise(F.array().cast("array<string>"))
-    keys = F.concat(
-        tag("k:", F.array("surface_key", "compact")), tag("a:", F.col("alias_keys")), tag("t:", F.col("tokens")),
-        tag("3:", _grams(F.col("compact"), 3)), tag("2:", short),
-    )
-    return F.array_distinct(F.filter(keys, lambda v: F.length(v) > 2))
+    distinct = names.select("candidate_kind", "compact").distinct().where(F.length("compact") >= 2)
+    grams = distinct.select("candidate_kind", "compact", F.explode(_numbered(_grams(F.col("compact"), 2))).alias("gram"))
+    prefix = _rarest(grams, ["candidate_kind", "compact"], "gram", F.floor(F.length("compact") * 3 / 7) + 1)
+    total, short = F.length("a") + F.length("b"), F.least(F.length("a"), F.length("b"))
+    least = F.lit(100 * RATIO).cast("int") * total
+    met = _met(prefix, "gram", "compact").where(200 * short >= least).where(200 * _matching_bound(F.col("a"), F.col("b")) >= least)
+    return met.withColumn("ab", sequence_ratio(F.col("a"), F.col("b"))).withColumn("ba", sequence_ratio(F.col("b"), F.col("a"))).where(
+        F.greatest("ab", "ba") >= RATIO)
+
+
+def contained_names(names: DataFrame) -> DataFrame:
+    """(candidate_kind, a, b): compact names of 5 characters and more inside others. A contained name asks with its rarest 3-gram."""
+    distinct = names.select("candidate_kind", "compact").distinct().where(F.length("compact") >= 5)
+    grams = distinct.select("candidate_kind", "compact", F.explode(F.array_distinct(_grams(F.col("compact"), 3))).alias("gram"))
+    asks = _rarest(grams, ["candidate_kind", "compact"], "gram", F.lit(1)).select("candidate_kind", "gram", F.col("compact").alias("a"))
+    return asks.join(grams.withColumnRenamed("compact", "b"), ["candidate_kind", "gram"]).where(
+        (F.col("a") != F.col("b")) & F.col("b").contains(F.col("a"))).select("candidate_kind", "a", "b")
+
+
+def overlapping_tokens(names: DataFrame) -> DataFrame:
+    """(candidate_kind, a, b): different token sets (sorted, joined) that share TOKENS of their union, found on their rarest tokens."""
+    distinct = names.select("candidate_kind", "token_key", "tokens").dropDuplicates(["candidate_kind", "token_key"])
+    exploded = distinct.select("candidate_kind", "token_key", F.size("tokens").alias("_size"), F.explode("tokens").alias("token"))
+    prefix = _rarest(exploded, ["candidate_kind", "token_key"], "token", F.col("_size") - F.ceil(F.col("_size") * TOKENS) + 1)
+    return _met(prefix, "token", "token_key")
 
 
 def shortlist(features: DataFrame, candidates: DataFrame, top_window: int | None = None) -> DataFrame:
@@ -71,7 +116,7 @@ def shortlist(features: DataFrame, candidates: DataFrame, top_window: int | None
         "alias_keys": F.filter(F.array_distinct(alias_keys), lambda k: k != ""),
         "tokens": F.filter(F.array_distinct(F.split(F.lower(T.normalize_name(name)), " ")), lambda t: t != ""),
     })
-    return df.withColumn("blocks", _blocks())
+    return df.withColumn("token_key", F.array_join(F.array_sort("tokens"), " "))
 
 
 def _conflict() -> Column:
@@ -98,55 +143,83 @@ def _guardrails() -> Column:
     )
 
 
+def look_alikes(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left_id, right_id) of the pairs that can reach the threshold, the better one left; and the near names.
+
+    Without an equal key, shared alias, containment, near-equal spelling or token overlap the priority
+    tops out at 0.45. Names are compared once each, however many candidates bear them; candidates only meet
+    through equal keys or through a pair of names that is known to be alike.
+    """
+    near = near_names(s)
+    members = s.select("candidate_kind", "candidate_id", "primary_score", "compact", "token_key")
+    tag = lambda p, arr: F.transform(arr, lambda v: F.concat(F.lit(p), v))
+    keys = F.concat(tag("k:", F.array("surface_key", "compact")), tag("a:", F.col("alias_keys")), tag("t:", F.array("token_key")))
+    keyed = s.select("candidate_kind", "candidate_id", "primary_score",
+                     F.explode(F.array_distinct(F.filter(keys, lambda v: F.length(v) > 2))).alias("key"))
+
+    def borne(pairs: DataFrame, by: str) -> DataFrame:
+        side = lambda x: members.select("candidate_kind", F.col(by).alias(x), F.struct("candidate_id", "primary_score").alias(f"_{x}"))
+        return pairs.select("candidate_kind", "a", "b").join(side("a"), ["candidate_kind", "a"]).join(side("b"), ["candidate_kind", "b"]).select("_a", "_b")
+
+    whole = F.struct("candidate_id", "primary_score")
+    equal = keyed.select("candidate_kind", "key", whole.alias("_a")).join(keyed.select("candidate_kind", "key", whole.alias("_b")), ["candidate_kind", "key"]).where(
+        "_a.candidate_id < _b.candidate_id").select("_a", "_b")
+    met = equal.unionByName(borne(near, "compact")).unionByName(borne(contained_names(s), "compact")).unionByName(
+        borne(overlapping_tokens(s), "token_key"))
+    first = (F.col("_a.primary_score") > F.col("_b.primary_score")) | (
+        (F.col("_a.primary_score") == F.col("_b.primary_score")) & (F.col("_a.candidate_id") < F.col("_b.candidate_id")))
+    pick = lambda x, y: F.when(first, F.col(f"{x}.candidate_id")).otherwise(F.col(f"{y}.candidate_id"))
+    return met.select(pick("_a", "_b").alias("left_id"), pick("_b", "_a").alias("right_id")).distinct(), near
+
+
 def unresolved_pairs(
-    features: DataFrame, candidates: DataFrame, top_window: int | None = None, max_pairs: int | None = None
+    features: DataFrame, candidates: DataFrame, top_window: int | None = None, max_pairs: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """The look-alike pairs among the day's candidates: all, or the ``max_pairs`` best of the ``top_window`` best.
 
-    Pairs come from an equi-join on blocking keys, never from all combinations.
+    ``folder`` (shared by all executors) is where the shortlist and the names that are alike are stored, since
+    several joins read them; without one they are computed for each.
     """
-    s = shortlist(features, candidates, top_window)
-    slim = s.select("candidate_kind", "candidate_id", "primary_score", F.explode("blocks").alias("block"))
-    left, right = slim.alias("a"), slim.alias("b")
-    before = (F.col("a.primary_score") > F.col("b.primary_score")) | (
-        (F.col("a.primary_score") == F.col("b.primary_score")) & (F.col("a.candidate_id") < F.col("b.candidate_id"))
-    )
-    ids = left.join(
-        right,
-        (F.col("a.block") == F.col("b.block")) & (F.col("a.candidate_kind") == F.col("b.candidate_kind")) & before,
-    ).select(F.col("a.candidate_id").alias("left_id"), F.col("b.candidate_id").alias("right_id")).distinct()
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    s = kept(shortlist(features, candidates, top_window), "shortlist")
+    ids, near = look_alikes(s)
+    near = kept(near, "near")
     p = (
         ids.join(s.alias("l"), F.col("left_id") == F.col("l.candidate_id"))
         .join(s.alias("r"), F.col("right_id") == F.col("r.candidate_id"))
         .where(_guardrails())
     )
+    # The ratio of two names in the order that the pair has them; names that are not near have none.
+    ratios = near.select("candidate_kind", F.explode(F.array(
+        F.struct(F.col("a").alias("left_compact"), F.col("b").alias("right_compact"), F.col("ab").alias("ratio")),
+        F.struct(F.col("b").alias("left_compact"), F.col("a").alias("right_compact"), F.col("ba").alias("ratio")))).alias("r")).select("candidate_kind", "r.*")
     lc, rc = F.col("l.compact"), F.col("r.compact")
     union = F.size(F.array_union("l.tokens", "r.tokens"))
     cheap = p.select(
-        "left_id", "right_id", lc.alias("l_compact"), rc.alias("r_compact"),
+        "left_id", "right_id", F.col("l.candidate_kind").alias("candidate_kind"), lc.alias("left_compact"), rc.alias("right_compact"),
         F.col("l.name").alias("left_name"), F.col("r.name").alias("right_name"),
         ((F.col("l.surface_key") == F.col("r.surface_key")) & (F.col("l.surface_key") != "")).alias("same_key"),
         F.arrays_overlap("l.alias_keys", "r.alias_keys").alias("alias_overlap"),
         ((F.least(F.length(lc), F.length(rc)) >= 5) & (lc.contains(rc) | rc.contains(lc))).alias("contains"),
-        (F.when(union > 0, F.size(F.array_intersect("l.tokens", "r.tokens")) / union).otherwise(0.0) >= 0.67).alias("tokens"),
+        (F.when(union > 0, F.size(F.array_intersect("l.tokens", "r.tokens")) / union).otherwise(0.0) >= TOKENS).alias("tokens"),
         F.arrays_overlap("l.source_families", "r.source_families").alias("family"),
         (F.col("l.lane") == F.col("r.lane")).alias("lane"),
         (F.col("l.domain_class") == F.col("r.domain_class")).alias("domain"),
         F.least(F.lit(0.2), (F.col("l.primary_score") + F.col("r.primary_score")) * 0.02).alias("bonus"),
     )
-    # The ratio cannot reach 0.88 when the lengths differ too much: skip the function then.
-    total = F.length("l_compact") + F.length("r_compact")
-    reachable = 2.0 * F.least(F.length("l_compact"), F.length("r_compact")) >= 0.88 * total
-    ratio = sequence_ratio(
-        F.when(reachable, F.col("l_compact")), F.when(reachable, F.col("r_compact"))
-    )
-    scored = cheap.withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
+    scored = cheap.join(ratios, ["candidate_kind", "left_compact", "right_compact"], "left").withColumn(
+        "ratio", F.when(F.col("left_compact") == F.col("right_compact"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))))
     parts = [
         ("same_key", "exact_match_key", 1.1), ("alias_overlap", "alias_overlap", 0.95), ("contains", "surface_contains", 0.45),
         ("near", "sequence_ratio", 0.55), ("tokens", "token_overlap", 0.35), ("family", "shared_family", 0.12),
         ("lane", "shared_lane", 0.08), ("domain", "shared_domain", 0.05),
     ]
-    scored = scored.withColumn("near", F.col("ratio") >= 0.88)
+    scored = scored.withColumn("near", F.col("ratio") >= RATIO)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     priority = sum((F.when(flag(c), v).otherwise(0.0) for c, _, v in parts), F.lit(0.0)) + F.col("bonus")
     reasons = F.filter(F.array(*[F.when(flag(c), F.lit(n)) for c, n, _ in parts]), lambda r: r.isNotNull())

@@ -40,11 +40,11 @@ def relation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.propagate_relations(source_features(spark, sf_dir), edges)
 
 
-def derived(spark: SparkSession, sf_dir: str, with_relations: bool = True) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, with_relations: bool = True, availability: DataFrame | None = None) -> DataFrame:
     candidates = C.score_candidate_text(B.event_candidates(spark, sf_dir))
     df = C.with_candidate_state(C.with_backfill_state(aggregated(spark, sf_dir)), candidates)
     support = relation_support(spark, sf_dir) if with_relations else None
-    return C.derive(C.with_relation_support(df, support))
+    return C.derive(C.with_relation_support(df, support), availability)
 
 
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,19 +212,17 @@ def fusion_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fusion_vector", O.chain(*O.TO_DERIVED, tail="""
-SELECT date, candidate_id, 60 AS vector_size, round(CAST(CASE WHEN candidate_kind = 'TOPIC' THEN 1 ELSE 0 END AS DOUBLE), 4) AS candidate_kind_topic,
-  round(fam_search, 4) AS search_family_score, round(role_discovery, 4) AS discovery_role_score,
-  CAST(cnt_show_chart AS DOUBLE) AS show_family_count, round(novelty, 4) AS novelty,
-  round(regional_overlap, 4) AS regional_overlap FROM derived"""))
+def _vector_sql() -> str:
+    topic = "CASE WHEN candidate_kind = 'TOPIC' THEN 1.0 ELSE 0.0 END"
+    value = {n: topic if n == "candidate_kind_topic" else f"1.0 - {topic}" if c is None else c for n, c in fusion.VECTOR.items()}
+    return ", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in value.items())
+
+
+@query("fusion_vector", O.chain(*O.TO_DERIVED, tail=f"SELECT date, candidate_id, {_vector_sql()} FROM derived"))
 def fusion_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The named 60-value feature vector, with a few of its entries shown."""
+    """The named feature vector, every entry of it."""
     df = P.candidate_features(spark, sf_dir).withColumn("vector", fusion.fusion_vector())
-    shown = ("candidate_kind_topic", "search_family_score", "discovery_role_score", "show_family_count",
-             "novelty", "regional_overlap")
-    return df.select(
-        "date", "candidate_id", F.size("vector").alias("vector_size"), *[F.col("vector")[n].alias(n) for n in shown]
-    )
+    return df.select("date", "candidate_id", *[F.col("vector")[n].alias(n) for n in fusion.VECTOR])
 
 
 @query("calibration", f"""
@@ -368,7 +366,7 @@ def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOL = """
 pool AS (
-  SELECT doc_id, 'c' || (doc_id % 97) AS candidate_id, source AS source_id, left(text, 12) AS title,
+  SELECT doc_id, 'c' || (doc_id % 97) AS candidate_id, source AS source_id, text AS title,
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://e.example/' || (doc_id % 11) END AS url,
     CASE WHEN doc_id % 2 = 0 THEN 'chars:' || (n_chars % 7) ELSE '' END AS metric FROM documents),
 keyed AS (

@@ -206,17 +206,69 @@ def _pair_inputs(spark: SparkSession, sf_dir: str):
     return feats, cands
 
 
-@query("unresolved_pairs")
+def _block(a: str, b: str) -> str:
+    """The longest common block of two strings, the first in ``a``, then in ``b``, as (k, -i, -j)."""
+    k = f"list_max(list_filter(range(0, least(length({a}) - i, length({b}) - j) + 2), lambda n: substr({a}, i, n) = substr({b}, j, n)))"
+    at = f"[{{'k': {k}, 'i': -i, 'j': -j}} for j in range(1, length({b}) + 1)]"
+    return f"list_max(flatten([{at} for i in range(1, length({a}) + 1)]))"
+
+
+# Every pair of names and of candidates is compared; nothing is blocked.
+_LOOK_ALIKE = f"""{_CANDS},
+named AS (
+  SELECT c.*, s.score, canonical_name || ' ' || brand AS alias, {S.key_of(S.norm_topic('canonical_name'))} AS surface, {S.match_key('canonical_name')} AS compact,
+    {S.key_of(S.norm_topic("canonical_name || ' ' || brand"))} AS alias_key, list_distinct(string_split(lower(canonical_name), ' ')) AS tokens
+  FROM cands c JOIN (SELECT 'c' || l_partkey AS candidate_id, round(sum(l_extendedprice) / 1e6, 6) AS score FROM lineitem GROUP BY ALL) s USING (candidate_id)
+  WHERE candidate_type IN ('PRODUCT', 'PHRASE')),
+spelled AS (SELECT DISTINCT x.compact AS na, y.compact AS nb FROM named x, named y WHERE x.compact <> y.compact),
+matched AS (
+  SELECT na, nb, na AS a, nb AS b, {_block('na', 'nb')} AS m FROM spelled
+  UNION ALL
+  SELECT na, nb, x.a, x.b, {_block('x.a', 'x.b')} FROM (
+    SELECT na, nb, unnest([{{'a': substr(a, 1, -m.i - 1), 'b': substr(b, 1, -m.j - 1)}}, {{'a': substr(a, -m.i + m.k), 'b': substr(b, -m.j + m.k)}}]) AS x FROM matched WHERE m.k > 0)
+  WHERE length(x.a) > 0 AND length(x.b) > 0),
+ratios AS (SELECT na, nb, 2.0 * sum(m.k) / (length(na) + length(nb)) AS ratio FROM matched GROUP BY na, nb),
+paired AS (
+  SELECT l.candidate_id AS left_id, r.candidate_id AS right_id, l.surface = r.surface AS same_key,
+    len(list_intersect([l.surface, l.alias_key], [r.surface, r.alias_key])) > 0 AS alias_overlap,
+    least(length(l.compact), length(r.compact)) >= 5 AND (contains(l.compact, r.compact) OR contains(r.compact, l.compact)) AS contains_,
+    CASE WHEN l.compact = r.compact THEN 1.0 ELSE coalesce(q.ratio, 0.0) END AS ratio,
+    len(list_intersect(l.tokens, r.tokens)) / len(list_distinct(list_concat(l.tokens, r.tokens))) >= 0.67 AS tokens,
+    least({O.d(0.2)}, (l.score + r.score) * {O.d(0.02)}) AS bonus
+  FROM named l JOIN named r ON (l.score > r.score OR (l.score = r.score AND l.candidate_id < r.candidate_id))
+    AND NOT l.locked AND NOT r.locked AND l.created_seq % 4 <> r.created_seq % 4
+  LEFT JOIN ratios q ON q.na = l.compact AND q.nb = r.compact),
+judged AS (
+  SELECT *, {' + '.join(f"CASE WHEN {c} THEN {O.d(v)} ELSE {O.d(0.0)} END" for c, v in (
+      ("same_key", 1.1), ("alias_overlap", 0.95), ("contains_", 0.45), ("ratio >= 0.88", 0.55), ("tokens", 0.35)))}
+    + {O.d(0.12)} + {O.d(0.08)} + {O.d(0.05)} + bonus AS priority,
+    list_filter([CASE WHEN same_key THEN 'exact_match_key' END, CASE WHEN alias_overlap THEN 'alias_overlap' END, CASE WHEN contains_ THEN 'surface_contains' END,
+      CASE WHEN ratio >= 0.88 THEN 'sequence_ratio' END, CASE WHEN tokens THEN 'token_overlap' END, 'shared_family', 'shared_lane', 'shared_domain'], lambda x: x IS NOT NULL) AS reasons,
+    CAST(same_key AS INT) + CAST(alias_overlap AS INT) + CAST(ratio >= 0.95 AS INT) AS support_count
+  FROM paired),
+alike AS (SELECT *, sha1(least(left_id, right_id) || '|' || greatest(left_id, right_id)) AS pair_id FROM judged WHERE priority >= 0.72)
+"""
+
+
+@query("unresolved_pairs", f"""WITH RECURSIVE {_LOOK_ALIKE}
+SELECT pair_id, left_id, right_id, {O.round4('priority')} AS priority, array_to_string(reasons, ',') AS reasons, support_count FROM alike""")
 def unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All look-alike pairs (spelling ratio by function; checked by brute force in tests)."""
-    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir))
+    """All look-alike pairs; names are compared through rare bigrams, 3-grams and tokens."""
+    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir), folder=new_path(spark, f"pairs-{next(_RUN)}", sf_dir))
     return out.select("pair_id", "left_id", "right_id", r6("priority"), joined("reasons"), "support_count")
 
 
-@query("top_unresolved_pairs")
+@query("top_unresolved_pairs", f"""WITH RECURSIVE {_LOOK_ALIKE},
+shown AS (SELECT candidate_id FROM (SELECT 'c' || l_partkey AS candidate_id, round(sum(l_extendedprice) / 1e6, 6) AS score FROM lineitem GROUP BY ALL)
+  SEMI JOIN cands USING (candidate_id) ORDER BY score DESC, candidate_id LIMIT {pairs.TOP_WINDOW})
+SELECT pair_id, left_id, right_id, {O.round4('priority')} AS priority, support_count FROM (
+  SELECT *, row_number() OVER (ORDER BY {O.round4('priority')} DESC, left_id, right_id) AS place FROM alike
+  WHERE left_id IN (SELECT candidate_id FROM shown) AND right_id IN (SELECT candidate_id FROM shown)) WHERE place <= {pairs.MAX_PAIRS_BACKFILL}""")
 def top_unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view an editor works through: the best pairs of the best candidates."""
-    out = pairs.unresolved_pairs(*_pair_inputs(spark, sf_dir), top_window=pairs.TOP_WINDOW, max_pairs=pairs.MAX_PAIRS_BACKFILL)
+    out = pairs.unresolved_pairs(
+        *_pair_inputs(spark, sf_dir), top_window=pairs.TOP_WINDOW, max_pairs=pairs.MAX_PAIRS_BACKFILL,
+        folder=new_path(spark, f"pairs-{next(_RUN)}", sf_dir))
     return out.select("pair_id", "left_id", "right_id", r6("priority"), "support_count")
 
 

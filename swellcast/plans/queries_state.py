@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swellcast import dims
-from swellcast.operators import anomaly, asof, chains, health, weights
+from swellcast.operators import anomaly, asof, chains, features, fusion, health, weights
 from swellcast.operators import evaluation as V
 from swellcast.operators import source_features as A
 from swellcast.plans import events as P
@@ -16,11 +16,12 @@ from swellcast.plans import oracle_events as O
 from swellcast.plans.queries_learning import (
     _ENTRIES, _MULT_SQL, _POSTERIORS, _REGION, _SETTINGS, _posteriors, _records, _top, labels_cte,
 )
-from swellcast.plans.queries_ops import _HEALTH_CTES, _TOP_SQL, _publish_health, _ranked_items
+from swellcast.plans.queries_ops import _HEALTH_CTES, _LOG, _PLAN_SQL, _TOP_SQL, _publish_health, _ranked_items, _run_log
 from swellcast.plans.shared import r6
 from swellcast.plans.stages import new_path, stage
 from swellcast.session import spread
 from swellcast.sources import bindings as B
+from swellcast.sources import catalog as K
 from swellcast.sources import publications as PB
 from swellcast.streaming.days import COLUMNS, DayFront
 
@@ -258,3 +259,62 @@ def committed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen = seen.join(counts, ["date", "run_id"]).withColumn("observed", F.col("counts")[name]).drop("counts")
         out = seen if out is None else out.unionByName(seen)
     return out.select("collection", "date", "run_id", "n", "observed")
+
+
+# --- availability below one, candidate state ------------------------------------------------------------
+
+_AVAILABLE = """
+grid_ AS (SELECT d.date, p.*, coalesce(l.ok AND l.item_count > 0, FALSE) AS live FROM (SELECT DISTINCT date FROM log_) d CROSS JOIN plan_ p
+  LEFT JOIN log_ l ON l.date = d.date AND l.source_id = p.source_id),
+avail_ AS (SELECT date, count(DISTINCT family) FILTER (WHERE live AND family IN ('SEARCH', 'SOCIAL_DISCOVERY')) / 2 AS search_availability FROM grid_ GROUP BY ALL)
+"""
+
+
+def _with_availability(sql: str) -> str:
+    """The scoring chain with the day's search availability in the two places that read it."""
+    plain = "round(greatest(constrained_ent, constrained_beauty, realtime_support), 4) AS adjusted_credibility"
+    scarce = """round(greatest(constrained_ent, constrained_beauty, realtime_support) / greatest(0.5, coalesce(search_availability, 1.0)), 4) AS adjusted_credibility,
+    coalesce(search_availability, 1.0) AS search_live"""
+    low = "(CASE best_surface WHEN 'song' THEN 0.62 WHEN 'hashtag' THEN 0.70 ELSE 0.78 END)"
+    for old, new in ((plain, scarce), (f"breakout_prob_7d < {low}", f"breakout_prob_7d < round({low} * greatest(0.5, search_live), 4)"),
+                     ("  FROM der1\n", "  FROM der1 LEFT JOIN avail_ USING (date)\n")):
+        if sql.count(old) != 1:
+            raise ValueError(f"not once in the chain: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("scarce_search_gate", _with_availability(O.chain(_LOG, _PLAN_SQL, _AVAILABLE, *O.TO_CF, tail=f"""
+SELECT date, candidate_id, round(search_live, 4) AS search_availability, {_r('adjusted_credibility')}, ranking_gate_passed, public_gate_passed, {_r('primary_score')} FROM cf""")))
+def scarce_search_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credibility and gates on days when search sources were missing."""
+    live = health.availability(_run_log(spark, sf_dir), K.source_plan(dims.catalog_df(spark))).select("date", "search_availability")
+    cf = fusion.fuse(P.derived(spark, sf_dir, availability=live))
+    return cf.select("date", "candidate_id", F.round("search_availability", 4).alias("search_availability"),
+                     r6("adjusted_credibility"), "ranking_gate_passed", "public_gate_passed", r6("primary_score"))
+
+
+@query("candidate_state", O.chain(*O.TO_CF, """
+cseq AS (SELECT date, candidate_id, primary_score, mass_heat, source_families, row_number() OVER (PARTITION BY candidate_id ORDER BY date) AS rn FROM cf),
+cstate AS (
+  SELECT candidate_id, rn, round(least(1.5, mass_heat * 0.4), 4) AS maturity FROM cseq WHERE rn = 1
+  UNION ALL SELECT q.candidate_id, q.rn, round(least(1.5, s.maturity * 0.6 + q.mass_heat * 0.4), 4)
+  FROM cstate s JOIN cseq q ON q.candidate_id = s.candidate_id AND q.rn = s.rn + 1),
+newest_ AS (SELECT candidate_id, max(rn) AS rn FROM cseq GROUP BY ALL)
+""", tail="""
+SELECT n.candidate_id, round(c.maturity, 3) AS maturity, len(h.scores) AS days, round(list_sum(h.scores), 5) AS history_sum, round(h.scores[-1], 6) AS last_score,
+  array_to_string(q.source_families, ',') AS source_families
+FROM newest_ n JOIN cstate c USING (candidate_id, rn) JOIN cseq q USING (candidate_id, rn)
+JOIN (SELECT s.candidate_id, list(s.primary_score ORDER BY s.rn) AS scores FROM cseq s JOIN newest_ m ON m.candidate_id = s.candidate_id AND s.rn > m.rn - 7 GROUP BY ALL) h USING (candidate_id)"""))
+def candidate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate state stepped day by day from nothing to the last day; each day's state is a stored table of its own."""
+    cf = P.candidate_features(spark, sf_dir).select("date", "candidate_id", "primary_score", "mass_heat", "source_families")
+    base, state = new_path(spark, f"candidates-{next(_RUN)}", sf_dir), None
+    # One step per calendar day; a step that is repeated reads the day before and writes the same.
+    for day in sorted(r.date for r in cf.select("date").distinct().collect()):
+        features.roll_forward(state, cf.where(F.col("date") == F.lit(day))).write.mode("overwrite").parquet(f"{base}/{day}")
+        state = spark.read.parquet(f"{base}/{day}")
+    return state.select(
+        "candidate_id", F.round("maturity", 3).alias("maturity"), F.size("history").alias("days"),
+        F.round(F.aggregate("history", F.lit(0.0), lambda a, x: a + x), 5).alias("history_sum"),
+        F.round(F.element_at("history", -1), 6).alias("last_score"), F.array_join("source_families", ",").alias("source_families"))

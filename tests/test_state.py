@@ -11,7 +11,8 @@ import pytest
 
 from swellcast.dims import AlgorithmConfig
 from swellcast.functions.numeric import decay_factor
-from swellcast.operators import anomaly, asof, chains
+from swellcast.operators import anomaly, asof, chains, health
+from swellcast.sources import publications
 from swellcast.streaming.days import DayFront
 
 DAY = datetime.date(2020, 1, 1)
@@ -146,3 +147,38 @@ def test_redirects_take_the_last_merge(spark):
     rows = [("e1", "a", "b", "merge", None, "1"), ("e2", "b", "c", "merge", "c", "2"), ("e3", "b", "d", "link", "d", "3"), ("e4", "a", "a", "merge", None, "4")]
     edits = spark.createDataFrame(rows, "edit_id string, left_id string, right_id string, action string, winner_id string, decided_at string")
     assert {(r.candidate_id, r.into) for r in chains.redirects(edits).collect()} == {("b", "c")}
+
+
+# -- publications --------------------------------------------------------------------------------------
+def test_readers_see_committed_runs_only(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/published"
+    rows = lambda n, days: spark.createDataFrame([(day(d), i) for d in days for i in range(n)], "date date, item int")
+    both = lambda df: {"ranking": df, "shadow": df}
+    count = lambda name: {(r.date, r.run_id): r["count"] for r in publications.read(spark, root, name).groupBy("date", "run_id").count().collect()}
+    assert publications.publish(root, "a", both(rows(3, [0, 1]))) == {"ranking": 6, "shadow": 6}
+    publications.write_collection(rows(9, [0, 1]), root, "ranking", "lost")
+    assert count("ranking") == count("shadow") == {(day(0), "a"): 3, (day(1), "a"): 3}
+    publications.publish(root, "b", both(rows(5, [1, 2])))
+    expected = {(day(0), "a"): 3, (day(1), "b"): 5, (day(2), "b"): 5}
+    assert count("ranking") == count("shadow") == expected
+    assert {tuple(r) for r in publications.clean(spark, root, ["ranking", "shadow"]).collect()} == {("ranking", day(d), "lost") for d in (0, 1)}
+    assert spark.read.parquet(f"{root}/ranking").where("run_id = 'lost'").count() == 0 and count("ranking") == expected
+    assert {r.run_id: r.counts for r in publications.commits(spark, root).collect()} == {"a": {"ranking": 6, "shadow": 6}, "b": {"ranking": 10, "shadow": 10}}
+
+
+def test_rollout_follows_both_variants(spark):
+    fine = {"breakout_precision_7d": 0.5, "future_spread_7d": 1.0, "mature_people_music_ratio": 0.2, "healthy_core": 6, "discovery_count": 2,
+            "confirmation_count": 2, "words_behaviors": 3, "write_ops": 100}
+    rows = []
+    for d in range(5):
+        rows.append({"date": day(d), "variant": "shadow_v2", **fine, "breakout_precision_7d": 0.3 if d == 3 else 0.5})
+        if d != 4:
+            rows.append({"date": day(d), "variant": "public_main", **fine})
+    rows.append({"date": day(9), "variant": "public_main", **fine})
+    schema = "date date, variant string, " + ", ".join(f"{k} {'double' if isinstance(v, float) else 'int'}" for k, v in fine.items())
+    got = {r.date: (r.ready, list(r.reasons)) for r in health.rollout_by_day(spark.createDataFrame(rows, schema), window_days=2).collect()}
+    low = "shadow_breakout_precision<0.5:0.4"
+    assert got == {day(0): (False, ["insufficient_shadow_history:1/2"]), day(1): (True, []), day(2): (True, []), day(3): (False, [low]),
+                   day(4): (False, ["missing_public_baseline:1/2", "shadow_breakout_precision<0.5:0.4"])}
+    none = health.rollout_readiness(spark.createDataFrame([], schema)).first()
+    assert (none.ready, none.window_size, list(none.reasons)) == (False, 0, ["insufficient_shadow_history:0/14"])
