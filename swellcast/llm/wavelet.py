@@ -35,7 +35,7 @@ from swellcast.llm import common
 
 END_ID = 1
 FILE_TOKENS = 1_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
@@ -260,6 +260,9 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             data = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(stops), pa.py_buffer(ids.astype(own.kind))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), data, pa.array([width] * len(texts), pa.int32())], ["doc_id", "tokens", "width"])
+            del ids, data, batch, texts
+        # The worker lives on for other stages; what this task's batches took goes back.
+        pa.default_memory_pool().release_unused()
 
     return common.id_text(docs).mapInArrow(run, "doc_id long, tokens binary, width int")
 
