@@ -311,9 +311,47 @@ def cluster_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.cap_clusters(persons).select("date", F.col("work_cluster_id").alias("cluster"), "candidate_id")
 
 
-@query("interleave_topk")
+_LANE_STATE = {"people_music": "tp", "shows_formats": "ts", "words_behaviors": "tw", "style_products": "ty", "shadow": "tx"}
+_TAKEN = "CASE lane " + " ".join(f"WHEN '{lane}' THEN {t}" for lane, t in _LANE_STATE.items()) + " END"
+_ROW_OWED = "CASE lane WHEN 'words_behaviors' THEN greatest(4 - tw, 0) WHEN 'style_products' THEN greatest(3 - ty, 0) ELSE 0 END"
+# One walk over the clusters, then one step per place of the list: the rules as they read, row by row.
+_INTERLEAVE = f"""
+clustered AS (
+  SELECT *, {S.one_of('candidate_type', dims.PERSON_TYPES)} AND coalesce(work_cluster_id, '') <> '' AS held FROM eligible),
+queued AS (
+  SELECT *, row_number() OVER (PARTITION BY date, work_cluster_id ORDER BY selection_score DESC, candidate_id) AS pos,
+    CASE WHEN direct_support_total >= 0.08 THEN 2 ELSE 1 END AS cap_n FROM clustered WHERE held),
+taken_ AS (
+  SELECT date, work_cluster_id, pos, candidate_id, 1 AS accepted, TRUE AS kept FROM queued WHERE pos = 1
+  UNION ALL
+  SELECT c.date, c.work_cluster_id, c.pos, c.candidate_id, CASE WHEN w.accepted < c.cap_n THEN w.accepted + 1 ELSE w.accepted END, w.accepted < c.cap_n
+  FROM taken_ w JOIN queued c ON c.date = w.date AND c.work_cluster_id = w.work_cluster_id AND c.pos = w.pos + 1),
+entered AS (SELECT * FROM clustered c WHERE NOT held OR EXISTS (SELECT 1 FROM taken_ t WHERE t.kept AND t.date = c.date AND t.candidate_id = c.candidate_id)),
+lined AS (SELECT date, lane, candidate_id, selection_score, row_number() OVER (PARTITION BY date, lane ORDER BY selection_score DESC, candidate_id) AS n FROM entered),
+lane_order AS (SELECT date, lane, row_number() OVER (PARTITION BY date ORDER BY selection_score DESC, candidate_id, lane) AS ord FROM lined WHERE n = 1),
+picks AS (
+  SELECT DISTINCT date, 0 AS step, {', '.join(f'0 AS {t}' for t in _LANE_STATE.values())}, '' AS candidate_id FROM lined
+  UNION ALL
+  SELECT date, step + 1, {', '.join(f"{t} + CASE WHEN lane = '{lane}' THEN 1 ELSE 0 END" for lane, t in _LANE_STATE.items())}, candidate_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY date ORDER BY bid DESC, ord) AS place FROM (
+      SELECT *, count(*) OVER (PARTITION BY date) AS open_lanes, max(CASE WHEN owed > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY date) = 1 AS owing FROM (
+        SELECT date, step, {', '.join(_LANE_STATE.values())}, lane, l.candidate_id, ord, {_ROW_OWED} AS owed,
+          20 - step <= greatest(4 - tw, 0) + greatest(3 - ty, 0) AS pressed, lane = 'people_music' AND tp >= 9 AS full_,
+          selection_score + CASE WHEN lane = 'words_behaviors' AND tw = 0 THEN {O.d(0.08)} WHEN lane = 'style_products' AND ty = 0 THEN {O.d(0.06)}
+            WHEN lane = 'shows_formats' AND ts < 4 THEN {O.d(0.03)} ELSE 0.0 END AS bid
+        FROM (SELECT date, step, {', '.join(_LANE_STATE.values())} FROM picks WHERE step < 20) p JOIN lane_order USING (date) JOIN lined l USING (date, lane)
+        WHERE l.n = {_TAKEN} + 1))
+    WHERE (NOT (pressed AND owing) OR owed > 0) AND NOT (open_lanes > 1 AND full_))
+  WHERE place = 1)
+"""
+
+
+@query("interleave_topk", O.chain(*O.TO_CF, _SELECTION, _INTERLEAVE, tail="""
+SELECT date, p.step AS rank, candidate_id, e.lane, e.candidate_type, round(CAST(e.selection_score AS DOUBLE), 6) AS selection_score,
+  round(CAST(CASE WHEN e.public_score <> 0 THEN e.public_score ELSE e.primary_score END AS DOUBLE), 6) AS primary_score
+FROM picks p JOIN entered e USING (date, candidate_id) WHERE p.step > 0"""))
 def interleave_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published ranking of every day (sequential pick; checked by brute force in tests)."""
+    """The published ranking of every day, lane by lane under soft quotas."""
     ranked = ranking.rank_candidates(P.candidate_features(spark, sf_dir))
     return ranked.select(
         "date", "rank", "candidate_id", "lane", "candidate_type", *r6("selection_score", "primary_score")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from swellcast import dims
 from swellcast.functions import text as T
 from swellcast.functions import urls
-from swellcast.operators import topics
+from swellcast.operators import gazetteer, topics
 from swellcast.plans import sqltext as S
 from swellcast.plans.shared import joined, r6
 from swellcast.session import spread
 from swellcast.sources import bindings as B
 from swellcast.sources import payloads as X
+from swellcast.sources import variants as VR
 
 QUERIES = {}
 ORACLES = {}
@@ -218,6 +219,85 @@ def gazetteer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.gazetteer_tags(B.table(spark, sf_dir, "documents"), names, "doc_id")
 
 
+# --- rows of differing shape --------------------------------------------------------------------------
+
+_SHAPES = ("hashtag", "song", "creator", "video")
+_SURFACE_SQL = "['hashtag', 'song', 'creator', 'video'][user_id % 4 + 1]"
+_BROKEN_SQL = "user_id % 13 = 5"
+
+
+def _shaped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One API payload per user, its rows in the shape of one of four surfaces; some payloads are cut off."""
+    ev = B.table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"), "value")
+    lit = F.lit
+    number, views, name = F.col("event_id") % 40, (F.col("value") * 100).cast("long"), F.concat(lit("k"), "k")
+    shape = F.col("user_id") % 4
+    row = (
+        F.when(shape == 0, F.to_json(F.struct(name.alias("hashtag_name"), number.alias("rank"), views.alias("video_views"))))
+        .when(shape == 1, F.to_json(F.struct(lit("").alias("song_name"), name.alias("music_name"), number.cast("string").alias("rank_index"),
+                                             F.struct(F.concat(lit("by "), name).alias("nickname")).alias("author"))))
+        .when(shape == 2, F.to_json(F.struct(name.alias("creator_name"), number.alias("position"), F.struct(views.alias("views")).alias("stats"))))
+        .otherwise(F.to_json(F.struct(name.alias("title"), number.alias("rank"), F.array(F.concat(lit("#"), name)).alias("hashtags"), lit("many").alias("vv"))))
+    )
+    listed = ev.withColumn("row", row).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "row"))).alias("rows"))
+    inner = F.concat(lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), lit("]"))
+    body = F.when(F.col("user_id") % 4 == 2, F.concat(lit('{"items":'), inner, lit("}"))).otherwise(F.concat(lit('{"data":{"list":'), inner, lit("}}")))
+    surface = B._pick(_SHAPES, F.col("user_id") % 4)
+    cut_off = F.when(F.col("user_id") % 13 == 5, F.substring("body", 1, 9)).otherwise(F.col("body"))
+    return listed.withColumn("body", body).select("user_id", surface.alias("surface"), cut_off.alias("body"))
+
+
+@query("shaped_rows", f"""SELECT user_id, surface, position, rank, title, CASE WHEN surface = 'song' THEN 'by ' || title END AS artist,
+  CASE WHEN surface IN ('hashtag', 'creator') THEN views END AS views, CASE WHEN surface = 'video' THEN '#' || title END AS hashtags FROM (
+  SELECT user_id, {_SURFACE_SQL} AS surface, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, event_id % 40 AS rank,
+    'k' || json_extract_string(props, '$.k') AS title, CAST(trunc(value * 100) AS BIGINT) AS views FROM events WHERE NOT ({_BROKEN_SQL}))""")
+def shaped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four surfaces in one pass without a schema, each field under whichever name it has."""
+    found = VR.rows(_shaped_payloads(spark, sf_dir), "body", ["user_id", "surface"])
+    return found.withColumn("hashtags", F.array_join("hashtags", ","))
+
+
+@query("shape_drift", f"""SELECT surface, count(*) AS payloads, count(*) FILTER (WHERE {_BROKEN_SQL}) AS broken, 0 AS without_list,
+  CASE surface WHEN 'hashtag' THEN 'OBJECT<hashtag_name: STRING, rank: BIGINT, video_views: BIGINT>'
+    WHEN 'song' THEN 'OBJECT<author: OBJECT<nickname: STRING>, music_name: STRING, rank_index: STRING, song_name: STRING>'
+    WHEN 'creator' THEN 'OBJECT<creator_name: STRING, position: BIGINT, stats: OBJECT<views: BIGINT>>'
+    ELSE 'OBJECT<hashtags: ARRAY<STRING>, rank: BIGINT, title: STRING, vv: STRING>' END AS shape
+FROM (SELECT DISTINCT user_id, {_SURFACE_SQL} AS surface FROM events) GROUP BY ALL""")
+def shape_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the payloads of each surface look like, and how many are broken."""
+    return VR.drift(_shaped_payloads(spark, sf_dir), "body", "surface")
+
+
+# Names of one to four words, cut out of the benchmark's items; an item's first words also occur in documents.
+_NAMES = """
+plain AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+names AS (SELECT name, min(kind) AS kind FROM (
+  SELECT array_to_string(w[1 + 3 * k : 1 + 3 * k + k], ' ') AS name, ['PERSON', 'GROUP', 'WORK', 'KEYWORD'][k + 1] AS kind FROM plain, (VALUES (0), (1), (2), (3)) t(k)) WHERE name <> '' GROUP BY ALL)
+"""
+
+
+@query("name_mentions", f"""WITH RECURSIVE {_NAMES.replace('GROUP BY ALL)', 'GROUP BY name)')},
+docs AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+places AS (
+  SELECT doc_id, i, max(n) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs), (VALUES (1), (2), (3), (4)) t(n)
+  WHERE i + n - 1 <= len(w) AND array_to_string(w[i : i + n - 1], ' ') IN (SELECT name FROM names) GROUP BY ALL),
+next_ AS (SELECT *, (SELECT min(i) FROM places q WHERE q.doc_id = p.doc_id AND q.i >= p.i + p.n) AS next_i FROM places p),
+taken AS (
+  SELECT doc_id, min(i) AS i FROM places GROUP BY ALL
+  UNION ALL SELECT t.doc_id, n.next_i FROM taken t JOIN next_ n ON n.doc_id = t.doc_id AND n.i = t.i WHERE n.next_i IS NOT NULL)
+SELECT doc_id, name, kind AS entity_type, count(*) AS times, min(start) AS start FROM (
+  SELECT doc_id, array_to_string(w[p.i : p.i + p.n - 1], ' ') AS name, CASE WHEN p.i = 1 THEN 0 ELSE length(array_to_string(w[1 : p.i - 1], ' ')) + 1 END AS start
+  FROM taken JOIN places p USING (doc_id, i) JOIN docs USING (doc_id)) JOIN names USING (name) GROUP BY ALL""")
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of several words in whole documents: where each is first mentioned and how often."""
+    words = F.split(gazetteer.plain_form(F.col("text")), " ")
+    kinds = ("PERSON", "GROUP", "WORK", "KEYWORD")
+    names = B.table(spark, sf_dir, "benchmark").select(F.explode(F.array(*[
+        F.struct(F.array_join(F.slice(words, 1 + 3 * k, k + 1), " ").alias("name"), F.lit(kind).alias("entity_type")) for k, kind in enumerate(kinds)])).alias("n")).select("n.*")
+    found = gazetteer.name_mentions(B.table(spark, sf_dir, "documents"), names, "doc_id")
+    return found.groupBy("doc_id", "name", "entity_type").agg(F.count("*").alias("times"), F.min("start").alias("start"))
+
+
 @query("clean_truncate", """SELECT doc_id, length(c) AS n, sha1(c) AS clean_sha FROM (
   SELECT doc_id, CASE WHEN length(t) > 160 THEN left(t, 159) || '…' ELSE t END AS c FROM (
     SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\n\\t]', ' ', 'g'), '[\\p{C}]', '', 'g'), ' +', ' ', 'g')) AS t FROM documents))""")
