@@ -14,8 +14,10 @@ search is exhaustive.
 
 Nodes go to their cells with an 8-bit code; a query goes once to each cell that it probes, with the
 places it asks for. Crowded cells are cut into parts by a hash of the node and their queries are sent to
-all parts, so no cell is gathered whole. A cell's candidates are ranked by their codes; per query the
-best SHORT of all cells are fetched with their original vectors and ranked exactly, in double precision.
+all parts, so no cell is gathered whole. A query carries its reach: the distance of its (top + 1)-th nearest
+among REACH_NODES nodes (chosen by a hash), which the true one cannot exceed, so candidates whose code is
+provably farther end there. The others are ranked by their codes; per query the best SHORT of all cells
+are fetched with their original vectors and ranked exactly, in double precision.
 
 Vectors of different lengths are not comparable: each length is an index of its own.
 
@@ -45,6 +47,8 @@ SAMPLE = 192
 RECALL = 0.96
 #: Candidates per query that are ranked exactly.
 SHORT = 48
+#: Nodes that give each query an upper bound of the distance that matters.
+REACH_NODES = 2_048
 #: Nodes of a cell, or of a part of a crowded one.
 PART = 8_192
 PAIRS_AT_ONCE = 1 << 18
@@ -244,15 +248,16 @@ def plans_for(nodes: DataFrame, queries: DataFrame, top: int, wide: bool) -> dic
 
 
 # -- cells -----------------------------------------------------------------------------------------------
-_CELLS = "cell long, part int, kind int, id long, places binary, code binary, scale double"
-_NAMES = ["cell", "part", "kind", "id", "places", "code", "scale"]
+_CELLS = "cell long, part int, kind int, id long, places binary, code binary, scale double, reach double"
+_NAMES = ["cell", "part", "kind", "id", "places", "code", "scale", "reach"]
 
 
-def _rows(cell, part, kind: int, ids, places, code: np.ndarray, scale) -> pa.RecordBatch:
+def _rows(cell, part, kind: int, ids, places, code: np.ndarray, scale, reach) -> pa.RecordBatch:
     n = len(cell)
     return pa.RecordBatch.from_arrays(
         [pa.array(cell, pa.int64()), pa.array(part, pa.int32()), pa.array(np.full(n, kind), pa.int32()), pa.array(ids, pa.int64()),
-         pa.array(places, pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale, pa.float64())], _NAMES)
+         pa.array(places, pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale, pa.float64()),
+         pa.array(reach, pa.float64())], _NAMES)
 
 
 def _node_cells(plans: dict[int, Plan], wide: bool):
@@ -265,21 +270,33 @@ def _node_cells(plans: dict[int, Plan], wide: bool):
                     bucket = plan.bucket(unit, table)
                     place = (bucket % (2 * plan.room)).astype("<u4")
                     salt = (common.mix64(ids[picked].astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
-                    yield _rows(plan.cell(bucket, table), salt, 0, ids[picked], [p.tobytes() for p in place], code, scale)
+                    yield _rows(plan.cell(bucket, table), salt, 0, ids[picked], [p.tobytes() for p in place], code, scale,
+                                np.zeros(len(picked)))
 
     return run
 
 
-def _query_cells(plans: dict[int, Plan], wide: bool):
+def _reach(rows: np.ndarray, some: np.ndarray | None, nodes: int) -> np.ndarray:
+    """Per row the distance of the ``nodes``-th nearest of ``some``; infinite if there are fewer."""
+    if some is None or len(some) < nodes:
+        return np.full(len(rows), np.inf)
+    d2 = (rows**2).sum(1)[:, None] + (some**2).sum(1)[None, :] - 2 * rows @ some.T
+    # The slack covers rounding of the expanded form.
+    slack = 1e-9 * ((rows**2).sum(1) + (some**2).sum(1).max())
+    return np.sqrt(np.maximum(np.partition(d2, nodes - 1, axis=1)[:, nodes - 1] + slack, 0))
+
+
+def _query_cells(plans: dict[int, Plan], some: dict[int, np.ndarray], nodes: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("node").to_numpy()
             for length, picked, rows in _by_length(batch.column("vec"), wide):
                 plan, unit, (code, scale) = plans[length], units(rows), codes(rows)
                 for begin in range(0, len(picked), 256):
-                    some = slice(begin, begin + 256)
+                    part = slice(begin, begin + 256)
+                    reach = _reach(rows[part], some.get(length), nodes)
                     for table in range(TABLES):
-                        bucket = np.sort(plan.probed(unit[some], table, plan.probes), axis=1)
+                        bucket = np.sort(plan.probed(unit[part], table, plan.probes), axis=1)
                         cell, place = bucket // (2 * plan.room), (bucket % (2 * plan.room)).astype("<u4")
                         row = np.repeat(np.arange(len(bucket)), bucket.shape[1])
                         flat = cell.ravel()
@@ -287,7 +304,7 @@ def _query_cells(plans: dict[int, Plan], wide: bool):
                         parts = np.split(place.ravel(), head[1:])
                         at = begin + row[head]
                         yield _rows(plan.cell(flat[head] * 2 * plan.room, table), np.zeros(len(head), np.int32), 1, ids[picked[at]],
-                                    [p.tobytes() for p in parts], code[at], scale[at])
+                                    [p.tobytes() for p in parts], code[at], scale[at], reach[at - begin])
 
     return run
 
@@ -312,6 +329,7 @@ def _ranked(short: int):
             key = own[: node.num_rows][n] * room + np.frombuffer(b"".join(node.column("places").take(pa.array(n)).to_pylist()), "<u4")
             order = np.argsort(key, kind="stable")
             key = key[order]
+            reach = query.column("reach").to_numpy()[q]
             asks, who = np.unique(query.column("id").to_numpy()[q], return_inverse=True)
             places = [np.frombuffer(p, "<u4") for p in query.column("places").take(pa.array(q)).to_pylist()]
             asker = np.repeat(np.arange(len(q)), [len(p) for p in places])
@@ -327,7 +345,10 @@ def _ranked(short: int):
                 a = np.repeat(asker[begin:stop], count[begin:stop])
                 c = order[common.ranges(left[begin:stop], count[begin:stop])]
                 d2 = squares[1][a] + squares[0][c] - 2 * np.einsum("ij,ij->i", code[1][a], code[0][c]).astype(np.float64) * scale[1][a] * scale[0][c]
-                held.append(_first(who[a], c, d2, short))
+                # A component of a code is off by half its scale at most.
+                far = reach[a] + (scale[1][a] + scale[0][c]) * (length**0.5 / 2)
+                near = d2 <= far * far * (1 + 1e-5)
+                held.append(_first(who[a[near]], c[near], d2[near], short))
                 begin = stop
             if held:
                 who, c, d2 = _first(*(np.concatenate(x) for x in zip(*held, strict=True)), short)
@@ -404,7 +425,13 @@ def nearest(rows: DataFrame, every: int, top: int = TOP, id_col: str = "vec_id",
     crowded = common.stored(crowded, "crowded")
     parts = F.coalesce("parts", F.lit(1))
     members = members.join(crowded, "cell", "left").withColumn("part", F.pmod("part", parts)).drop("parts")
-    asked = (queries.mapInArrow(_query_cells(plans, wide), _CELLS).join(crowded, "cell", "left")
+    each, some = 8 if wide else 4, {}
+    # At most REACH_NODES vectors of each length.
+    by_hash = Window.partitionBy(F.octet_length("vec")).orderBy(F.xxhash64("vec"), "vec")
+    for r in nodes.select("vec").withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= REACH_NODES).toLocalIterator():
+        some.setdefault(len(r.vec) // each, []).append(np.frombuffer(bytes(r.vec), "<f8" if wide else "<f4").astype(np.float64))
+    some = {n: np.stack(v) for n, v in some.items()}
+    asked = (queries.mapInArrow(_query_cells(plans, some, top + 1, wide), _CELLS).join(crowded, "cell", "left")
              .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
     near = members.select(_NAMES).unionByName(asked.select(_NAMES)).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
     near = near.mapInArrow(_ranked(SHORT), "query long, node long, about double")
