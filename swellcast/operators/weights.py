@@ -117,7 +117,8 @@ def predictive_f1(
 
     Leave-one-out totals are the day's totals minus the source's own share. Removing a
     source lowers only its own candidates, so with at most M of them the top K without
-    it lies inside the day's top K + M: the join on the day stays that small.
+    it lies inside the day's top K + M: the join on the day stays that small. Both ranks
+    compare scores to 9 digits, since the order of a sum decides the digits after them.
     """
     cfg = cfg or WeightingConfig()
     c = F.col
@@ -137,7 +138,7 @@ def predictive_f1(
     totals = contributions.groupBy("date", "candidate_id").agg(
         F.sum("share").alias("total"), F.count("*").alias("contributors")
     )
-    w = Window.partitionBy("date").orderBy(F.desc("total"), "candidate_id")
+    w = Window.partitionBy("date").orderBy(F.round("total", 9).desc(), "candidate_id")
     head = (
         totals.withColumn("_rn", F.row_number().over(w))
         .where(c("_rn") <= most + cfg.top_k_for_future)
@@ -151,7 +152,7 @@ def predictive_f1(
         .where(c("others") > 0)
         .withColumn("score", c("total") - F.coalesce("share", F.lit(0.0)))
     )
-    lw = Window.partitionBy("date", "source_id").orderBy(F.desc("score"), "candidate_id")
+    lw = Window.partitionBy("date", "source_id").orderBy(F.round("score", 9).desc(), "candidate_id")
     future = loo.withColumn("_rn", F.row_number().over(lw)).where(
         c("_rn") <= cfg.top_k_for_future
     ).select("date", "source_id", "candidate_id")

@@ -211,6 +211,17 @@ def test_predictive_prefers_the_foreteller(spark):
     assert got["A"] > 0.99 and got["B"] == 0 and got["C"] == 0
 
 
+def test_predictive_compares_scores_to_nine_digits(spark):
+    records = spark.createDataFrame([(D0 + dt.timedelta(d), s, True) for d in (0, 1) for s in "ABCD"], "date date, source_id string, ok boolean")
+    # 0.1 + 0.2 is above 0.3 only in its last digit: the tie goes to the smaller id.
+    tops = [(0, "A", "a", 1.0), (1, "B", "b", 0.1), (1, "C", "b", 0.2), (1, "D", "a", 0.3)]
+    top = spark.createDataFrame([(D0 + dt.timedelta(d), s, c, m) for d, s, c, m in tops], "date date, source_id string, candidate_id string, momentum double")
+    priors = spark.createDataFrame([(s, 1.0) for s in "ABCD"], "source_id string, prior double")
+    cfg = dims.WeightingConfig(window_days=1, horizon_days=1, top_k_for_future=1)
+    got = {r.source_id: r.predictive for r in weights.predictive_f1(records, top, priors, cfg).collect()}
+    assert got["A"] > 0.99
+
+
 def test_settings_defaults(spark):
     rows = [("APPLE_MUSIC_KR", None, None, None, 10, None), ("NETFLIX_TV_JP", None, None, None, None, None), ("X", 0.5, 1.0, 0, None, 7)]
     df = spark.createDataFrame(rows, "source_id string, region_weight double, lag_days double, granularity int, fetch_limit int, top_m int")
