@@ -250,6 +250,29 @@ def test_availability_of_empty_groups(spark):
     assert (r.core_availability, r.music_availability, r.show_availability, r.search_availability) == (0.5, 0.5, 1.0, 0.0)
 
 
+def test_decided_pairs_hold_every_neighbour_of_a_name(spark, tmp_path, monkeypatch):
+    from oracle_check import canonical, compare, connect
+    from settings import SF_DIR
+    from swellcast.plans import queries_ops as Q
+
+    # Small blocks, so that most neighbours lie in different ones.
+    monkeypatch.setattr(Q, "_KEYS_AT_ONCE", 4)
+    part = spark.read.parquet(f"{SF_DIR}/part.parquet").select("p_name", "p_partkey").collect()
+    by_name = {}
+    for r in sorted(part, key=lambda r: r.p_partkey):
+        by_name.setdefault(r.p_name, []).append(f"c{r.p_partkey}")
+    want = {pair for ids in by_name.values() for pair in zip(ids, ids[1:], strict=False)}
+    got = Q._namesakes(spark, SF_DIR).collect()
+    assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want)
+    con = connect(SF_DIR)
+    for name, rows in (("apply_decisions", None), ("decision_cache", len(want))):
+        df = Q.QUERIES[name](spark, SF_DIR)
+        cur = con.execute(Q.ORACLES[name])
+        found = [tuple(r) for r in df.collect()]
+        assert rows is None or len(found) == rows
+        assert compare(canonical(df.columns, found), canonical([c[0] for c in cur.description], cur.fetchall())) is None
+
+
 def test_manual_merge_order(spark):
     cands = spark.createDataFrame([
         cand("a", "Alpha", aliases=["AL"], ext={"p": "1"}, related=["z", "b"]), cand("b", "Beta", aliases=["alpha", "B!"], ext={"p": "2", "q": "3"}),
