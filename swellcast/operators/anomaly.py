@@ -22,8 +22,8 @@ KEYS = ("candidate_id", "source_id")
 STATE_COLUMNS = ("m", "v", "n", "s1", "s2", "last_date")
 #: Coefficients of a baseline map, and those of the map that changes nothing.
 MAP = {"_a": 1.0, "_b": 0.0, "_p": 0.0, "_q": 0.0, "_r": 0.0}
-#: Days of a block, and blocks that one series may span: 700 years.
-BLOCK_DAYS, BLOCKS = 64, 4096
+#: Days of a block.
+BLOCK_DAYS = 64
 
 
 def _step(state: Column, obs: Column, cfg: AlgorithmConfig) -> Column:
@@ -86,9 +86,11 @@ def fold_history(daily: DataFrame, cfg: AlgorithmConfig | None = None, state: Da
     ``family_primary``; ``state`` the baselines to start from (see :func:`advance_state`), all older
     than ``daily``. Work is linear in the rows; no array holds a history. A series has at
     most one entry per calendar day, which bounds a window's rows whatever the raw volume of the pair.
-    ``daily`` is read twice: give a stored table.
+    ``daily`` is read three times, first for the days it spans, which set the number of doublings: give
+    a stored table.
     """
     cfg = cfg or AlgorithmConfig()
+    span = daily.agg(F.datediff(F.max("date"), F.min("date"))).first()[0] or 0
     passthrough = [c for c in daily.columns if c not in (*KEYS, "date")]
     by_day = Window.partitionBy(*KEYS).orderBy("date")
     alpha = N.family_alpha(F.col("family_primary"), cfg)
@@ -96,12 +98,12 @@ def fold_history(daily: DataFrame, cfg: AlgorithmConfig | None = None, state: Da
     slim = daily.select(
         *KEYS, "date", "signal", N.family_warmup(F.col("family_primary"), cfg).alias("_warmup"), block.alias("_block"),
         F.struct(*passthrough).alias("_row"), *[e.alias(c) for c, e in _day_map(F.col("signal"), alpha, cfg).items()])
-    inside = _composed(slim, by_day, BLOCK_DAYS, within="_block")
+    inside = _composed(slim, by_day, min(BLOCK_DAYS, span + 1), within="_block")
 
     # One row per block: its whole map, then the maps of all blocks before it, from where the history starts.
     totals = inside.groupBy(*KEYS, "_block").agg(*[F.max_by(c, "date").alias(c) for c in MAP])
     by_block = Window.partitionBy(*KEYS).orderBy("_block")
-    carried = _composed(totals, by_block, BLOCKS)
+    carried = _composed(totals, by_block, span // BLOCK_DAYS + 2)
     carried = carried.select(*KEYS, "_block", *[F.coalesce(F.lag(c).over(by_block), F.lit(v)).alias(c) for c, v in MAP.items()])
     held = ("m", "v", "n", "s1", "s2")
     if state is None:

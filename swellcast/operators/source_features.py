@@ -55,13 +55,14 @@ def _facts(mentions: DataFrame) -> DataFrame:
         F.col("candidate_type"), F.col("family_primary"), F.coalesce("name", F.lit("")),
         has("title"), has("publisher"),
     )
+    # Before the explode: what is named beside it would be worked out once per fact.
     return mentions.select(
         *GROUP, "metric_value", "confidence_rank", "ordinal", "regional_score",
         "derived_from_work",
         F.when(stated, pack(F.col("domain_class"))).alias("domain_pack"),
         F.when(~stated, pack(inferred)).alias("inferred_pack"),
-        F.explode(details).alias("f"),
-    ).select("*", "f.fact", "f.key", "f.key_rank").drop("f")
+        details.alias("_details"),
+    ).select("*", F.explode("_details").alias("f")).drop("_details").select("*", "f.fact", "f.key", "f.key_rank").drop("f")
 
 
 def aggregate_mentions(mentions: DataFrame) -> DataFrame:

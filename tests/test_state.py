@@ -8,7 +8,10 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
+from settings import SF_DIR
 
+from swellcast import dims
 from swellcast.dims import AlgorithmConfig
 from swellcast.functions.numeric import decay_factor
 from swellcast.operators import anomaly, asof, chains, health
@@ -182,3 +185,20 @@ def test_rollout_follows_both_variants(spark):
                    day(4): (False, ["missing_public_baseline:1/2", "shadow_breakout_precision<0.5:0.4"])}
     none = health.rollout_readiness(spark.createDataFrame([], schema)).first()
     assert (none.ready, none.window_size, list(none.reasons)) == (False, 0, ["insufficient_shadow_history:0/14"])
+
+
+def test_shuffles_are_cut_by_size(spark):
+    # 24 MB of noise: one task must not get a fixed share of whatever the input is.
+    noise = spark.range(3_000_000).select(F.xxhash64("id").alias("k"))
+    assert noise.repartition("k").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_metric_details_are_worked_out_once_per_mention(spark):
+    from swellcast.operators import source_features as A
+    from swellcast.sources import bindings as B
+
+    mentions = A.with_catalog(B.event_mentions(spark, SF_DIR), dims.catalog_df(spark))
+    plan = A._facts(mentions)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    # The names are classified below the explode, not once per fact above it.
+    assert "AS inferred_pack" not in above and "AS inferred_pack" in below
