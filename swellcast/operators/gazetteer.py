@@ -18,11 +18,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of the names of one pass, which bounds what is broadcast; the automaton takes some ten times as much.
 BLOCK_BYTES = 2_000_000
+#: Characters of the texts that a worker holds as Python strings at once, with the places found in them.
+TEXT_CHARS = 2_000_000
 #: Code points from here on belong to scripts without spaces (kana, ideographs and what follows them).
 UNSPACED = 0x2E80
 
@@ -77,11 +80,24 @@ def _rows(keys: pa.Array, places: list[list[tuple[int, int, str, str]]]) -> pa.R
     return pa.RecordBatch.from_arrays([keys, pa.array([[dict(zip(_FIELDS, p, strict=True)) for p in own] for own in places], _PLACES)], ["_key", "_places"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about TEXT_CHARS characters of ``_form``, whole rows each: a batch counts rows, whatever their length."""
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("_form")).to_pylist()
+        begin = held = 0
+        for at, size in enumerate(sizes):
+            if at > begin and held + size > TEXT_CHARS:
+                yield batch.slice(begin, at - begin)
+                begin, held = at, 0
+            held += size
+        yield batch.slice(begin)
+
+
 def _found(shared, number: int, alone: bool):
     """Places per text; if there is no other block, only those that the search takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             automaton = _automaton(number, shared)
             places = [starts(automaton, t) for t in batch.column("_form").to_pylist()]
             yield _rows(batch.column("_key"), list(map(leftmost, places)) if alone else places)

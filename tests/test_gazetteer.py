@@ -42,3 +42,14 @@ def test_name_mentions(spark, block):
     assert got == sorted(((i, *m) for i, t in texts for m in plain(t, names)), key=str)
     none = gazetteer.name_mentions(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([], "name string, entity_type string"), "id")
     assert none.count() == 0
+
+
+def test_a_worker_holds_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(gazetteer, "TEXT_CHARS", 10)
+    texts = ["abcd", "efgh", "ijkl", "a text longer than all", "", "m"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["_key", "_form"])
+    parts = list(gazetteer._parts(iter([batch])))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 2]
+    assert [t for p in parts for t in p.column("_form").to_pylist()] == texts
