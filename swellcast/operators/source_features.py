@@ -19,12 +19,16 @@ _DOMAIN_RADIX = 8
 
 
 def _facts(mentions: DataFrame) -> DataFrame:
-    """One metric fact per mention plus one fact per list-valued detail."""
+    """One fact per list-valued detail of a mention; the first one, or an empty one, carries its metrics.
 
-    def fact(kind: str, key: Column, rank: Column | None = None) -> Column:
+    A country and its rank are one fact. So a mention is hardly more than one row in the shuffles.
+    """
+
+    def fact(kind: str, key: Column, rank: Column | None = None, stated: bool = True) -> Column:
         return F.struct(
             F.lit(kind).alias("fact"), key.cast("string").alias("key"),
             (F.lit(None).cast("int") if rank is None else rank.cast("int")).alias("key_rank"),
+            F.lit(stated).alias("key_listed"),
         )
 
     def listed(kind: str, values: Column) -> Column:
@@ -32,14 +36,15 @@ def _facts(mentions: DataFrame) -> DataFrame:
         return F.transform(values, lambda v: fact(kind, v))
 
     one = lambda kind, col: listed(kind, F.array(F.coalesce(F.col(col), F.lit(""))))
-    ranks = F.filter(
-        F.map_entries(F.coalesce("country_ranks", F.create_map().cast("map<string,int>"))),
-        lambda e: (e["key"] != "") & e["value"].isNotNull(),
+    ranks = F.coalesce("country_ranks", F.create_map().cast("map<string,int>"))
+    countries = F.filter(F.coalesce("countries", F.array().cast("array<string>")), lambda v: v != "")
+    ranked_only = F.filter(
+        F.map_entries(ranks),
+        lambda e: (e["key"] != "") & e["value"].isNotNull() & ~F.array_contains(countries, e["key"]),
     )
     details = F.concat(
-        F.array(fact("metric", F.lit(None))),
-        listed("country", F.col("countries")),
-        F.transform(ranks, lambda e: fact("rank", e["key"], e["value"])),
+        F.transform(countries, lambda c: fact("country", c, ranks[c])),
+        F.transform(ranked_only, lambda e: fact("country", e["key"], e["value"], stated=False)),
         one("region", "region"),
         listed("variant", F.col("query_variants")),
         one("cluster", "work_cluster_id"),
@@ -61,8 +66,10 @@ def _facts(mentions: DataFrame) -> DataFrame:
         "derived_from_work",
         F.when(stated, pack(F.col("domain_class"))).alias("domain_pack"),
         F.when(~stated, pack(inferred)).alias("inferred_pack"),
-        details.alias("_details"),
-    ).select("*", F.explode("_details").alias("f")).drop("_details").select("*", "f.fact", "f.key", "f.key_rank").drop("f")
+        F.transform(details, lambda f, i: f.withField("first", i == 0)).alias("_details"),
+    ).select("*", F.explode_outer("_details").alias("f")).drop("_details").select(
+        "*", F.coalesce("f.first", F.lit(True)).alias("is_metric"), "f.fact", "f.key", "f.key_rank", "f.key_listed"
+    ).drop("f")
 
 
 def aggregate_mentions(mentions: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
     details of a group. The observation ids themselves stay in the observations
     table, reachable by the three key columns; the row carries their count.
     """
-    is_metric = F.col("fact") == "metric"
+    is_metric = F.col("is_metric")
     when_metric = lambda c: F.when(is_metric, F.col(c))
     level1 = _facts(mentions).groupBy(*GROUP, "fact", "key").agg(
         F.sum(when_metric("metric_value")).alias("signal"),
@@ -86,8 +93,9 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
         F.min(when_metric("ordinal")).alias("first_ordinal"),
         F.max("ordinal").alias("last_ordinal"),
         F.min("key_rank").alias("key_rank"),
+        F.max("key_listed").alias("key_listed"),
     )
-    detail = F.struct("fact", "key", "key_rank", "last_ordinal")
+    detail = F.struct("fact", "key", "key_rank", "key_listed", "last_ordinal")
     level2 = level1.groupBy(*GROUP).agg(
         F.sum("signal").alias("signal"),
         F.sum("observation_count").alias("observation_count"),
@@ -97,14 +105,14 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
         F.max("regional_score").alias("regional_score"),
         F.max("derived").alias("derived"),
         F.min("first_ordinal").alias("first_ordinal"),
-        F.collect_list(F.when(F.col("fact") != "metric", detail)).alias("details"),
+        F.collect_list(F.when(F.col("fact").isNotNull(), detail)).alias("details"),
     )
 
     def of(kind: str) -> Column:
         return F.filter("details", lambda d: d["fact"] == kind)
 
     def keys_of(kind: str) -> Column:
-        return F.array_sort(F.transform(of(kind), lambda d: d["key"]))
+        return F.array_sort(F.transform(F.filter("details", lambda d: (d["fact"] == kind) & d["key_listed"]), lambda d: d["key"]))
 
     def latest(kind: str) -> Column:
         ranked = F.transform(of(kind), lambda d: F.struct(d["last_ordinal"], d["key"]))
@@ -128,7 +136,7 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
         "first_ordinal",
         home_first(keys_of("country")).alias("countries"),
         F.map_from_entries(
-            F.transform(of("rank"), lambda d: F.struct(d["key"], d["key_rank"]))
+            F.transform(F.filter(of("country"), lambda d: d["key_rank"].isNotNull()), lambda d: F.struct(d["key"], d["key_rank"]))
         ).alias("country_ranks"),
         keys_of("region").alias("regions"),
         keys_of("variant").alias("query_variants"),

@@ -236,6 +236,21 @@ def test_mention_rollup(spark):
     assert r.query_variants == ["a", "b"] and r.first_ordinal == 1
 
 
+def test_mention_is_hardly_more_than_one_fact(spark):
+    rows = [
+        mention(1, countries=["JP"], country_ranks={"JP": 3}, region="Tokyo"),
+        mention(2, countries=[], country_ranks={"KR": 5, "US": None}, region=None),
+        mention(3, countries=["JP", "TH"], country_ranks={"JP": 2}, region=None),
+        mention(4, countries=[], country_ranks=None, region=None),
+    ]
+    df = A.with_catalog(spark.createDataFrame(rows, MENTION_SCHEMA), dims.catalog_df(spark))
+    # A country with its rank is one fact, and the metrics need no fact of their own: 2, 1, 2 and 1.
+    assert A._facts(df).count() == 6 and A._facts(df).where("is_metric").count() == 4
+    r = A.aggregate_mentions(df).first()
+    assert (r.signal, r.observation_count, r.first_ordinal) == (4.0, 4, 1)
+    assert r.countries == ["JP", "TH"] and r.country_ranks == {"JP": 2, "KR": 5} and r.regions == ["Tokyo"]
+
+
 def test_relation_only_person_never_passes(spark):
     rows = [mention(i, source="TVER_RANKING_JP", derived_from_work=True, work_cluster_id="w1", date=DAY + dt.timedelta(i)) for i in range(4)]
     sf = A.build_source_features(spark.createDataFrame(rows, MENTION_SCHEMA), dims.catalog_df(spark))
