@@ -242,13 +242,9 @@ def _rollup(g: DataFrame) -> DataFrame:
 
 def score_candidate_text(candidates: DataFrame, name: str = "display_name") -> DataFrame:
     """Text scores of every candidate, once per candidate rather than once per day."""
-    n = F.col(name)
-    return (
-        candidates.withColumn("topic_specificity", T.specificity_nf(n))
-        .withColumn("behavior_objectness", T.objectness_nf(n))
-        .withColumn("genericity", T.genericity_nf(n))
-        .withColumn("live_bias", T.live_bias_nf(n))
-    )
+    named = {"topic_specificity": "specificity", "behavior_objectness": "objectness", "genericity": "genericity", "live_bias": "live_bias"}
+    scored = candidates.withColumn("_scores", T.topic_scores_nf(F.col(name)))
+    return scored.withColumns({c: F.col(f"_scores.{s}") for c, s in named.items()}).drop("_scores")
 
 
 def with_backfill_state(aggregated: DataFrame) -> DataFrame:

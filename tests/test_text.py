@@ -205,3 +205,17 @@ def test_small_functions(spark):
     assert values(spark, ["a\x00b​c  d\ne"], T.clean_text(F.col("t"), 100).alias("c"))[0].c == "abc d e"
     r = spark.range(1).select(sequence_ratio(F.lit("abcd"), F.lit("abxcd")).alias("r")).first().r
     assert r == pytest.approx(8 / 9)
+
+
+def test_topic_scores_normalise_three_times(spark):
+    rows = [(t,) for t in ("", " #Tokyo event ", "limited bag tour", "の発売 event!!", "ゴール live show", "「推し活」の  メイク", "a", None)]
+    df = spark.createDataFrame(rows, "t string")
+    t = F.col("t")
+    one = df.select(T.specificity_nf(t), T.objectness_nf(t), T.genericity_nf(t), T.live_bias_nf(t))
+    together = df.select(T.topic_scores_nf(t).alias("s")).select("s.*")
+    assert [tuple(r) for r in together.collect()] == [tuple(r) for r in one.collect()]
+
+    def normalised(frame):
+        return frame._jdf.queryExecution().analyzed().toString().count("\"'`“")
+
+    assert normalised(together) * 2 < normalised(one)
