@@ -107,14 +107,15 @@ def gazetteer_tags(
 ) -> DataFrame:
     """Built-in tagger: single-word names found in a text, first mentions first.
 
-    ``gazetteer``: name, entity_type. Words are exploded and pre-aggregated per text
-    before the equi-join on the word, so repeated words cost nothing extra.
+    ``gazetteer``: name, entity_type; give a stored table, whose small size lets the runtime send it to
+    the words. Then only the words that are names are shuffled, each once per text and task.
     """
     words = texts.select(
         key, F.posexplode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("pos", "word")
-    ).where(F.col("word") != "").groupBy(key, "word").agg(F.min("pos").alias("pos"))
+    ).where(F.col("word") != "")
     names = gazetteer.select(F.lower("name").alias("word"), "name", "entity_type").distinct()
     w = Window.partitionBy(key).orderBy("pos", "entity_type")
-    return words.join(names, "word").withColumn("slot", F.row_number().over(w)).where(
+    hits = words.join(names, "word").groupBy(key, "name", "entity_type").agg(F.min("pos").alias("pos"))
+    return hits.withColumn("slot", F.row_number().over(w)).where(
         F.col("slot") <= limit
     ).select(key, "slot", "name", "entity_type")

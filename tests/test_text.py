@@ -219,3 +219,13 @@ def test_topic_scores_normalise_three_times(spark):
         return frame._jdf.queryExecution().analyzed().toString().count("\"'`“")
 
     assert normalised(together) * 2 < normalised(one)
+
+
+def test_words_meet_the_names_before_the_shuffle(spark):
+    texts = spark.createDataFrame([(1, "cd Ab cd. ab"), (2, "zz"), (3, None)], "k int, t string")
+    names = spark.createDataFrame([("ab", "GROUP"), ("cd", "PRODUCT")], "name string, entity_type string")
+    tags = topics.gazetteer_tags(texts, names, "k", "t")
+    assert {tuple(r) for r in tags.collect()} == {(1, 1, "cd", "PRODUCT"), (1, 2, "ab", "GROUP")}
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    # A plan prints what comes later first: only words that are names are grouped.
+    assert plan.index("min(pos") < plan.index("Join Inner")
