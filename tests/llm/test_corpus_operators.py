@@ -307,6 +307,83 @@ def test_lm_is_free_of_layout_and_learns_from_all_words(spark, monkeypatch):
     assert first.tables[0].sum() == len(bits[2]) and (first.weights != 0.35).any()
 
 
+def test_lm_mixes_exact_counts_and_earlier_words(spark, monkeypatch):
+    """A plain walk over the words gives the same totals; word order counts."""
+    monkeypatch.setattr(mixing_lm, "SLICE", 2_000)
+    rng = random.Random(6)
+    stems = ["".join(rng.choices("etaoinshrd", k=rng.randint(3, 7))) for _ in range(60)]
+    follow = {w: rng.choices(stems, k=2) for w in stems}
+    texts = []
+    for _ in range(400):
+        line = [rng.choice(stems)]
+        while len(line) < 25:
+            line.append(rng.choice(follow[line[-1]]))
+        texts.append(line)
+    training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(900)]
+    free = [i for i in range(len(texts), 900) if not training[i]][:40]
+    shuffled = {i: rng.sample(texts[j], 25) for j, i in enumerate(free[20:])}
+    rows = list(enumerate(texts)) + [(i, texts[j]) for j, i in enumerate(free[:20])] + list(shuffled.items()) + [(899, ["zzz", "qq"])]
+    models, keep, spellers, spell = [], mixing_lm._text, [], mixing_lm._mixer
+    monkeypatch.setattr(mixing_lm, "_text", lambda *a: models.append(keep(*a)) or models[-1])
+    monkeypatch.setattr(mixing_lm, "_mixer", lambda *a: spellers.append(spell(*a)) or spellers[-1])
+    out = {r.doc_id: r.score for r in mixing_lm.score(docs(spark, [(i, " ".join(t), None, None, None) for i, t in rows])).collect()}
+    model, speller = models[0][0], pickle.loads(spellers[0])
+    counts = Counter(w for i, t in rows if training[i] for w in [*t, ""])
+    key = lambda w: int(mixing_lm._keys(w.encode())[1 if w else 0])
+    ranked = sorted(counts, key=lambda w: (-counts[w], key(w)))
+    cut = max(1, counts[ranked[mixing_lm.TOP]])
+    top = [w for w in ranked if counts[w] > cut]
+    symbol = lambda w: top.index(w) if w in top else mixing_lm.TOP + max(1, counts[w].bit_length())
+    totals = Counter()
+    for w, n in counts.items():
+        totals[symbol(w)] += n
+    assert all(model.totals[s] == totals[s] for s in range(mixing_lm.SYMBOLS))
+    path = {s: [(int(model.node[j]), int(model.bit[j])) for j in range(model.start[s], model.start[s] + model.size[s])] for s in totals | {mixing_lm.TOP + 1: 0}}
+    full = (1 << 64) - 1
+
+    def name(w):
+        x = key(w) & full if counts[w] > 1 else full
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    def slot(context, node):
+        return (((context ^ (node + 1) * 0xD6E8FEB86659FD93 & full) * 0xFF51AFD7ED558CCD) & full) >> 64 - mixing_lm.TEXT_BITS
+
+
+    def walk(line):
+        last, skipped = "", ""
+        for w in [*line, ""]:
+            one, two = name(last), name(skipped)
+            for node, bit in path[symbol(w)]:
+                yield w, node, bit, [(0, slot(one, node)), (1, slot(one * 0x9E3779B97F4A7C15 + two & full, node)), (2, slot(two, node))]
+            last, skipped = w, last
+
+    tables = Counter((*c, bit) for i, t in rows if training[i] for _, _, bit, contexts in walk(t) for c in contexts)
+    level = lambda zeros, ones: int(mixing_lm.strengths(np.array([zeros]), np.array([ones]))[0])
+    size = mixing_lm.SYMBOLS * mixing_lm.LEVELS**3
+    place = lambda node, levels: (node << 12) + sum(v << 4 * k for k, v in enumerate(levels))
+    seen = np.zeros((size, 2), np.int64)
+    for i, t in rows:
+        for _, node, bit, contexts in walk(t) if training[i] else ():
+            seen[place(node, [level(*(tables[*c, b] - (bit == b) for b in (0, 1))) for c in contexts]), bit] += 1
+    mine = mixing_lm.Text(np.array([key(w) for w in top], np.int64), model.totals)
+    mine.learn(seen)
+    assert np.allclose(mine.weights, model.weights) and (mine.weights != 0).all()
+    close = 0
+    for i, t in rows:
+        want = sum(mine.logs[2 * place(node, [level(*(tables[*c, b] for b in (0, 1))) for c in contexts]) + bit] for _, node, bit, contexts in walk(t))
+        for w in [*t, ""]:
+            if symbol(w) == mixing_lm.TOP + 1:
+                want += float(speller.log10(w.encode() + b" ")[0])
+            elif w not in top:
+                want += math.log10(counts[w] / totals[symbol(w)])
+        close += abs(out[i] - want) < 1e-6
+    assert close == len(rows)
+    assert all(out[i] < out[j] - 1 for j, i in enumerate(free[20:]))
+    assert all(abs(out[i] - out[j]) < 1e-9 for j, i in enumerate(free[:20]))
+
+
 def test_lm_spelling_sums_to_one():
     # Over all words of one byte, and the longer rest, the spelled probabilities add up to at most one.
     mixer = mixing_lm.Mixer(np.ones(256), np.zeros((len(mixing_lm.ORDERS), mixing_lm.SLOTS, 2), np.float32))
