@@ -46,13 +46,33 @@ def group_key() -> Column:
     )
 
 
+def _read_columns(mentions: DataFrame) -> DataFrame:
+    """Distinct mentions with only those columns that the group key or a relation of their type reads; the others are null."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    kind, keyless = F.col("candidate_type"), blank("source_item_id")
+    named = kind.isin("MUSIC_ARTIST", *dims.WORK_TYPES) | (keyless & blank("url") & blank("title"))
+    person = kind.isin(*dims.PERSON_TYPES)
+    return mentions.select(
+        "candidate_id", "candidate_type", "source_id", "source_item_id", *[F.when(keyless, F.col(c)).alias(c) for c in ("rank", "url", "title")],
+        F.when(named, F.col("name")).alias("name"), F.when(kind == "MUSIC_TRACK", F.col("artist")).alias("artist"),
+        *[F.when(person, F.col(c)).alias(c) for c in ("show", "from_title")],
+    ).distinct()
+
+
 def group_items(mentions: DataFrame) -> DataFrame:
-    """Distinct members of every item; repeats in a hot group vanish before any join."""
+    """Distinct members of every item; repeats in a hot group vanish before their texts are cleaned and before any join.
+
+    A key that no relation reads for the member's type is empty.
+    """
     key = lambda c: T.match_key_nf(F.col(f"p_{c}"))
-    known = with_plain_texts(mentions.where(F.coalesce("candidate_id", F.lit("")) != ""))
+    known = with_plain_texts(_read_columns(mentions.where(F.coalesce("candidate_id", F.lit("")) != "")))
+    kind = F.col("candidate_type")
+    read = lambda when, c: F.when(when, key(c)).otherwise("")
+    person = kind.isin(*dims.PERSON_TYPES)
     return known.select(
-        group_key().alias("group_key"), "candidate_id", "candidate_type", "source_id", key("name").alias("name_key"),
-        key("artist").alias("artist_key"), key("show").alias("show_key"), key("from_title").alias("title_key"),
+        group_key().alias("group_key"), "candidate_id", "candidate_type", "source_id",
+        read(kind.isin("MUSIC_ARTIST", *dims.WORK_TYPES), "name").alias("name_key"), read(kind == "MUSIC_TRACK", "artist").alias("artist_key"),
+        read(person, "show").alias("show_key"), read(person, "from_title").alias("title_key"),
     ).distinct()
 
 
@@ -120,8 +140,12 @@ def group_relations(items: DataFrame) -> DataFrame:
 
 def build_relations(items: DataFrame) -> DataFrame:
     """Relations of the items of :func:`group_items`; store the items first, three branches read them."""
-    edges = music_relations(items).unionByName(work_relations(items)).unionByName(group_relations(items))
-    return dedupe_relations(edges)
+    return dedupe_relations(direct_relations(items).unionByName(group_relations(items)))
+
+
+def direct_relations(items: DataFrame) -> DataFrame:
+    """The edges between two candidates; some may repeat."""
+    return music_relations(items).unionByName(work_relations(items))
 
 
 def dedupe_relations(relations: DataFrame) -> DataFrame:
@@ -140,6 +164,11 @@ def _memberships(relations: DataFrame) -> DataFrame:
         F.max(F.col("relation_type") != "context_of").alias("topic"), F.max(F.col("relation_type") == "context_of").alias("context"))
 
 
+def related_in_items(items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """:func:`related_ids` of the relations of stored ``items``, each kind of edge built only where it is read."""
+    return _neighbours(direct_relations(items), _memberships(group_relations(items)), asked)
+
+
 def related_ids(relations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """One-hop neighbours as distinct (candidate, related) rows, candidates only.
 
@@ -147,13 +176,15 @@ def related_ids(relations: DataFrame, asked: DataFrame | None = None) -> DataFra
     candidates times their groups; without it the output is every related pair, which in a
     group of n members is of the order of n squared.
     """
-    direct = relations.where(~F.col("relation_type").isin(*VIA_TYPES) & (F.col("src_id") != F.col("dst_id")))
+    return _neighbours(relations.where(~F.col("relation_type").isin(*VIA_TYPES)), _memberships(relations), asked)
+
+
+def _neighbours(direct: DataFrame, members: DataFrame, asked: DataFrame | None) -> DataFrame:
     both = F.array(
         F.struct(F.col("src_id").alias("candidate_id"), F.col("dst_id").alias("related_id")),
         F.struct(F.col("dst_id").alias("candidate_id"), F.col("src_id").alias("related_id")),
     )
-    near = direct.select(F.explode(both).alias("r")).select("r.*")
-    members = _memberships(relations)
+    near = direct.where(F.col("src_id") != F.col("dst_id")).select(F.explode(both).alias("r")).select("r.*")
     mine = members
     if asked is not None:
         asked = asked.select("candidate_id").distinct()

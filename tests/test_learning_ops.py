@@ -99,6 +99,21 @@ MENTION = (
 )
 
 
+def test_repeated_mentions_vanish_before_texts_are_cleaned(spark):
+    """Columns that no relation reads make no further rows, and neighbours come straight from the items."""
+    base = {"candidate_type": "PRODUCT", "source_id": "S", "source_item_id": "1", "rank": 1, "url": "u", "title": "t",
+            "name": "n", "artist": "a", "show": "s", "from_title": ""}
+    rows = [{**base, "candidate_id": c, "artist": f"a{i}", "show": f"s{i}", "title": f"t{i}", "rank": i, "name": f"n{i}"} for c in "xy" for i in range(50)]
+    rows += [{**base, "candidate_id": "m", "candidate_type": "MUSIC_TRACK", "artist": "Star"},
+             {**base, "candidate_id": "p", "candidate_type": "MUSIC_ARTIST", "name": "star!"}]
+    mentions = spark.createDataFrame([tuple(r[c.split()[0]] for c in MENTION.split(", ")) for r in rows], MENTION)
+    read = relations._read_columns(mentions)
+    assert read.count() == 4
+    items = relations.group_items(mentions)
+    assert items.count() == 4
+    assert {tuple(r) for r in relations.related_in_items(items).collect()} == {tuple(r) for r in relations.related_ids(relations.build_relations(items)).collect()}
+
+
 def test_relations_from_one_item(spark):
     rows = [
         ("t", "MUSIC_TRACK", "Song", "S", "i1", 1, "", "", "The Artist", "", ""), ("a", "MUSIC_ARTIST", "the artist", "S", "i1", 1, "", "", "", "", ""),
