@@ -6,14 +6,16 @@ import hashlib
 import math
 import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from helpers import EDGE_ROWS, bench_words, docs, space_words
+from pyspark.sql import functions as F
 
-from swellcast.llm import components, decontaminate, exact_dedup, jaccard, mixing_lm, page_text
+from swellcast.llm import common, components, decontaminate, exact_dedup, jaccard, mixing_lm, page_text
 
 BENCH = "item_id long, text string"
 
@@ -384,6 +386,28 @@ def test_lm_mixes_exact_counts_and_earlier_words(spark, monkeypatch):
     assert all(abs(out[i] - out[j]) < 1e-9 for j, i in enumerate(free[:20]))
 
 
+def test_lm_holds_little_of_a_slice(spark):
+    words = [f"word{i * 7919}" for i in range(200_000)]
+    spaced = " ".join(words).encode()
+    tracemalloc.start()
+    keys = mixing_lm._keys(spaced)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(spaced)
+    at = [0, 49_999, 50_000, 199_999]
+    assert [keys[i + 1] for i in at] == [mixing_lm._keys(words[i].encode())[1] for i in at] and len(keys) == len(words) + 1
+    # A slice leaves its task in far fewer bytes than four a word number, and comes back whole.
+    rows = [(i, " ".join(words[i * 50 % 1000 : i * 50 % 1000 + 40]), None, None, None) for i in range(2_000)]
+    made = mixing_lm._slices(common.id_text(docs(spark, rows)).withColumn("train", F.lit(True)).coalesce(1)).toArrow()
+    tokens = sum(sum(sizes) for sizes in made["sizes"].to_pylist())
+    assert sum(len(c) for c in made["codes"].to_pylist()) < 2 * tokens
+    codes = [mixing_lm._whole_codes(c) for chunk in made["codes"].chunks for c in chunk]
+    spelled = [[b"", *mixing_lm._whole(w).split(b" ")] for chunk in made["words"].chunks for w in chunk]
+    ids = [i for part in made["ids"].to_pylist() for i in part]
+    texts = [t for c, w in zip(codes, spelled, strict=True) for t in b" ".join(w[i] or b"\n" for i in c).split(b"\n")[:-1]]
+    assert {i: t.split() for i, t in zip(ids, texts, strict=True)} == {i: t.encode().split() for i, t, *_ in rows}
+
+
 def test_lm_spelling_sums_to_one():
     # Over all words of one byte, and the longer rest, the spelled probabilities add up to at most one.
     mixer = mixing_lm.Mixer(np.ones(256), np.zeros((len(mixing_lm.ORDERS), mixing_lm.SLOTS, 2), np.float32))
