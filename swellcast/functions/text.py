@@ -281,7 +281,9 @@ def live_bias_nf(text: Column, title: Column | None = None, surface: Column | No
     )
 
 
-def topic_class_nf(surface: Column) -> Column:
+def topic_class_of(normalized: Column) -> Column:
+    """Class of a surface that is normalised already."""
+
     def pick(t: Column) -> Column:
         has = lambda words: any_of([t.contains(w) for w in words])
         return (
@@ -292,7 +294,11 @@ def topic_class_nf(surface: Column) -> Column:
             .otherwise("PHRASE")
         )
 
-    return let(normalize_topic_nf(surface), pick)
+    return let(normalized, pick)
+
+
+def topic_class_nf(surface: Column) -> Column:
+    return topic_class_of(normalize_topic_nf(surface))
 
 
 def topic_confidence(topic_type: Column) -> Column:

@@ -21,7 +21,8 @@ def topic_array(text: Column, limit: int = 10) -> Column:
     """
 
     def surface(kind: Column | None, value: Column, normalized: Column) -> Column:
-        kind = T.topic_class_nf(value) if kind is None else kind
+        # The class reads the normalised surface, which is at hand already.
+        kind = T.topic_class_of(normalized) if kind is None else kind
         return F.struct(kind.alias("candidate_type"), value.alias("surface"), normalized.alias("normalized"))
 
     tags = F.transform(
@@ -30,16 +31,19 @@ def topic_array(text: Column, limit: int = 10) -> Column:
     behaviors = F.transform(
         T.behavior_phrases(text), lambda v: surface(F.lit("BEHAVIOR"), v, T.normalize_topic_nf(v))
     )
+    # A repeated surface adds nothing to its first mention, so it goes before anything is normalised.
     free = nfkc_each(
-        F.concat(
-            F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.QUOTED), F.lit(1)),
-            F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.PHRASE), F.lit(1)),
+        F.array_distinct(
+            F.concat(
+                F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.QUOTED), F.lit(1)),
+                F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(T.PHRASE), F.lit(1)),
+            )
         )
     )
     leading = F.concat(tags, behaviors)
 
     def first_topics(candidates: Column) -> Column:
-        phrases = F.transform(candidates, lambda v: surface(None, v, T.normalize_topic_nf(v)))
+        phrases = F.transform(candidates, lambda v: T.let(T.normalize_topic_nf(v), lambda n: surface(None, v, n)))
         kept = F.filter(F.concat(leading, phrases), lambda t: T.keep_topic_nf(t["normalized"]))
         named = F.transform(
             kept,
@@ -53,7 +57,7 @@ def topic_array(text: Column, limit: int = 10) -> Column:
 
     # Order is fixed, so a head that already fills the limit settles the answer; only
     # texts whose head does not are scored to the end.
-    head = T.let(first_topics(F.slice(free, 1, 8 * limit)), lambda t: F.when(F.size(t) >= limit, t))
+    head = T.let(first_topics(F.slice(free, 1, 2 * limit)), lambda t: F.when(F.size(t) >= limit, t))
     return F.coalesce(head, first_topics(free))
 
 

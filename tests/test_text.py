@@ -143,6 +143,15 @@ def test_topic_extraction_matches_walk_over_whole_texts(spark):
         assert got.get(i, []) == topic_walk(text), text[:40]
 
 
+def test_topic_class_reads_the_normalised_surface(spark):
+    t = F.col("t")
+    rows = values(spark, SURFACES, "t", T.topic_class_nf(t).alias("whole"), T.topic_class_of(T.normalize_topic_nf(t)).alias("shared"))
+    assert [r.whole for r in rows] == [r.shared for r in rows]
+    df = spark.createDataFrame([(0, "word " * 50 + "and " * 50 + " ".join(f"t{i} same" for i in range(12)))], "id int, text string")
+    got = [(r.candidate_type, r.name) for r in topics.extract_topics(df, keep=("id",)).orderBy("position").collect()]
+    assert got == topic_walk(df.first().text)
+
+
 def test_phrase_mining_falls_back(spark):
     df = spark.createDataFrame([(0, "ラブブ人形が好き"), (1, "")], "id int, text string")
     rows = topics.mine_topics(df, keep=("id",)).collect()
