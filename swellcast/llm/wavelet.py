@@ -19,6 +19,7 @@ ids, null ids first; repeated rows are written once each; an empty table writes
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -35,10 +36,12 @@ from swellcast.llm import common
 
 END_ID = 1
 FILE_TOKENS = 1_000_000
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 180_000
 MAGIC = b"WVM1"
 #: 64-bit words of a plane for one stored count of ones.
 BLOCK = 8
+#: A letter and the punctuation that ends its chunk, and what takes their place.
+_GAP = (r"([a-zÀ-ÖØ-öø-ÿ])([.,!?;:%&*#$|]+)(\s|$)", r"\1 \2\3")
 #: Chunks of Latin letters with punctuation behind them: one or two pre-tokens.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*#$|]*)")
 
@@ -217,10 +220,12 @@ class Chunks:
         split = pc.ascii_split_whitespace(_lowered(texts))
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.index]
-        if new:
+        own = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(own < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
             self._learn(new)
-        own = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+            own[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         at = own[coded.indices.to_numpy()]
         starts = np.cumsum(self.lengths) - self.lengths
         lengths = self.lengths[at]
@@ -230,14 +235,19 @@ class Chunks:
 
 
 def _lowered(texts: list[str]) -> pa.Array:
-    """The texts with A-Z lower-cased: the tokenizer does so anyway, and only its special tokens are matched before that."""
+    """The texts with A-Z lower-cased and a gap before the punctuation that ends a chunk.
+
+    The tokenizer lower-cases anyway and always parts a letter from punctuation, so a word is one chunk whatever
+    stands behind it; only its special tokens are matched before that.
+    """
     column = pa.array(texts, pa.string())
+    plain = pc.replace_substring_regex(pc.ascii_lower(column), *_GAP)
     marked = [i for i, t in enumerate(texts) if "<|" in t]
     if not marked:
-        return pc.ascii_lower(column)
+        return plain
     special = np.zeros(len(texts), bool)
     special[marked] = True
-    return pc.if_else(pa.array(special), column, pc.ascii_lower(column))
+    return pc.if_else(pa.array(special), column, plain)
 
 
 @functools.lru_cache(maxsize=2)
@@ -299,6 +309,8 @@ def write_files(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 size += len(t) // width
         if held:
             yield flush()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     dealt = (tokenised(docs, tokenizer_file).withColumn("shard", shard.cast("int")).repartition(shards, "shard")
              .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens"))
@@ -323,6 +335,7 @@ def read_back(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own.ids, mask=own.null), pa.array(starts + base), pa.array(own.lengths), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     return files.join(F.broadcast(before), "shard").select("payload", (F.col("offset") + F.col("before")).alias("offset")).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -76,6 +76,18 @@ def test_chunks_equal_the_library():
         assert own.tokenizer.encode(text, add_special_tokens=False).ids + [1] == ids[ends[i] : ends[i + 1]].tolist()
 
 
+def test_punctuated_words_are_one_chunk():
+    own = wavelet.Chunks(public.path("word_bpe_49k.json"))
+    texts = ["Word, word. (word)? word\n", "straße; straße\tstraße!?", "it's, don't.\vend; x1, a.b,c .", "<|endoftext|>, word, WORD."]
+    ids, counts = own.encode(texts)
+    ends = np.r_[0, np.cumsum(counts)]
+    for i, text in enumerate(texts):
+        assert own.tokenizer.encode(text, add_special_tokens=False).ids + [1] == ids[ends[i] : ends[i + 1]].tolist()
+    own.forget()
+    own.encode(texts[:2])
+    assert not {"word,", "word.", "straße;", "straße!?"} & set(own.index) and {"word", "straße"} < set(own.index)
+
+
 def test_wavelet_round_trip(spark, monkeypatch):
     monkeypatch.setattr(wavelet, "FILE_TOKENS", 50)
     path = public.path("word_bpe_49k.json")
