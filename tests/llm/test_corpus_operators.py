@@ -386,6 +386,64 @@ def test_lm_mixes_exact_counts_and_earlier_words(spark, monkeypatch):
     assert all(abs(out[i] - out[j]) < 1e-9 for j, i in enumerate(free[:20]))
 
 
+def test_lm_counts_sequences_of_the_whole_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing_lm, "SLICE", 1_500)
+    monkeypatch.setattr(mixing_lm, "HASHES_AT_ONCE", 700)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(0, 40))) for _ in range(150)]
+    rows = [(i, t, None, None, None) for i, t in enumerate([*texts, *texts[:20], "ab " * 300, ""])]
+    given = common.id_text(docs(spark, rows)).withColumn("train", F.col("doc_id") % 5 != 2).repartition(3)
+    coded = mixing_lm._coded(mixing_lm._slices(given), 3).collect()
+    assert len(coded) > 5
+
+    def events(text):
+        line = [None, None, None, *text.split(), ""]
+        return [(tuple(line[i - 3 : i]), line[i]) for i in range(4, len(line))]
+
+    def tally(made):
+        followed = Counter(made)
+        total, kinds = Counter(c for c, _ in made), Counter(c for c, _ in followed)
+        return followed, total, kinds
+
+    every = {i: events(t) for i, t, *_ in rows}
+    whole = tally([e for i, made in every.items() if i % 5 != 2 for e in made])
+    for row in coded:
+        codes = np.frombuffer(mixing_lm._whole(row.codes), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+        sizes, train = np.array(row.sizes), np.array(row.train)
+        distinct, at, there = mixing_lm._sorted_events(codes, mixing_lm._keys(mixing_lm._whole(row.words)), 3)
+        counts = [mixing_lm._whole_codes(c) for c in (row.followed, row.total, row.kinds)]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[there]
+        tokens = [(i, e) for i in row.ids for e in every[i]]
+        assert len(tokens) == len(at)
+        assert [tuple(int(c[j]) for c in counts) for j in at] == [(whole[0][e], whole[1][e[0]], whole[2][e[0]]) for _, e in tokens]
+        others = list(zip(*(x.tolist() for x in mixing_lm._without_own(at, doc, train, distinct, counts)), strict=True))
+        for i in set(row.ids):
+            rest = tally(list((Counter(e for j, made in every.items() if j % 5 != 2 for e in made) - Counter(every[i] if i % 5 != 2 else [])).elements()))
+            assert [o for o, (j, _) in zip(others, tokens, strict=True) if j == i] == [(rest[0][e], rest[1][e[0]], rest[2][e[0]]) for e in every[i]]
+
+
+def test_lm_tells_documents_that_occur_twice(spark, monkeypatch):
+    """Words in the order of another document are likelier than the same words in an order of their own."""
+    monkeypatch.setattr(mixing_lm, "SLICE", 20_000)
+    rng = random.Random(12)
+    stems = ["".join(rng.choices("etaoinshrd", k=rng.randint(3, 8))) for _ in range(3_000)]
+    training = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    texts = {i: " ".join(rng.choices(stems, k=40)) for i in range(500)}
+    sources = [i for i in texts if training(i)]
+    held, seen = ([i for i in range(1_000, 2_000) if training(i) == kind][:20] for kind in (False, True))
+    copies = dict(zip([*held, *seen], sources, strict=False))
+    rows = [(i, t, None, None, None) for i, t in (texts | {i: texts[j] for i, j in copies.items()}).items()]
+    out = {r.doc_id: r for r in mixing_lm.score(docs(spark, rows), mixing_lm.EARLIER).collect()}
+    assert len(out) == 540
+    alone = [r for i, r in out.items() if i not in copies and i not in copies.values()]
+    least = min(r.bits_per_byte for r in alone if r.held_out)
+    assert all(out[i].bits_per_byte < 0.5 * least for i in held)
+    assert all(out[i].others_bits_per_byte < 0.5 * min(r.others_bits_per_byte for r in alone) for i in copies)
+    assert all(out[i].bits_per_byte == out[i].others_bits_per_byte for i in held) and all(r.score < 0 for r in out.values())
+    # A text has one score, in whichever fold.
+    assert all(abs(out[i].score - out[j].score) < 1e-9 for i, j in copies.items())
+
+
 def test_lm_holds_little_of_a_slice(spark):
     words = [f"word{i * 7919}" for i in range(200_000)]
     spaced = " ".join(words).encode()
