@@ -174,11 +174,20 @@ class Chunks:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.lengths, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the half of the cache that most slices have used; older uses count half."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_CHUNKS // 2])
+        starts, names = np.cumsum(self.lengths) - self.lengths, list(self.index)
+        self.flat = self.flat[common.ranges(starts[keep], self.lengths[keep])]
+        self.lengths, self.used = self.lengths[keep], self.used[keep] // 2
+        self.index = {names[i]: at for at, i in enumerate(keep.tolist())}
 
     def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
         self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
 
     def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -214,7 +223,7 @@ class Chunks:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id per text, and the number of ids of each."""
         if len(self.index) > CACHE_CHUNKS:
-            self.forget()
+            self._thin()
         # Only ASCII white space splits; other separators stay inside a chunk for the library. Each distinct
         # chunk of the slice comes to Python once.
         split = pc.ascii_split_whitespace(_lowered(texts))
@@ -226,6 +235,7 @@ class Chunks:
             new = [chunks[i] for i in missing.tolist()]
             self._learn(new)
             own[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        self.used[own] += 1
         at = own[coded.indices.to_numpy()]
         starts = np.cumsum(self.lengths) - self.lengths
         lengths = self.lengths[at]

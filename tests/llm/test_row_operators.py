@@ -88,6 +88,23 @@ def test_punctuated_words_are_one_chunk():
     assert not {"word,", "word.", "straße;", "straße!?"} & set(own.index) and {"word", "straße"} < set(own.index)
 
 
+def test_wavelet_cache_keeps_what_slices_use(monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=9))
+    often = [word() for _ in range(60)]
+    slices = [[" ".join(rng.sample([*often, *(word() for _ in range(60))], 120))] for _ in range(12)]
+    plain, learned = wavelet.Chunks(public.path("word_bpe_49k.json")), []
+    want = [plain.encode(texts)[0].tolist() for texts in slices]
+    monkeypatch.setattr(wavelet, "CACHE_CHUNKS", 200)
+    own = wavelet.Chunks(public.path("word_bpe_49k.json"))
+    keep = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: learned.extend(new) or keep(new))
+    for texts, ids in zip(slices, want, strict=True):
+        assert own.encode(texts)[0].tolist() == ids and len(own.index) <= 200 + 120
+    # A word that all slices use is learned once, whatever else has come and gone.
+    assert sorted(w for w in learned if w in often) == sorted(often) and len(plain.index) > 700
+
+
 def test_wavelet_round_trip(spark, monkeypatch):
     monkeypatch.setattr(wavelet, "FILE_TOKENS", 50)
     path = public.path("word_bpe_49k.json")
